@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language_id, license_scan, lm_scoring, packing, quality_rules, token_counts, warc
+from . import decontamination, jaccard_join, language_id, license_scan, lm_scoring, packing, quality_rules, token_counts, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(_documents(spark, sf_dir))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.group(_documents(spark, sf_dir))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     model = language_id.learn(docs, language_id.held_out_fold())
@@ -53,7 +57,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_lm_scoring, op5_language_id, op7_warc, op8_quality_rules, op9_packing, op10_decontamination)}
+    return {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_lm_scoring, op4_jaccard_join, op5_language_id, op7_warc, op8_quality_rules, op9_packing, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
