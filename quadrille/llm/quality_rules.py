@@ -1,10 +1,9 @@
 """Quality rules in plain DataFrame operations, with cross-document line frequency.
 
-Lines are normalised (trimmed, blanks collapsed, lower-cased) and hashed with
-their host.  For each of these hashes the distinct texts that hold it are
+Lines are normalised (without blanks, lower-cased) and hashed with their host.  For each of these hashes the distinct texts that hold it are
 counted; a line above ``max_texts`` is boilerplate of its host.  It is removed
 from all documents but the one with the smallest id, and a document left with
-too small a share of its words is rejected.
+too small a share of its characters is rejected.
 """
 
 from __future__ import annotations
@@ -12,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .session import written
+
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -72,32 +73,38 @@ def features(docs: DataFrame, text_column: str = "text") -> DataFrame:
     return with_repeat_words(second).drop("_words", "_lines", "_hashes")
 
 
+def host_lines(docs: DataFrame, id_column: str, text_column: str, host_column: str) -> DataFrame:
+    """``doc_id, text_hash, pos, line, chars`` of every line that has a word.
+
+    A line is compared without its blanks and in lower case, together with its
+    host; ``chars`` are its code points in words.
+    """
+    text = F.coalesce(F.col(text_column), F.lit(""))
+    rows = docs.select(F.col(id_column).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(host_column).alias("host"), F.posexplode(F.split(F.translate(text, BLANKS.replace("\n", ""), ""), "\n")).alias("pos", "x"))
+    return rows.where(F.col("x") != "").select("doc_id", "text_hash", "pos", F.xxhash64("host", F.lower("x")).alias("line"), F.length("x").alias("chars"))
+
+
 def frequent_lines(lines: DataFrame, max_texts: int) -> DataFrame:
-    """Keys of lines held by more than ``max_texts`` different texts, with the smallest document id."""
+    """Lines held by more than ``max_texts`` different texts, with the smallest document id."""
     per_text = lines.groupBy("line", "text_hash").agg(F.min("doc_id").alias("doc_id"))
     counted = per_text.groupBy("line").agg(F.count(F.lit(1)).alias("n_texts"), F.min("doc_id").alias("first_id"))
-    return counted.where(F.col("n_texts") > max_texts)
+    return counted.where(F.col("n_texts") > max_texts).select("line", "first_id")
 
 
-def removed_words(docs: DataFrame, id_column: str, text_column: str, host_column: str, max_texts: int) -> DataFrame:
-    """``doc_id, text_hash, removed_words`` of the documents that lose a line."""
-    text = F.coalesce(F.col(text_column), F.lit(""))
-    norm = F.lower(F.regexp_replace(F.btrim(F.col("x"), F.lit(BLANKS)), "[\\x20\\x09-\\x0D]+", " "))
-    lines = (
-        docs.select(F.col(id_column).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(host_column).alias("host"), F.explode(F.split(text, "\n")).alias("x"))
-        .where(F.length(F.translate("x", BLANKS, "")) > 0)
-        .select("doc_id", "text_hash", norm.alias("norm"), "host")
-        .select("doc_id", "text_hash", F.xxhash64("host", "norm").alias("line"), (F.length("norm") - F.length(F.translate("norm", " ", "")) + 1).alias("words"))
-    )
+def removed_chars(docs: DataFrame, id_column: str, text_column: str, host_column: str, max_texts: int) -> DataFrame:
+    """``doc_id, text_hash, removed_chars`` of the documents that lose a line.
+
+    Frequent lines are fewer than one in ``max_texts`` lines; ``SALTS`` copies
+    of each meet the rows that hold it, so that no line's rows come together in
+    one task.
+    """
+    lines = written(host_lines(docs, id_column, text_column, host_column), "lines")
     salted = frequent_lines(lines, max_texts).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     held = lines.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(SALTS)).cast("int"))
     hit = held.join(salted, ["line", "salt"]).where(~F.col("doc_id").eqNullSafe(F.col("first_id")))
-    # rows that repeat an id with the same text count once; a line that a document holds twice counts twice
-    once = hit.groupBy("doc_id", "text_hash", "line").agg(F.count(F.lit(1)).alias("times"), F.max("words").alias("words"))
-    copies = docs.groupBy(F.col(id_column).alias("doc_id"), F.xxhash64(text).alias("text_hash")).agg(F.count(F.lit(1)).alias("copies"))
-    lost = once.groupBy("doc_id", "text_hash").agg(F.sum(F.col("times") * F.col("words")).alias("lost"))
-    same = lost["doc_id"].eqNullSafe(copies["doc_id"]) & (lost["text_hash"] == copies["text_hash"])
-    return lost.join(copies, same).select(lost["doc_id"], lost["text_hash"], (F.col("lost") / F.col("copies")).cast("long").alias("removed_words"))
+    # rows that repeat an id with its text count once
+    once = hit.groupBy("doc_id", "text_hash", "pos").agg(F.max("chars").alias("chars"))
+    return once.groupBy("doc_id", "text_hash").agg(F.sum("chars").cast("long").alias("removed_chars"))
 
 
 def judge(
@@ -110,12 +117,12 @@ def judge(
     max_repeat_percent: int = 30,
     min_left_percent: int = 20,
 ) -> DataFrame:
-    """The rows with the features, ``removed_words``, ``base_failed`` and ``kept``.
+    """The rows with the features, ``removed_chars``, ``base_failed`` and ``kept``.
 
     ``base_failed``: fewer than ``min_words`` words, or more than
     ``max_repeat_percent`` per cent of them in repeated windows.  ``kept`` is
-    false then, and where less than ``min_left_percent`` per cent of the words
-    are left after frequent lines of the host have gone.
+    false then, and where less than ``min_left_percent`` per cent of the
+    characters in words are left after frequent lines of the host have gone.
 
     A null text counts as empty and fails; a null host is a host of its own
     (the hash leaves it out); rows with the same id and text are judged alike;
@@ -123,12 +130,18 @@ def judge(
     columns pass through, but those named like a result are replaced.  An
     empty table gives no rows.
     """
-    results = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_words", "base_failed", "kept"]
+    results = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_chars", "base_failed", "kept"]
     base = features(docs.drop(*(c for c in results if c in docs.columns)), text_column)
     base = base.withColumn("_key", F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))))
-    lost = removed_words(docs, id_column, text_column, host_column, max_texts).select(F.col("doc_id").alias("_lost_id"), F.col("text_hash").alias("_lost_key"), "removed_words")
+    lost = removed_chars(docs, id_column, text_column, host_column, max_texts).select(F.col("doc_id").alias("_lost_id"), F.col("text_hash").alias("_lost_key"), "removed_chars")
     joined = base.join(lost, F.col(id_column).eqNullSafe(F.col("_lost_id")) & (F.col("_key") == F.col("_lost_key")), "left")
-    removed = F.coalesce(F.col("removed_words"), F.lit(0)).cast("long")
+    removed = F.coalesce(F.col("removed_chars"), F.lit(0)).cast("long")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    depleted = 100 * (F.col("n_words") - removed) < min_left_percent * F.col("n_words")
-    return joined.withColumns({"removed_words": removed, "base_failed": failed, "kept": ~failed & ~depleted}).drop("_key", "_lost_id", "_lost_key")
+    depleted = 100 * (F.col("word_chars") - removed) < min_left_percent * F.col("word_chars")
+    return joined.withColumns({"removed_chars": removed, "base_failed": failed, "kept": ~failed & ~depleted}).drop("_key", "_lost_id", "_lost_key")
+
+
+def keep_good(docs: DataFrame, **limits) -> DataFrame:
+    """The rows, with all their columns, that ``judge`` keeps."""
+    judged = judge(docs, **limits)
+    return judged.where("kept").select(*docs.columns)

@@ -44,7 +44,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(_documents(spark, sf_dir).select("doc_id", "text", "source"))
     base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    return judged.select("doc_id", *base, "base_failed", "kept", "removed_words")
+    return judged.select("doc_id", *base, "base_failed", "kept", "removed_chars")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
