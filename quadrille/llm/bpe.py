@@ -10,6 +10,7 @@ tokenizer whole.
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 
@@ -123,3 +124,15 @@ class Encoder:
         if not self.library.plain(text):
             return self._pack(text)
         return b"".join(map(self.table.__getitem__, self.cutter.findall(text.lower())))
+
+
+@functools.lru_cache(maxsize=2)
+def encoder(source: str) -> Encoder:
+    """The encoder of a worker process, with its table, for all tasks that it runs."""
+    return Encoder(source)
+
+
+@functools.lru_cache(maxsize=2)
+def counter(source: str, whole: tuple[str, ...]) -> Counter:
+    """As ``encoder``, for counting."""
+    return Counter(source, whole)

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Encoder
+from .bpe import encoder
 from .session import ship
 from .textkernel import chunks
 
@@ -101,7 +101,7 @@ def pack(docs: DataFrame, tokenizer_file: str, id_column: str = "doc_id", text_c
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer, kind = Encoder(shared.value), HarmonicPacker(TaskContext.get().partitionId(), capacity, slack), None
+        encode, packer, kind = encoder(shared.value), HarmonicPacker(TaskContext.get().partitionId(), capacity, slack), None
 
         def batch_of(found: list[tuple]) -> pa.RecordBatch:
             columns = list(zip(*found, strict=True))
@@ -113,7 +113,7 @@ def pack(docs: DataFrame, tokenizer_file: str, id_column: str = "doc_id", text_c
             for part, _, _ in chunks(batch, limit=4 << 20):
                 found = []
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    found += packer.place(doc, (encoder(text) if text else b"") + end)
+                    found += packer.place(doc, (encode(text) if text else b"") + end)
                 if found:
                     yield batch_of(found)
         if found := packer.finish():

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Counter, whole_tokens
+from .bpe import counter, whole_tokens
 from .session import ship
 from .textkernel import chunks
 
@@ -33,15 +33,15 @@ def count_tokens(docs: DataFrame, tokenizer_file: str, id_column: str = "doc_id"
     ship(spark)
     with open(tokenizer_file, encoding="utf-8") as file:
         source = file.read()
-    shared = spark.sparkContext.broadcast((source, whole_tokens(source)))
+    shared = spark.sparkContext.broadcast((source, tuple(whole_tokens(source))))
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(*shared.value)
+        count_one = counter(*shared.value)
         for batch in batches:
             for part, _, offsets in chunks(batch, limit=4 << 20):
-                n = np.array([counter(t) if t else 0 for t in part.column(1).to_pylist()], dtype=np.int64)
+                n = np.array([count_one(t) if t else 0 for t in part.column(1).to_pylist()], dtype=np.int64)
                 yield pa.record_batch({"doc_id": part.column(0), "n_bytes": np.diff(offsets), "n_tokens": n, "over_limit": n > limit})
 
     return rows.mapInArrow(count, f"doc_id {id_type}, n_bytes long, n_tokens long, over_limit boolean")
