@@ -475,6 +475,15 @@ class Join:
         return sorted_blocks.mapInArrow(_tree_pairs, "a long, b long").distinct()
 
 
+def _components(join: Join) -> DataFrame:
+    """``fp, root`` of every class; the root is one of the classes that links reach."""
+    lists = join.lists()
+    stars = join.links(join.star_pairs(lists))
+    more = join.links(join.tree_pairs(lists, connect(stars)))
+    linked = connect(stars.unionByName(more)).withColumnRenamed("node", "fp")
+    return join.classes.select("fp").join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def group(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row.
 
@@ -486,13 +495,24 @@ def group(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     are not read.
     """
     join = Join(docs, id_column, text_column)
-    lists = join.lists()
-    stars = join.links(join.star_pairs(lists))
-    near = connect(stars)
-    more = join.links(join.tree_pairs(lists, near))
-    linked = connect(stars.unionByName(more))
     names = join.docs.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least"))
-    rooted = names.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+    rooted = _components(join).join(names, "fp")
     component = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of_class = rooted.join(component, "root").select("fp", "component_id")
     return join.docs.join(of_class, "fp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows, with all their columns, less all but one document of each component: that with the smallest id stays.
+
+    Rows with the same id and text are one document.  Documents without words
+    are linked with nothing and stay; of a component where some ids are null,
+    one with an id stays.
+    """
+    join = Join(docs, id_column, text_column)
+    best = lambda: F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key"))
+    of_class = join.docs.where("n > 0").groupBy("fp").agg(best().alias("best"))
+    chosen = _components(join).join(of_class, "fp").groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.key").alias("_row_key"))
+    kept = written(chosen.unionByName(join.docs.where("n = 0").select(F.col("key").alias("_row_key"))).distinct(), "kept")
+    rows = docs.withColumn("_row_key", F.xxhash64(id_column, F.coalesce(F.col(text_column), F.lit(""))))
+    return rows.join(kept, "_row_key", "left_semi").dropDuplicates(["_row_key"]).select(*docs.columns)
