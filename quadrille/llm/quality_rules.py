@@ -141,7 +141,14 @@ def judge(
     return joined.withColumns({"removed_chars": removed, "base_failed": failed, "kept": ~failed & ~depleted}).drop("_key", "_lost_id", "_lost_key")
 
 
-def keep_good(docs: DataFrame, **limits) -> DataFrame:
-    """The rows, with all their columns, that ``judge`` keeps."""
-    judged = judge(docs, **limits)
-    return judged.where("kept").select(*docs.columns)
+def keep_good(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source", **limits) -> DataFrame:
+    """The rows, with all their columns, that ``judge`` keeps.
+
+    Verdicts are written without the texts before they meet the rows: a filter
+    on them would otherwise be pushed below the features and repeat them.
+    """
+    judged = judge(docs.select(id_column, text_column, host_column), id_column, text_column, host_column, **limits)
+    text_hash = F.xxhash64(F.coalesce(F.col(text_column), F.lit("")))
+    verdicts = written(judged.select(F.col(id_column).alias("_judged_id"), text_hash.alias("_judged_key"), "kept"), "verdicts")
+    rejected = verdicts.where(~F.col("kept")).select("_judged_id", "_judged_key").distinct()
+    return docs.join(rejected, F.col(id_column).eqNullSafe(F.col("_judged_id")) & (text_hash == F.col("_judged_key")), "left_anti")
