@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontamination, jaccard_join, language_id, license_scan, lm_scoring, packing, quality_rules, token_counts, warc
+from . import chat_format, decontamination, jaccard_join, language_id, license_scan, lm_scoring, packing, quality_rules, token_counts, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +37,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, model).select("doc_id", language_id.held_out_fold().alias("held_out"), "lang_pred", "score")
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = chat_format.as_transcripts(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    held_out = F.crc32(F.coalesce(F.col("conv_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
+    return chat_format.format_chats(lines, held_out).withColumn("held_out", held_out)
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.archive(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -57,7 +64,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_lm_scoring, op4_jaccard_join, op5_language_id, op7_warc, op8_quality_rules, op9_packing, op10_decontamination)}
+    return {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_lm_scoring, op4_jaccard_join, op5_language_id, op6_chat_format, op7_warc, op8_quality_rules, op9_packing, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
