@@ -8,120 +8,114 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..terms import XSD, datatype_of, is_blank, is_iri, is_literal, lang_of, text_of
-from .values import DOUBLE, EXACT, FLOAT, INTEGER, Number, Term, Text, Truth, Value, compare, decimal, integer, number_of, string_of, term_of, text_value, truth_of
+from .values import DOUBLE, EXACT, FLOAT, INTEGER, Fixed, Number, Term, Text, Truth, Value, compare, decimal, integer, let, number, number_of, string_of, term_of, text, text_value, truth_of
 
 _MOMENT = r"^-?\d{4,}-\d\d-\d\d(?:T\d\d:\d\d:\d\d(?:\.\d+)?)?(Z|[+-]\d\d:\d\d)?$"
 
 
-def _iri_term(text: Column) -> Column:
-    return F.concat(F.lit("<"), text, F.lit(">"))
+def _iri_term(name: Column) -> Column:
+    return F.concat(F.lit("<"), name, F.lit(">"))
 
 
-def _same_kind(a: Text, b: Text) -> Column:
+def _fits(a: Column, b: Column) -> Column:
     """Argument compatibility: the second is plain or has the first one's language."""
-    return (b.tail == "") | (a.tail == b.tail) if a.tail is not None and b.tail is not None else F.lit(True) if b.tail is None else b.tail == ""
+    return (b["tail"] == "") | (a["tail"] == b["tail"])
 
 
-def _tail(t: Text) -> Column:
-    return F.lit("") if t.tail is None else t.tail
+def _string(v: Value) -> Column:
+    return string_of(v)["text"]
 
 
 def _pair(test: Callable[[Column, Column], Column]) -> Callable[..., Value]:
-    def run(a: Value, b: Value) -> Value:
-        x, y = string_of(a), string_of(b)
-        return Truth(F.when(_same_kind(x, y), test(x.column, y.column)))
+    return lambda a, b: Truth(let(lambda x, y: F.when(_fits(x, y), test(x["text"], y["text"])), string_of(a), string_of(b)))
 
-    return run
 
+def _around(after: bool) -> Callable[..., Value]:
+    """The part before or after the first place of the second string; empty and plain where there is none."""
 
-def _before(a: Value, b: Value) -> Value:
-    x, y = string_of(a), string_of(b)
-    at = F.position(y.column, x.column)
-    found = F.when(y.column == "", F.lit("")).when(at > 0, F.substring(x.column, F.lit(1), at - 1)).otherwise(F.lit(""))
-    return Text(F.when(_same_kind(x, y) & x.column.isNotNull() & y.column.isNotNull(), found), F.when((at > 0) | (y.column == ""), _tail(x)).otherwise(F.lit("")))
+    def made(x: Column, y: Column, at: Column) -> Column:
+        whole = x["text"] if after else F.lit("")
+        part = F.substring(x["text"], at + F.length(y["text"]), F.length(x["text"])) if after else F.substring(x["text"], F.lit(1), at - 1)
+        found = F.when(y["text"] == "", whole).when(at > 0, part).otherwise(F.lit(""))
+        return text(F.when(_fits(x, y) & at.isNotNull(), found), F.when((at > 0) | (y["text"] == ""), x["tail"]).otherwise(F.lit("")))
 
-
-def _after(a: Value, b: Value) -> Value:
-    x, y = string_of(a), string_of(b)
-    at = F.position(y.column, x.column)
-    found = F.when(y.column == "", x.column).when(at > 0, F.substring(x.column, at + F.length(y.column), F.length(x.column))).otherwise(F.lit(""))
-    return Text(F.when(_same_kind(x, y) & x.column.isNotNull() & y.column.isNotNull(), found), F.when((at > 0) | (y.column == ""), _tail(x)).otherwise(F.lit("")))
+    return lambda a, b: Text(let(lambda x, y: let(made, x, y, F.position(y["text"], x["text"])), string_of(a), string_of(b)))
 
 
 def _substr(a: Value, start: Value, size: Value | None = None) -> Value:
-    x, begin = string_of(a), number_of(start).double
-    first = F.round(begin).cast("int")
-    last = F.length(x.column) + 1 if size is None else first + F.round(number_of(size).double).cast("int")
-    from_ = F.greatest(first, F.lit(1))
-    return Text(F.when(first.isNotNull() & last.isNotNull(), F.substring(x.column, from_, F.greatest(last - from_, F.lit(0)))), x.tail)
+    """Characters from the rounded start, counted from 1, before the rounded end."""
 
+    def made(x: Column, first: Column, end: Column) -> Column:
+        begin = F.greatest(first, F.lit(1))
+        return text(F.when(first.isNotNull() & end.isNotNull(), F.substring(x["text"], begin, F.greatest(end - begin, F.lit(0)))), x["tail"])
 
-def _flags(flags: Value | None) -> Column:
-    """Java's inline flags."""
-    if flags is None:
-        return F.lit("")
-    letters = F.regexp_replace(string_of(flags).column, "[^ismx]", "")
-    return F.when(letters == "", F.lit("")).otherwise(F.concat(F.lit("(?"), letters, F.lit(")")))
+    whole = lambda v: F.floor(number_of(v)["double"] + 0.5).cast("int")
+    if size is None:
+        return Text(let(lambda x, first: let(made, x, first, F.length(x["text"]) + 1), string_of(a), whole(start)))
+    return Text(let(lambda x, first, n: let(made, x, first, first + n), string_of(a), whole(start), whole(size)))
 
 
 def _pattern(pattern: Value, flags: Value | None) -> Column:
-    text = string_of(pattern).column
-    if flags is not None:
-        text = F.when(F.contains(string_of(flags).column, F.lit("q")), F.concat(F.lit("\\Q"), text, F.lit("\\E"))).otherwise(text)
-    return F.concat(_flags(flags), text)
+    """The pattern with Java's inline flags, quoted for the flag q."""
+    if flags is None:
+        return _string(pattern)
+
+    def made(p: Column, f: Column) -> Column:
+        letters = F.regexp_replace(f, "[^ismx]", "")
+        quoted = F.when(F.contains(f, F.lit("q")), F.concat(F.lit("\\Q"), p, F.lit("\\E"))).otherwise(p)
+        return F.when(letters == "", quoted).otherwise(F.concat(F.lit("(?"), letters, F.lit(")"), quoted))
+
+    return let(made, _string(pattern), _string(flags))
 
 
 def _regex(a: Value, pattern: Value, flags: Value | None = None) -> Value:
-    return Truth(F.regexp_like(string_of(a).column, _pattern(pattern, flags)))
+    return Truth(F.regexp_like(_string(a), _pattern(pattern, flags)))
 
 
 def _replace(a: Value, pattern: Value, with_: Value, flags: Value | None = None) -> Value:
-    x = string_of(a)
-    return Text(F.regexp_replace(x.column, _pattern(pattern, flags), string_of(with_).column), x.tail)
+    return Text(let(lambda x, p, w: text(F.regexp_replace(x["text"], p, w), x["tail"]), string_of(a), _pattern(pattern, flags), _string(with_)))
 
 
 def _concat(*parts: Value) -> Value:
-    texts = [string_of(p) for p in parts]
-    if not texts:
-        return Text(F.lit(""))
-    same = F.lit(True)
-    for t in texts[1:]:
-        same = same & (_tail(t) == _tail(texts[0]))
-    return Text(F.concat(*(t.column for t in texts)), F.when(same, _tail(texts[0])).otherwise(F.lit("")))
+    if not parts:
+        return Text(text(F.lit("")))
+
+    def made(*xs: Column) -> Column:
+        same = F.lit(True)
+        for x in xs[1:]:
+            same = same & (x["tail"] == xs[0]["tail"])
+        return text(F.concat(*(x["text"] for x in xs)), F.when(same, xs[0]["tail"]).otherwise(F.lit("")))
+
+    return Text(let(made, *map(string_of, parts)))
 
 
 def _encode(a: Value) -> Value:
-    text = F.url_encode(string_of(a).column)
+    out = F.url_encode(_string(a))
     for old, new in (("+", "%20"), ("*", "%2A"), ("%7E", "~")):
-        text = F.replace(text, F.lit(old), F.lit(new))
-    return Text(text)
+        out = F.replace(out, F.lit(old), F.lit(new))
+    return Text(text(out))
 
 
 def _lang_matches(a: Value, b: Value) -> Value:
-    tag, wanted = F.lower(string_of(a).column), F.lower(string_of(b).column)
-    return Truth(F.when(wanted == "*", tag != "").otherwise((tag == wanted) | F.startswith(tag, F.concat(wanted, F.lit("-")))))
+    made = lambda tag, wanted: F.when(wanted == "*", tag != "").otherwise((tag == wanted) | F.startswith(tag, F.concat(wanted, F.lit("-"))))
+    return Truth(let(made, F.lower(_string(a)), F.lower(_string(b))))
 
 
 def _hash(f: Callable[[Column], Column]) -> Callable[[Value], Value]:
-    return lambda a: Text(f(string_of(a).column.cast("binary")))
+    return lambda a: Text(text(f(_string(a).cast("binary"))))
 
 
 def _moment_text(a: Value) -> Column:
-    term = term_of(a)
-    return F.when(datatype_of(term).isin(XSD + "dateTime", XSD + "date") & text_of(term).rlike(_MOMENT), text_of(term))
+    """The text of a dateTime or date that is well formed; its own fields count, whatever the session's time zone."""
+    return let(lambda t: F.when(datatype_of(t).isin(XSD + "dateTime", XSD + "date") & text_of(t).rlike(_MOMENT), text_of(t)), term_of(a))
 
 
 def _part(pattern: str) -> Callable[[Value], Value]:
-    def run(a: Value) -> Value:
-        found = F.regexp_extract(_moment_text(a), pattern, 1)
-        return integer(F.when(found != "", found).cast("long"))
-
-    return run
+    return lambda a: integer(F.nullif(F.regexp_extract(_moment_text(a), pattern, 1), F.lit("")).cast("long"))
 
 
 def _seconds(a: Value) -> Value:
-    found = F.regexp_extract(_moment_text(a), r"T\d\d:\d\d:(\d\d(?:\.\d+)?)", 1)
-    return decimal(F.when(found != "", found).cast(EXACT))
+    return decimal(F.nullif(F.regexp_extract(_moment_text(a), r"T\d\d:\d\d:(\d\d(?:\.\d+)?)", 1), F.lit("")).cast(EXACT))
 
 
 def _zone(a: Value) -> Column:
@@ -129,74 +123,76 @@ def _zone(a: Value) -> Column:
 
 
 def _timezone(a: Value) -> Value:
-    zone = _zone(a)
-    sign = F.when(zone.startswith("-"), F.lit("-")).otherwise(F.lit(""))
-    hours, minutes = F.substring(zone, 2, 2).try_cast("int"), F.substring(zone, 5, 2).try_cast("int")
-    text = F.when((zone == "Z") | ((hours == 0) & (minutes == 0)), F.lit("PT0S")).otherwise(
-        F.concat(sign, F.lit("PT"), F.when(hours > 0, F.concat(hours.cast("string"), F.lit("H"))).otherwise(F.lit("")), F.when(minutes > 0, F.concat(minutes.cast("string"), F.lit("M"))).otherwise(F.lit("")))
-    )
-    return Text(F.when(zone != "", text), F.lit(f"^^<{XSD}dayTimeDuration>"))
+    def made(zone: Column) -> Column:
+        hours, minutes = F.substring(zone, 2, 2).try_cast("int"), F.substring(zone, 5, 2).try_cast("int")
+        part = lambda n, unit: F.when(n > 0, F.concat(n.cast("string"), F.lit(unit))).otherwise(F.lit(""))
+        sign = F.when(zone.startswith("-"), F.lit("-")).otherwise(F.lit(""))
+        out = F.when(zone.isin("Z", "+00:00", "-00:00"), F.lit("PT0S")).otherwise(F.concat(sign, F.lit("PT"), part(hours, "H"), part(minutes, "M")))
+        return text(F.when(zone != "", out), F.lit(f"^^<{XSD}dayTimeDuration>"))
 
+    return Text(let(made, _zone(a)))
 
-def _mapped(exact: Callable[[Column], Column], double: Callable[[Column], Column]) -> Callable[[Value], Value]:
-    def run(a: Value) -> Value:
-        n = number_of(a)
-        return Number(n.rank, exact(n.exact).try_cast(EXACT), double(n.double).cast("double"))
 
-    return run
+def _mapped(exact: Callable[[Column], Column], double: Callable[[Column], Column]) -> Callable[[Value], Value]:
+    return lambda a: Number(let(lambda n: number(n["rank"], exact(n["exact"]), double(n["double"])), number_of(a)))
 
 
 def _if(test: Value, then: Value, other: Value) -> Value:
-    t = truth_of(test)
-    return Term(F.when(t.isNull(), F.lit(None).cast("string")).when(t, term_of(then)).otherwise(term_of(other)))
+    return Term(let(lambda t, x, y: F.when(t.isNull(), F.lit(None).cast("string")).when(t, x).otherwise(y), truth_of(test), term_of(then), term_of(other)))
 
 
 def _strdt(a: Value, kind: Value) -> Value:
-    name = text_of(term_of(kind))
-    return Text(F.when(is_iri(term_of(kind)), string_of(a).column), F.when(name == XSD + "string", F.lit("")).otherwise(F.concat(F.lit("^^<"), name, F.lit(">"))))
+    def made(x: Column, k: Column) -> Column:
+        return text(F.when(is_iri(k) & (x["tail"] == ""), x["text"]), F.when(k == f"<{XSD}string>", F.lit("")).otherwise(F.concat(F.lit("^^"), k)))
+
+    return Text(let(made, string_of(a), term_of(kind)))
 
 
-def _datatype(a: Value) -> Value:
-    return Term(_iri_term(datatype_of(term_of(a))))
+def _strlang(a: Value, lang: Value) -> Value:
+    return Text(let(lambda x, y: text(F.when(x["tail"] == "", x["text"]), F.concat(F.lit("@"), F.lower(y))), string_of(a), _string(lang)))
 
 
 def _iri(a: Value) -> Value:
-    term = term_of(a)
-    return Term(F.when(is_iri(term), term).otherwise(_iri_term(string_of(a).column)))
+    return Term(let(lambda t, s: F.when(is_iri(t), t).otherwise(_iri_term(s)), term_of(a), _string(a)))
 
 
 def _blank(a: Value | None = None) -> Value:
-    """Equal labels give equal nodes within a row's values; without one every row has its own."""
-    return Term(F.concat(F.lit("_:b"), F.hex(F.xxhash64(string_of(a).column)) if a is not None else F.replace(F.uuid(), F.lit("-"), F.lit(""))))
+    """Equal labels give equal nodes; without one every row has its own."""
+    name = F.replace(F.uuid(), F.lit("-"), F.lit("")) if a is None else F.hex(F.xxhash64(_string(a)))
+    return Term(F.concat(F.lit("_:b"), name))
+
+
+def _same_text(f: Callable[[Column], Column]) -> Callable[[Value], Value]:
+    return lambda a: Text(let(lambda x: text(f(x["text"]), x["tail"]), string_of(a)))
 
 
 BUILTINS: dict[str, Callable[..., Value]] = {
-    "STR": lambda a: Text(text_value(a)),
-    "LANG": lambda a: Text(lang_of(term_of(a))),
-    "DATATYPE": _datatype,
+    "STR": lambda a: Text(text(text_value(a))),
+    "LANG": lambda a: Text(text(lang_of(term_of(a)))),
+    "DATATYPE": lambda a: Term(_iri_term(let(datatype_of, term_of(a)))),
     "IRI": _iri,
     "URI": _iri,
     "BNODE": _blank,
     "STRDT": _strdt,
-    "STRLANG": lambda a, b: Text(string_of(a).column, F.concat(F.lit("@"), F.lower(string_of(b).column))),
+    "STRLANG": _strlang,
     "UUID": lambda: Term(F.concat(F.lit("<urn:uuid:"), F.uuid(), F.lit(">"))),
-    "STRUUID": lambda: Text(F.uuid()),
+    "STRUUID": lambda: Text(text(F.uuid())),
     "SAMETERM": lambda a, b: Truth(term_of(a) == term_of(b)),
     "ISIRI": lambda a: Truth(is_iri(term_of(a))),
     "ISURI": lambda a: Truth(is_iri(term_of(a))),
     "ISBLANK": lambda a: Truth(is_blank(term_of(a))),
     "ISLITERAL": lambda a: Truth(is_literal(term_of(a))),
-    "ISNUMERIC": lambda a: Truth(F.when(term_of(a).isNotNull(), number_of(a).rank.isNotNull())),
+    "ISNUMERIC": lambda a: Truth(let(lambda t, n: F.when(t.isNotNull(), n["rank"].isNotNull()), term_of(a), number_of(a))),
     "IF": _if,
-    "STRLEN": lambda a: integer(F.length(string_of(a).column)),
+    "STRLEN": lambda a: integer(F.length(_string(a))),
     "SUBSTR": _substr,
-    "UCASE": lambda a: Text(F.upper(string_of(a).column), string_of(a).tail),
-    "LCASE": lambda a: Text(F.lower(string_of(a).column), string_of(a).tail),
+    "UCASE": _same_text(F.upper),
+    "LCASE": _same_text(F.lower),
     "STRSTARTS": _pair(F.startswith),
     "STRENDS": _pair(F.endswith),
     "CONTAINS": _pair(F.contains),
-    "STRBEFORE": _before,
-    "STRAFTER": _after,
+    "STRBEFORE": _around(False),
+    "STRAFTER": _around(True),
     "CONCAT": _concat,
     "ENCODE_FOR_URI": _encode,
     "LANGMATCHES": _lang_matches,
@@ -206,7 +202,7 @@ BUILTINS: dict[str, Callable[..., Value]] = {
     "CEIL": _mapped(F.ceil, F.ceil),
     "FLOOR": _mapped(F.floor, F.floor),
     "ROUND": _mapped(lambda x: F.floor(x + F.lit(0.5).cast("decimal(2,1)")), lambda x: F.floor(x + 0.5)),
-    "RAND": lambda: Number(F.lit(DOUBLE), F.lit(None).cast(EXACT), F.rand()),
+    "RAND": lambda: Number(number(F.lit(DOUBLE), F.lit(None).cast(EXACT), F.rand())),
     "YEAR": _part(r"^(-?\d{4,})-"),
     "MONTH": _part(r"^-?\d{4,}-(\d\d)"),
     "DAY": _part(r"^-?\d{4,}-\d\d-(\d\d)"),
@@ -214,8 +210,8 @@ BUILTINS: dict[str, Callable[..., Value]] = {
     "MINUTES": _part(r"T\d\d:(\d\d):"),
     "SECONDS": _seconds,
     "TIMEZONE": _timezone,
-    "TZ": lambda a: Text(F.when(_moment_text(a).isNotNull(), _zone(a))),
-    "NOW": lambda: Text(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX"), F.lit(f"^^<{XSD}dateTime>")),
+    "TZ": lambda a: Text(text(_zone(a))),
+    "NOW": lambda: Text(text(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX"), F.lit(f"^^<{XSD}dateTime>"))),
     "MD5": _hash(F.md5),
     "SHA1": _hash(F.sha1),
     "SHA256": _hash(lambda c: F.sha2(c, 256)),
@@ -224,32 +220,44 @@ BUILTINS: dict[str, Callable[..., Value]] = {
 }
 
 
+_WIDE = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+_PLAIN = r"^[+-]?(\d+\.?\d*|\.\d+)$"
+
+
 def cast(kind: str, a: Value) -> Value | None:
     """``xsd:kind(a)``; none where there is no such cast."""
-    n, text = number_of(a), F.trim(text_value(a))
+    lexical, n = F.trim(text_value(a)), number_of(a)
+    truth = a.column if isinstance(a, Truth) else let(lambda t: F.when(datatype_of(t) == XSD + "boolean", text_of(t).isin("true", "1")), term_of(a))
     if kind == "string":
-        return Text(text_value(a))
+        return Text(text(text_value(a)))
     if kind == "boolean":
-        of_text = F.when(text.isin("true", "1"), F.lit(True)).when(text.isin("false", "0"), F.lit(False))
-        return Truth(F.coalesce(F.when(n.rank.isNotNull(), (n.double != 0) & ~F.isnan(n.double)), of_text))
-    known = truth_of(a).cast("int") if isinstance(a, Truth) else F.when(datatype_of(term_of(a)) == XSD + "boolean", text.isin("true", "1").cast("int"))
-    double = F.coalesce(n.double, known.cast("double"), F.when(text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), text).try_cast("double"))
+        of_text = lambda x: F.when(x.isin("true", "1"), F.lit(True)).when(x.isin("false", "0"), F.lit(False))
+        return Truth(let(lambda x, m: F.coalesce(F.when(m["rank"].isNotNull(), (m["double"] != 0) & ~F.isnan(m["double"])), of_text(x)), lexical, n))
+    double = lambda x, m, b: F.coalesce(m["double"], b.cast("int").cast("double"), F.when(x.rlike(_WIDE), x).try_cast("double"))
+    exact = lambda x, m, b: F.coalesce(m["exact"], b.cast("int").cast(EXACT), F.when(x.rlike(_PLAIN), x).try_cast(EXACT), F.when(m["rank"].isNotNull(), m["double"].try_cast(EXACT)))
     if kind in ("double", "float"):
-        return Number(F.when(double.isNotNull(), DOUBLE if kind == "double" else FLOAT), F.lit(None).cast(EXACT), double)
-    exact = F.coalesce(n.exact, known.cast(EXACT), F.when(text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$"), text).try_cast(EXACT), F.when(n.rank.isNotNull(), n.double.try_cast(EXACT)))
+        rank = DOUBLE if kind == "double" else FLOAT
+        return Number(let(lambda d: number(F.when(d.isNotNull(), rank), F.lit(None).cast(EXACT), d), let(double, lexical, n, truth)))
     if kind == "decimal":
-        return decimal(exact)
+        return decimal(let(exact, lexical, n, truth))
     if kind == "integer":
-        whole = F.when(n.rank.isNotNull() | known.isNotNull() | text.rlike(r"^[+-]?\d+$"), F.when(exact >= 0, F.floor(exact)).otherwise(F.ceil(exact)))
-        return Number(F.when(whole.isNotNull(), INTEGER), whole.try_cast(EXACT), whole.cast("double"))
+        fits = lambda x, m, b: F.when(m["rank"].isNotNull() | b.isNotNull() | x.rlike(r"^[+-]?\d+$"), exact(x, m, b))
+        return integer(let(lambda e: F.when(e >= 0, F.floor(e)).otherwise(F.ceil(e)), let(fits, lexical, n, truth)))
     if kind in ("dateTime", "date"):
-        fits = text.try_cast("timestamp").isNotNull() & text.rlike(_MOMENT)
-        out = F.when(F.contains(text, F.lit("T")), text).otherwise(F.concat(text, F.lit("T00:00:00"))) if kind == "dateTime" else F.substring_index(text, "T", 1)
-        return Text(F.when(fits, out), F.lit(f"^^<{XSD}{kind}>"))
+
+        def moment(x: Column) -> Column:
+            fits = x.try_cast("timestamp").isNotNull() & x.rlike(_MOMENT)
+            out = F.when(F.contains(x, F.lit("T")), x).otherwise(F.concat(x, F.lit("T00:00:00"))) if kind == "dateTime" else F.substring_index(x, "T", 1)
+            return text(F.when(fits, out), F.lit(f"^^<{XSD}{kind}>"))
+
+        return Text(let(moment, lexical))
     return None
 
 
 def is_in(a: Value, others: list[Value]) -> Column:
+    """Equal to any of the others; constant IRIs need no more than a look-up."""
+    if others and all(isinstance(b, Fixed) and b.term.startswith("<") for b in others):
+        return term_of(a).isin(*(b.term for b in others if isinstance(b, Fixed)))
     out = F.lit(False)
     for b in others:
         out = out | compare("=", a, b)
