@@ -10,12 +10,13 @@ lost:
    hash; frequencies only serve to keep common passages out of the prefixes,
    so their table may be bounded.  Classes that share a prefix shingle form a
    list; equal lists are one.
-2. Each list links its classes to its least one, where the pair passes the
+2. Each list links its classes to a few leaders, where the pair passes the
    bound of the signatures and the comparison of the sets.  That joins most
    near copies without looking at all pairs among them.
-3. Of the lists that still hold several components, signature trees find every
-   pair of classes of different components that may be linked.  A node holds
-   the OR of the token bitmaps below it, their range of sizes and of
+3. Of the lists that still hold several components, signature trees find the
+   pairs of classes of different components that may be linked: for each two
+   components first the pair that can overlap most and then, where that is no
+   link and the components are still apart, every other.  A node holds the OR of the token bitmaps below it, their range of sizes and of
    components; two trees are traversed together, and a pair of nodes is pruned
    where its greatest possible overlap is too small or it lies in one
    component.  Surviving pairs are compared exactly.
@@ -36,12 +37,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connect
-from .session import drop_written, ship, written
-from .textkernel import SPACE, chunks, cut, mix, windows
+from .session import INTERNAL, drop_written, ship, written
+from .textkernel import SPACE, chunks, cut, mix, tidy, windows
 
 U64 = np.uint64
 SHINGLE = 5
-#: Least bits of a bitmap; a set of n shingles has at least 4n.
+ROW_KEY = f"{INTERNAL}row_key"
+#: Least bits of a bitmap; a set of n shingles has at least 2n.
 LEAST_BITS = 512
 #: A shingle that tasks saw this often, counting only tasks that saw it twice or more, is frequent.
 FREQUENT = 32
@@ -51,6 +53,10 @@ TABLE = 1 << 18
 BLOCK = 1024
 #: Children of a tree node.
 FAN = 8
+#: Pairs of nodes that are looked at together.
+SLICE = 1 << 15
+#: Classes from which on a list is large, and the leaders that it has then.
+LARGE, LEADERS = 64, 4
 #: Text bytes whose shingles a task sorts together, and whose prefixes a bucket gets on average.
 CHUNK, BUCKET = 8 << 20, 8 << 20
 
@@ -78,7 +84,7 @@ def fingerprint(shingles: np.ndarray) -> int:
 
 def bitmap(shingles: np.ndarray) -> bytes:
     """Bit h modulo width for every shingle; the width is a power of two."""
-    width = max(LEAST_BITS, 1 << int(4 * max(len(shingles), 1) - 1).bit_length())
+    width = max(LEAST_BITS, 1 << int(2 * max(len(shingles), 1) - 1).bit_length())
     bits = np.zeros(width, np.uint8)
     bits[(shingles & U64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits).tobytes()
@@ -128,7 +134,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # copies of a set count once
         held += list({f: s for f, s in zip(fps, sets, strict=True) if f}.values())
         size += sum(map(len, sets))
-        if size > CHUNK // 2:
+        if size > CHUNK // 4:
             yield repeated()
             held, size = [], 0
     if held:
@@ -221,7 +227,7 @@ def fold(bits: np.ndarray, width: int) -> np.ndarray:
 
 
 class SignatureTree:
-    """Members in order of size, in nodes of FAN children; level 0 are the members themselves."""
+    """Members in their order, in nodes of FAN children; level 0 are the members themselves."""
 
     def __init__(self, sizes: np.ndarray, bitmaps: np.ndarray, spare: np.ndarray, components: np.ndarray):
         self.levels = [(bitmaps, sizes, sizes, spare, components, components)]
@@ -257,16 +263,20 @@ class SignatureTree:
 
     @staticmethod
     def _prune(x: tuple, y: tuple, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        keep = (4 * x[2][a] >= 3 * y[1][b]) & (4 * y[2][b] >= 3 * x[1][a])
-        keep &= ~((x[4][a] == x[5][a]) & (y[4][b] == y[5][b]) & (x[4][a] == y[4][b]))
-        a, b = a[keep], b[keep]
-        if len(a):
-            shared = np.bitwise_count(x[0][a] & y[0][b]).sum(axis=1, dtype=np.int64)
+        kept = []
+        for begin in range(0, len(a), SLICE):
+            i, j = a[begin : begin + SLICE], b[begin : begin + SLICE]
+            near = (4 * x[2][i] >= 3 * y[1][j]) & (4 * y[2][j] >= 3 * x[1][i])
+            near &= ~((x[4][i] == x[5][i]) & (y[4][j] == y[5][j]) & (x[4][i] == y[4][j]))
+            i, j = i[near], j[near]
+            shared = np.bitwise_count(x[0][i] & y[0][j]).sum(axis=1, dtype=np.int64)
             # shingles of a set that fall on bits of another of its own are not seen in the bitmap
-            most = shared + np.minimum(x[3][a], y[3][b])
-            keep = 7 * most >= 3 * (x[1][a] + y[1][b])
-            a, b = a[keep], b[keep]
-        return a, b
+            most = shared + np.minimum(x[3][i], y[3][j])
+            wide = 7 * most >= 3 * (x[1][i] + y[1][j])
+            kept.append((i[wide], j[wide]))
+        if not kept:
+            return a, b
+        return np.concatenate([i for i, _ in kept]), np.concatenate([j for _, j in kept])
 
 
 def _cross(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -277,9 +287,9 @@ def _cross(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -
     return np.repeat(a[0], n) + nth // wide, np.repeat(b[0], n) + nth % wide
 
 
-def may_link(n: tuple[np.ndarray, np.ndarray], bits: tuple[list[bytes], list[bytes]]) -> np.ndarray:
-    """For pairs of sets: whether sizes and full bitmaps allow a similarity of 3/4."""
-    out = np.zeros(len(n[0]), bool)
+def greatest_similarity(n: tuple[np.ndarray, np.ndarray], bits: tuple[list[bytes], list[bytes]]) -> np.ndarray:
+    """For pairs of sets: the greatest similarity that sizes and full bitmaps allow, or 0 where it is below 3/4."""
+    out = np.zeros(len(n[0]))
     near = np.flatnonzero((4 * n[0] >= 3 * n[1]) & (4 * n[1] >= 3 * n[0]))
     widths = np.array([8 * min(len(bits[0][k]), len(bits[1][k])) for k in near.tolist()], np.int64)
     for width in np.unique(widths).tolist():
@@ -290,7 +300,8 @@ def may_link(n: tuple[np.ndarray, np.ndarray], bits: tuple[list[bytes], list[byt
             only_x = np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64)
             only_y = np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64)
             most = np.minimum(n[0][at] - only_x, n[1][at] - only_y)
-            out[at] = 7 * most >= 3 * (n[0][at] + n[1][at])
+            union = n[0][at] + n[1][at] - most
+            out[at] = np.where(4 * most >= 3 * union, most / union, 0)
     return out
 
 
@@ -298,22 +309,52 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b, n_a, n_b, bits_a, bits_b) that may be linked."""
     for batch in batches:
         a, b, n_a, n_b = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
-        keep = may_link((n_a, n_b), (batch.column(4).to_pylist(), batch.column(5).to_pylist()))
+        keep = greatest_similarity((n_a, n_b), (batch.column(4).to_pylist(), batch.column(5).to_pylist())) > 0
         yield pa.record_batch({"a": a[keep], "b": b[keep]})
 
 
-def _tree_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of each block, whose rows (block, side, class, n, bitmap, component) come together; side 2: in both halves."""
+def _tree_pairs(every: bool):
+    """Pairs of each block, whose rows (list, i, j, side, class, n, bitmap, component, large lists) come together; side 2: in both halves.
+
+    With ``every`` all pairs, else for each two components the pair that can
+    overlap most, and how many others there are.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _block_pairs(batches, every)
+        tidy()
+
+    return run
+
+
+def _owned(i: np.ndarray, j: np.ndarray, name: int, large: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs of a large list those that no large list of a lesser name holds too; all pairs of a small list."""
+    if not len(i) or name not in large[int(i[0])]:
+        return i, j
+    names = np.array(sorted({x for row in large for x in row}), np.int64)
+    held = np.zeros((len(large), len(names)), bool)
+    for k, row in enumerate(large):
+        held[k, np.searchsorted(names, row)] = True
+    own, kept = int(np.searchsorted(names, name)), np.zeros(len(i), bool)
+    for begin in range(0, len(i), SLICE):
+        part = slice(begin, begin + SLICE)
+        kept[part] = (held[i[part]] & held[j[part]]).argmax(axis=1) == own
+    return i[kept], j[kept]
+
+
+def _block_pairs(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.RecordBatch]:
     blocks: list[tuple] = []
-    last = None
+    last: tuple = ()
 
-    def close() -> tuple[list, list]:
+    def close() -> Iterator[tuple[int, int, int, int]]:
         sides = np.array([r[0] for r in blocks])
         n = np.array([r[2] for r in blocks], np.int64)
         component = np.array([r[4] for r in blocks], np.int64)
         small = np.stack([fold(np.frombuffer(r[3], np.uint8), LEAST_BITS) for r in blocks])
         spare = n - np.bitwise_count(small).sum(axis=1, dtype=np.int64)
-        order = np.argsort(n, kind="stable")
+        # members of one component together, so that whole nodes of them are pruned, and the others by size
+        _, group, many = np.unique(component, return_inverse=True, return_counts=True)
+        order = np.lexsort((n, np.where(many[group] >= FAN, group, -1)))
 
         def tree(at: np.ndarray) -> SignatureTree:
             return SignatureTree(n[at], small[at], spare[at], component[at])
@@ -324,36 +365,42 @@ def _tree_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         else:
             left, right = order[sides[order] == 0], order[sides[order] == 1]
             if not len(left) or not len(right):
-                return [], []
+                return
             i, j = tree(left).pairs(tree(right), False)
             i, j = left[i], right[j]
         keep = component[i] != component[j]
-        i, j = i[keep], j[keep]
-        keep = may_link((n[i], n[j]), ([blocks[k][3] for k in i.tolist()], [blocks[k][3] for k in j.tolist()]))
-        return [blocks[k][1] for k in i[keep].tolist()], [blocks[k][1] for k in j[keep].tolist()]
-
-    a: list[int] = []
-    b: list[int] = []
+        i, j = _owned(i[keep], j[keep], last[0], [r[5] for r in blocks])
+        most = greatest_similarity((n[i], n[j]), ([blocks[k][3] for k in i.tolist()], [blocks[k][3] for k in j.tolist()]))
+        i, j, most = i[most > 0], j[most > 0], most[most > 0]
+        others = np.zeros(len(i), np.int64)
+        if not every and len(i):
+            low, high = np.minimum(component[i], component[j]), np.maximum(component[i], component[j])
+            order = np.lexsort((j, i, -most, high, low))
+            first = np.flatnonzero(np.r_[True, (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])])
+            others = np.diff(np.r_[first, len(order)]) - 1
+            i, j = i[order[first]], j[order[first]]
+        yield from ((last[0], blocks[x][1], blocks[y][1], o) for x, y, o in zip(i.tolist(), j.tolist(), others.tolist(), strict=True))
+
+    found: list[tuple] = []
 
     def out() -> pa.RecordBatch:
-        return pa.record_batch({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+        lists, a, b, others = (np.array(c, np.int64) for c in zip(*found, strict=True))
+        return pa.record_batch({"list": lists, "a": np.minimum(a, b), "b": np.maximum(a, b), "others": others})
 
     for batch in batches:
-        columns = [batch.column(k).to_pylist() for k in range(8)]
+        columns = [batch.column(k).to_pylist() for k in range(9)]
         for name, *row in zip(zip(*columns[:3], strict=True), *columns[3:], strict=True):
             if name != last and blocks:
-                x, y = close()
-                a, b = a + x, b + y
+                found += close()
                 blocks = []
-                if len(a) > 50_000:
+                if len(found) > 20_000:
                     yield out()
-                    a, b = [], []
+                    found = []
             last = name
             blocks.append(tuple(row))
     if blocks:
-        x, y = close()
-        a, b = a + x, b + y
-    if a:
+        found += close()
+    if found:
         yield out()
 
 
@@ -424,7 +471,8 @@ class Join:
         size = self.docs.agg(F.sum("n")).first()[0] or 0
         self.buckets = max(2 * int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-6 * size // BUCKET))
         # one row for each different set; the bitmap is a function of the set
-        self.classes = self.docs.where("n > 0").groupBy("fp").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap"))
+        first = F.min(F.struct("key", "n", "bitmap")).alias("first")
+        self.classes = written(self.docs.where("n > 0").groupBy("fp").agg(first).select("fp", "first.*"), "classes")
 
     def lists(self) -> DataFrame:
         postings = self.texts.select("text").mapInArrow(_postings(self.buckets, self.common, self.counts), POSTINGS)
@@ -449,38 +497,60 @@ class Join:
         return out
 
     def star_pairs(self, lists: DataFrame) -> DataFrame:
-        """Each class of a list with the least of it, and the least classes of its parts with each other."""
-        least = lists.select(F.array_min("members").alias("a"), F.explode("members").alias("b")).select("a", "b")
+        """Each class of a list with the list's leaders, and the first leaders of its parts with each other.
+
+        The first leader is the least class.  A large list has others, by
+        hashes of the class, so that a near copy that has drifted too far from
+        one of them still meets one that it is linked with.
+        """
+        drawn = lambda k: F.array_min(F.transform("members", lambda m: F.struct(F.xxhash64(m, F.lit(k)).alias("h"), m.alias("m"))))["m"]
+        others = F.when(F.size("members") >= LARGE, F.array(*(drawn(k) for k in range(1, LEADERS)))).otherwise(F.array().cast("array<long>"))
+        led = lists.select(F.explode(F.concat(F.array(F.array_min("members")), others)).alias("a"), "members")
+        stars = led.select("a", F.explode("members").alias("b"))
         leaders = lists.select("list", F.array_min("members").alias("leader"))
         top = leaders.groupBy("list").agg(F.min("leader").alias("a"), F.max("leader").alias("other")).where("a <> other").select("list", "a")
         across = leaders.join(top, "list").select("a", F.col("leader").alias("b"))
-        pairs = least.unionByName(across).where("a <> b").distinct()
+        pairs = stars.unionByName(across).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         return self.with_bitmaps(pairs).mapInArrow(_bounded, "a long, b long")
 
-    def tree_pairs(self, lists: DataFrame, components: DataFrame) -> DataFrame:
-        """Pairs of classes of a list that lie in different components and may be linked."""
+    def tree_pairs(self, lists: DataFrame, components: DataFrame, every: bool) -> DataFrame:
+        """``list, a, b, others``: pairs of classes of a list that lie in different components and may be linked."""
         member = lists.select("list", F.explode("members").alias("fp"))
         placed = member.join(components.withColumnRenamed("node", "fp"), "fp", "left").select("list", "fp", F.coalesce("root", "fp").alias("component"))
         placed = written(placed, "placed")
-        split = placed.groupBy("list").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("size")).where("x <> y").select("list", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts"))
-        rows = placed.join(split, "list").join(self.classes.select("fp", "n", "bitmap"), "fp")
+        split = placed.groupBy("list").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("size")).where("x <> y").select("list", "size", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts"))
+        split = written(split, "split")
+        # near copies share many large lists: each class knows its own, so that a pair is looked at in one of them
+        large = placed.join(split.where(F.col("size") >= LARGE), "list").groupBy("fp").agg(F.collect_set("list").alias("large"))
+        known = self.classes.select("fp", "n", "bitmap").join(large, "fp", "left").withColumn("large", F.coalesce("large", F.array().cast("array<long>")))
+        rows = placed.join(split, "list").join(known, "fp")
         own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
         other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
         dealt = rows.withColumn("own", own).withColumn("other", other).select(
             "list", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
             F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
-            "fp", "n", "bitmap", "component",
+            "fp", "n", "bitmap", "component", "large",
         )
         sorted_blocks = dealt.repartition("list", "i", "j").sortWithinPartitions("list", "i", "j")
-        return sorted_blocks.mapInArrow(_tree_pairs, "a long, b long").distinct()
+        return sorted_blocks.mapInArrow(_tree_pairs(every), "list long, a long, b long, others long")
 
 
 def _components(join: Join) -> DataFrame:
     """``fp, root`` of every class; the root is one of the classes that links reach."""
     lists = join.lists()
-    stars = join.links(join.star_pairs(lists))
-    more = join.links(join.tree_pairs(lists, connect(stars)))
-    linked = connect(stars.unionByName(more)).withColumnRenamed("node", "fp")
+    edges = join.links(join.star_pairs(lists))
+    near = connect(edges)
+    best = written(join.tree_pairs(lists, near, False), "best")
+    edges = edges.unionByName(join.links(best.select("a", "b").distinct()))
+    near = connect(edges)
+    # where the best pair of two components is no link, any other may be one
+    root = lambda x: near.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
+    open_ = best.where("others > 0").join(root("a"), "a", "left").join(root("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
+    rest = written(lists.join(open_.select("list").distinct(), "list", "left_semi"), "rest")
+    if not rest.isEmpty():
+        more = join.links(join.tree_pairs(rest, near, True).select("a", "b").distinct())
+        near = connect(edges.unionByName(more))
+    linked = near.withColumnRenamed("node", "fp")
     return join.classes.select("fp").join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
@@ -512,7 +582,7 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     join = Join(docs, id_column, text_column)
     best = lambda: F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key"))
     of_class = join.docs.where("n > 0").groupBy("fp").agg(best().alias("best"))
-    chosen = _components(join).join(of_class, "fp").groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.key").alias("_row_key"))
-    kept = written(chosen.unionByName(join.docs.where("n = 0").select(F.col("key").alias("_row_key"))).distinct(), "kept")
-    rows = docs.withColumn("_row_key", F.xxhash64(id_column, F.coalesce(F.col(text_column), F.lit(""))))
-    return rows.join(kept, "_row_key", "left_semi").dropDuplicates(["_row_key"]).select(*docs.columns)
+    chosen = _components(join).join(of_class, "fp").groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.key").alias(ROW_KEY))
+    kept = written(chosen.unionByName(join.docs.where("n = 0").select(F.col("key").alias(ROW_KEY))).distinct(), "kept")
+    rows = docs.withColumn(ROW_KEY, F.xxhash64(id_column, F.coalesce(F.col(text_column), F.lit(""))))
+    return rows.join(kept, ROW_KEY, "left_semi").dropDuplicates([ROW_KEY]).select(*docs.columns)
