@@ -12,6 +12,7 @@ walking to sampled suffix positions.  Spans are merged by document.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import ship
+from .session import INTERNAL, ship
 from .textkernel import ALNUM, CHUNK_BYTES, Words, chunks, cut
 
 #: Every how many text positions the suffix array keeps a sample.
@@ -209,7 +210,7 @@ def benchmark_items(benchmark: DataFrame, id_column: str = "item_id", text_colum
     return [(r["i"], r["t"]) for r in rows.toLocalIterator()]
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", size: int = 10, shard_bytes: int = 4 * CHUNK_BYTES, keep: list[str] | None = None) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", size: int = 10, shard_bytes: int = CHUNK_BYTES, keep: list[str] | None = None) -> DataFrame:
     """Per row ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans``.
 
     ``spans`` are the merged removal spans as (first word, words).  A document
@@ -217,21 +218,25 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_
     a null or empty item gives no phrase.  Ids of documents may be null or
     repeated, each row gives one row; items that share an id count once.  Empty
     tables on either side give no hits, or no rows.  ``keep`` names input
-    columns to return as well.
+    columns to return as well; the names of the results then begin with
+    ``INTERNAL``.
     """
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(benchmark_items(benchmark, item_column))
     keep = keep or []
-    rows = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text"), *keep)
+    prefix = INTERNAL if keep else ""
+    rows = docs.select(F.col(id_column).alias(f"{INTERNAL}id"), F.col(text_column).alias(f"{INTERNAL}text"), *keep)
     kept = "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    schema = f"_id {rows.schema['_id'].dataType.simpleString()}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<word: long, words: long>>{kept}"
+    results = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<word: long, words: long>>"
+    named = ", ".join(f"{prefix}{c}" for c in re.split(r", (?=\w+ \w)", results))
+    schema = f"{prefix}doc_id {rows.schema[INTERNAL + 'id'].dataType.simpleString()}, {named}{kept}"
     span_type = pa.list_(pa.struct([("word", pa.int64()), ("words", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = Phrases(shared.value, size)
         for batch in batches:
-            for part, data, offsets in chunks(batch, "_text", shard_bytes):
+            for part, data, offsets in chunks(batch, f"{INTERNAL}text", shard_bytes):
                 words = cut(data, offsets, ALNUM)
                 which, at = occurrences(words, phrases)
                 hit = removal_spans(words, which, at, phrases)
@@ -247,7 +252,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_
                     edges = np.diff(mask)
                     spans[d] = [{"word": a, "words": b - a} for a, b in zip(np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist(), strict=True)]
                 columns = {
-                    "_id": part.column(0),
+                    "doc_id": part.column(0),
                     "n_words": words.counts.astype(np.int64),
                     "n_hit": n_hit.astype(np.int64),
                     "n_items": pa.array([len(n) for n in names], pa.int64()),
@@ -255,13 +260,12 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_
                     "contaminated": n_hit > 0,
                     "spans": pa.array(spans, span_type),
                 }
-                yield pa.record_batch([*columns.values(), *(part.column(2 + k) for k in range(len(keep)))], names=[*columns, *keep])
+                yield pa.record_batch([*columns.values(), *(part.column(2 + k) for k in range(len(keep)))], names=[*(prefix + c for c in columns), *keep])
 
-    out = rows.mapInArrow(run, schema)
-    return out if keep else out.withColumnRenamed("_id", "doc_id")
+    return rows.mapInArrow(run, schema)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows, with all their columns, that hold no phrase of the benchmark."""
     found = scan(docs, benchmark, id_column, text_column, keep=docs.columns)
-    return found.where(~F.col("contaminated")).select(*docs.columns)
+    return found.where(~F.col(f"{INTERNAL}contaminated")).select(*docs.columns)

@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .session import ship
+from .session import INTERNAL, ship
+from .textkernel import tidy
 
 BLOCK = 128
 UNKNOWN = "und"
@@ -66,14 +67,17 @@ class Automaton:
                         p = link[p]
                     link[q] = link[new] = twin
             last = new
-        step = np.full((len(follow), width), -1, np.int32)
+        # one state more, after a byte that no sample has: it follows nothing, so a phrase begins behind it
+        lost = len(follow)
+        step = np.full((lost + 1, width), -1, np.int32)
         for state, edges in enumerate(follow):
             for c, to in edges.items():
                 step[state, c] = 2 * to
-        root = np.where(step[0] >= 0, step[0], 0) | 1
-        # code 0 is no byte of any sample: it always ends a phrase, and the next one begins at the root
-        root[0] = 1
-        self.step = np.where(step >= 0, step, root[None, :]).astype(np.int32).ravel()
+        anew = np.where(step[0] >= 0, step[0], 2 * lost) | 1
+        step = np.where(step >= 0, step, anew)
+        # the start state is only met before the first byte, where a phrase has begun anyway
+        step[0] = anew & ~1
+        self.step = step.astype(np.int32).ravel()
         self.width = width
         self.bits = float(np.log2(max(len(sample), 2)))
 
@@ -170,29 +174,32 @@ def identify(docs: DataFrame, model: dict[str, bytes], id_column: str = "doc_id"
     return _apply(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")), model, ["doc_id"])
 
 
-def _apply(rows: DataFrame, model: dict[str, bytes], keep: list[str]) -> DataFrame:
+def _apply(rows: DataFrame, model: dict[str, bytes], keep: list[str], prefix: str = "") -> DataFrame:
+    """The columns to keep, and language and score, whose names begin with ``prefix``."""
     spark = rows.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep) + ", lang_pred string, score double"
+    results = [f"{prefix}lang_pred", f"{prefix}score"]
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep) + f", {results[0]} string, {results[1]} double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         identifier = Identifier(shared.value)
         for batch in batches:
             at, column = 0, batch.schema.get_field_index("text")
             while at < batch.num_rows:
-                part = batch.slice(at, 2000)
+                part = batch.slice(at, 500)
                 texts, begin = part.column(column).to_pylist(), 0
                 while begin < len(texts):
                     end, total = begin, 0
-                    while end < len(texts) and (end == begin or total < 4 << 20):
+                    while end < len(texts) and (end == begin or total < 1 << 20):
                         total += len(texts[end] or "")
                         end += 1
                     names, score = identifier(texts[begin:end])
                     piece = part.slice(begin, end - begin)
-                    yield pa.record_batch([*(piece.column(piece.schema.get_field_index(c)) for c in keep), pa.array(names, pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
+                    yield pa.record_batch([*(piece.column(piece.schema.get_field_index(c)) for c in keep), pa.array(names, pa.string()), pa.array(score)], names=[*keep, *results])
                     begin = end
-                at += 2000
+                at += 500
+            tidy()
 
     return rows.select(*keep, *(["text"] if "text" not in keep else [])).mapInArrow(run, schema)
 
@@ -211,4 +218,4 @@ def held_out_fold(id_column: str = "doc_id") -> Column:
 def keep_known(docs: DataFrame) -> DataFrame:
     """The rows, with all their columns, whose language is known: those without text or letters go."""
     model = learn(docs, held_out_fold())
-    return _apply(docs, model, docs.columns).where(F.col("lang_pred") != UNKNOWN).drop("lang_pred", "score")
+    return _apply(docs, model, docs.columns, INTERNAL).where(F.col(f"{INTERNAL}lang_pred") != UNKNOWN).select(*docs.columns)

@@ -9,11 +9,20 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Beginning of the names of columns that operators add to rows of others and take away again.
+INTERNAL = "_quadrille_"
+BATCH_ROWS, DEFAULT_ROWS, FEWER_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the Python workers this package, once for each application."""
+    """Give the Python workers this package, once for each application, and batches of texts that fit their memory.
+
+    Spark's default batch of 10,000 rows is meant for numbers; a session that
+    has set another size keeps it.
+    """
+    if spark.conf.get(BATCH_ROWS) == DEFAULT_ROWS:
+        spark.conf.set(BATCH_ROWS, FEWER_ROWS)
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return

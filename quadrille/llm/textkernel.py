@@ -13,6 +13,7 @@ about n*n / 2**65.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -100,11 +101,38 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def cut(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> Words:
-    """Cut lower-cased texts into words of a class and hash them."""
+    """Cut lower-cased texts into words of a class and hash them.
+
+    A text longer than a few chunks is taken in pieces that end between words,
+    so that the working memory follows the chunk and not the text.
+    """
     n = len(data)
     none = np.zeros(0, np.int64)
     if not n:
         return Words(np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), none, none, data)
+    if n <= 2 * CHUNK_BYTES:
+        begin, end, hashed, data = _cut_piece(data, offsets, table)
+        return Words(hashed, np.searchsorted(begin, offsets), begin, end, data)
+    parts, at = [], 0
+    while at < n:
+        to = min(at + CHUNK_BYTES, n)
+        while to < n:
+            gaps = np.flatnonzero(~table[data[to : to + 4096]])
+            if len(gaps):
+                to += int(gaps[0])
+                break
+            to = min(to + 4096, n)
+        inner = offsets[(offsets > at) & (offsets < to)] - at
+        begin, end, hashed, low = _cut_piece(data[at:to], np.concatenate([[0], inner, [to - at]]), table)
+        parts.append((begin + at, end + at, hashed, low))
+        at = to
+    begin, end, hashed, low = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return Words(hashed, np.searchsorted(begin, offsets), begin, end, low)
+
+
+def _cut_piece(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Beginnings, ends and hashes of the words, and the lower-cased bytes."""
+    n = len(data)
     data = _LOWER[data]
     word = table[data]
     before = np.empty(n, bool)
@@ -123,7 +151,7 @@ def cut(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> Words:
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(_BYTE[data] * powers[:n], out=total[1:])
         hashed = mix((total[end] - total[begin]) * inverse[begin])
-    return Words(hashed, np.searchsorted(begin, offsets), begin, end, data)
+    return begin, end, hashed, data
 
 
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -151,3 +179,22 @@ def chunks(batch: pa.RecordBatch, text: str = "text", limit: int = CHUNK_BYTES)
         to = min(max(to, at + 1), rows)
         yield batch.slice(at, to - at), data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         at = to
+    tidy()
+
+
+def _trimmer():
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):
+        return lambda _: 0
+
+
+_trim = None
+
+
+def tidy() -> None:
+    """Give memory that is no longer used back to the system; a worker process lives on for other tasks."""
+    global _trim
+    _trim = _trim or _trimmer()
+    pa.default_memory_pool().release_unused()
+    _trim(0)
