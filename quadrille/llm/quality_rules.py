@@ -8,10 +8,12 @@ too small a share of its characters is rejected.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .session import written
+from .session import INTERNAL, written
 
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -26,51 +28,54 @@ def words_of(text: Column) -> Column:
     return F.when(F.length(F.translate(text, BLANKS, "")) == 0, F.array().cast("array<string>")).otherwise(cut)
 
 
-def with_repeat_words(docs: DataFrame) -> DataFrame:
-    """Adds ``n_repeat_words``: words inside windows that occur twice or more, from the ``_hashes`` of the windows in order.
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, wherever the optimizer moves the expression."""
+    return F.get(F.transform(F.array(value), f), 0)
 
-    Positions of repeated windows are found by sorting (hash, position) and
-    comparing neighbours; each adds its words up to the next position.  Texts
-    whose windows all differ skip this.  Each array that is used more than once
-    is a column of its own, so that it is computed once.
-    """
-    some = F.size("_hashes") > F.size(F.array_distinct("_hashes"))
-    pairs = F.array_sort(F.transform("_hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    like_next = F.zip_with("_pairs", F.slice("_pairs", 2, F.size("_pairs")), lambda a, b: F.coalesce(a["h"] == b["h"], F.lit(False)))
-    like_last = F.concat(F.array(F.lit(False)), F.slice("_next", 1, F.size("_next") - 1))
-    either = F.zip_with("_next", like_last, lambda a, b: a | b)
-    places = F.array_sort(F.array_compact(F.zip_with("_pairs", either, lambda p, e: F.when(e, p["i"]))))
-    gaps = F.zip_with("_places", F.slice("_places", 2, F.size("_places")), lambda a, b: F.least(F.coalesce(b - a, F.lit(WINDOW)), F.lit(WINDOW)))
-    total = F.aggregate(gaps, F.lit(0), lambda a, b: a + b).cast("long")
-    return (
-        docs.withColumn("_pairs", F.when(some, pairs))
-        .withColumn("_next", F.when(F.col("_pairs").isNotNull(), like_next))
-        .withColumn("_places", F.when(F.col("_next").isNotNull(), places))
-        .withColumn("n_repeat_words", F.coalesce(F.when(F.col("_places").isNotNull(), total), F.lit(0).cast("long")))
-        .drop("_pairs", "_next", "_places")
-    )
+
+def covered(places: Column) -> Column:
+    """Words in the windows that begin at the sorted places: each adds its words up to the next one."""
+    gaps = F.zip_with(places, F.slice(places, 2, F.size(places)), lambda a, b: F.least(F.coalesce(b - a, F.lit(WINDOW)), F.lit(WINDOW)))
+    return F.aggregate(gaps, F.lit(0), lambda a, b: a + b)
+
+
+def repeated_places(pairs: Column) -> Column:
+    """Sorted places of (hash, place) pairs, in order of hash, that have a neighbour of the same hash."""
+    like_next = F.zip_with(pairs, F.slice(pairs, 2, F.size(pairs)), lambda a, b: F.coalesce(a["h"] == b["h"], F.lit(False)))
+    marked = lambda same: F.zip_with(
+        pairs, F.zip_with(same, F.concat(F.array(F.lit(False)), F.slice(same, 1, F.size(same) - 1)), lambda a, b: a | b), lambda p, e: F.when(e, p["i"])
+    )
+    return let(like_next, lambda same: F.array_sort(F.array_compact(marked(same))))
+
+
+def repeat_words(hashes: Column) -> Column:
+    """Words inside windows that occur twice or more, from the hashes of the windows in order; texts whose windows all differ skip the sort."""
+    in_order = lambda h: F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    total = lambda h: let(let(in_order(h), repeated_places), covered)
+    return let(hashes, lambda h: F.when(F.size(h) > F.size(F.array_distinct(h)), total(h)).otherwise(0)).cast("long")
+
+
+def window_hashes(words: Column) -> Column:
+    made = F.transform(F.sequence(F.lit(1), F.size(words) - WINDOW + 1), lambda i: F.xxhash64(F.slice(words, i, WINDOW)))
+    return F.when(F.size(words) >= WINDOW, made).otherwise(F.array().cast("array<bigint>"))
 
 
 def features(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """The rows with ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words``."""
     text = F.coalesce(F.col(text_column), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, BLANKS, "")) > 0)
-    first = docs.withColumns({"_words": words_of(text), "_lines": F.transform(lines, lambda x: F.xxhash64(x))})
-    n = F.size("_words")
-    hashes = F.when(
-        n >= WINDOW,
-        F.transform(F.sequence(F.lit(1), n - WINDOW + 1), lambda i: F.xxhash64(F.slice(F.col("_words"), i, WINDOW))),
-    ).otherwise(F.array().cast("array<bigint>"))
+    first = docs.withColumns({f"{INTERNAL}words": words_of(text), f"{INTERNAL}lines": F.transform(lines, lambda x: F.xxhash64(x))})
+    words = F.col(f"{INTERNAL}words")
     second = first.withColumns(
         {
-            "n_words": n.cast("long"),
+            "n_words": F.size(words).cast("long"),
             "word_chars": F.length(F.translate(text, BLANKS, "")).cast("long"),
             "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "_hashes": hashes,
+            "n_dup_lines": let(F.col(f"{INTERNAL}lines"), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
+            "n_repeat_words": let(words, lambda w: repeat_words(window_hashes(w))),
         }
     )
-    return with_repeat_words(second).drop("_words", "_lines", "_hashes")
+    return second.drop(f"{INTERNAL}words", f"{INTERNAL}lines")
 
 
 def host_lines(docs: DataFrame, id_column: str, text_column: str, host_column: str) -> DataFrame:
@@ -132,13 +137,13 @@ def judge(
     """
     results = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_chars", "base_failed", "kept"]
     base = features(docs.drop(*(c for c in results if c in docs.columns)), text_column)
-    base = base.withColumn("_key", F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))))
-    lost = removed_chars(docs, id_column, text_column, host_column, max_texts).select(F.col("doc_id").alias("_lost_id"), F.col("text_hash").alias("_lost_key"), "removed_chars")
-    joined = base.join(lost, F.col(id_column).eqNullSafe(F.col("_lost_id")) & (F.col("_key") == F.col("_lost_key")), "left")
+    base = base.withColumn(f"{INTERNAL}key", F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))))
+    lost = removed_chars(docs, id_column, text_column, host_column, max_texts).select(F.col("doc_id").alias(f"{INTERNAL}lost_id"), F.col("text_hash").alias(f"{INTERNAL}lost_key"), "removed_chars")
+    joined = base.join(lost, F.col(id_column).eqNullSafe(F.col(f"{INTERNAL}lost_id")) & (F.col(f"{INTERNAL}key") == F.col(f"{INTERNAL}lost_key")), "left")
     removed = F.coalesce(F.col("removed_chars"), F.lit(0)).cast("long")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     depleted = 100 * (F.col("word_chars") - removed) < min_left_percent * F.col("word_chars")
-    return joined.withColumns({"removed_chars": removed, "base_failed": failed, "kept": ~failed & ~depleted}).drop("_key", "_lost_id", "_lost_key")
+    return joined.withColumns({"removed_chars": removed, "base_failed": failed, "kept": ~failed & ~depleted}).drop(f"{INTERNAL}key", f"{INTERNAL}lost_id", f"{INTERNAL}lost_key")
 
 
 def keep_good(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source", **limits) -> DataFrame:
@@ -149,6 +154,6 @@ def keep_good(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
     """
     judged = judge(docs.select(id_column, text_column, host_column), id_column, text_column, host_column, **limits)
     text_hash = F.xxhash64(F.coalesce(F.col(text_column), F.lit("")))
-    verdicts = written(judged.select(F.col(id_column).alias("_judged_id"), text_hash.alias("_judged_key"), "kept"), "verdicts")
-    rejected = verdicts.where(~F.col("kept")).select("_judged_id", "_judged_key").distinct()
-    return docs.join(rejected, F.col(id_column).eqNullSafe(F.col("_judged_id")) & (text_hash == F.col("_judged_key")), "left_anti")
+    verdicts = written(judged.select(F.col(id_column).alias(f"{INTERNAL}judged_id"), text_hash.alias(f"{INTERNAL}judged_key"), "kept"), "verdicts")
+    rejected = verdicts.where(~F.col("kept")).select(f"{INTERNAL}judged_id", f"{INTERNAL}judged_key").distinct()
+    return docs.join(rejected, F.col(id_column).eqNullSafe(F.col(f"{INTERNAL}judged_id")) & (text_hash == F.col(f"{INTERNAL}judged_key")), "left_anti")
