@@ -127,7 +127,7 @@ def parse_files(spark: SparkSession, paths: str | Sequence[str], includes: Seque
 def read_quads(spark: SparkSession, paths: str | Sequence[str], includes: Sequence[str] = (), strict: bool = False, named_graphs: bool = False, dataset: str = "file") -> DataFrame:
     """Quads of files; statements without a graph go to the graph of their file.  Files that don't parse are left out, or raise if ``strict``."""
     found = parse_files(spark, paths, includes, named_graphs)
-    rows = found.where(F.col("error").isNull()) if not strict else found.where(F.when(F.col("error").isNull(), True).otherwise(F.raise_error("error").cast("boolean")))
+    rows = found.where(F.col("error").isNull()) if not strict else found.where(F.when(F.col("error").isNull(), True).otherwise(F.raise_error(F.col("error")).cast("boolean")))
     graph = F.coalesce("graph", F.concat(F.lit("<"), F.col("location"), F.lit(">")))
     return rows.select(F.lit(dataset).alias("dataset"), graph.alias("graph"), "s", "p", "o").dropDuplicates()
 
