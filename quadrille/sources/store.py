@@ -1,8 +1,9 @@
 """A versioned store of quads in Parquet.
 
 Each version is a folder of its own, partitioned by a bucket of the graph's
-name and sorted by subject, predicate and object within each file, so that a
-scan of a graph prunes folders and one of a subject prunes row groups.  A
+name and sorted within each file, by subject, predicate and object unless
+``order`` says otherwise, so that a scan of a graph prunes folders and one of
+a subject (or of what else is sorted first) prunes row groups.  A
 pointer file names the current version; it is replaced last, so readers see
 the old version or the new one and nothing between.  Changing some graphs
 rewrites only the buckets that hold them: the others are named by the manifest
@@ -28,8 +29,8 @@ class ReadOnlyError(PermissionError):
 
 
 class Store:
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 16, read_only: bool = False):
-        self.spark, self.path, self.buckets, self.read_only = spark, path.rstrip("/"), buckets, read_only
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 16, read_only: bool = False, order: Sequence[str] = ("s", "p", "o")):
+        self.spark, self.path, self.buckets, self.read_only, self.order = spark, path.rstrip("/"), buckets, read_only, tuple(order)
 
     # -- files, on whatever file system the path names
 
@@ -89,7 +90,7 @@ class Store:
         folder = f"v{version:06d}-{uuid.uuid4().hex[:8]}"
         rows = quads.select(*QUAD_COLUMNS).dropDuplicates(["dataset", "graph", "s", "p", "o"]).withColumn("bucket", self._bucket(F.col("graph"), buckets))
         # a hot graph's rows are dealt by subject as well, so that no task writes a whole bucket
-        dealt = rows.repartition("bucket", F.pmod(F.xxhash64("s"), F.lit(8))).sortWithinPartitions("bucket", "s", "p", "o")
+        dealt = rows.repartition("bucket", F.pmod(F.xxhash64("s"), F.lit(8))).sortWithinPartitions("bucket", *self.order)
         dealt.write.partitionBy("bucket").option("compression", "zstd").parquet(f"{self.path}/{folder}")
         system, path = self._file(folder)
         made = {s.getPath().getName().removeprefix("bucket="): f"{folder}/{s.getPath().getName()}" for s in system.listStatus(path) if s.getPath().getName().startswith("bucket=")}
