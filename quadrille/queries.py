@@ -368,6 +368,48 @@ def namespaces_merge(spark, sf_dir):
     return union.merge_namespaces(maps, F.col("place"))
 
 
+@register(f"SELECT graph, s, o FROM (SELECT {_N} AS graph, {_N} AS s, '<urn:nation/' || CAST((n_nationkey + 1) % 25 AS VARCHAR) || '>' AS o FROM nation) WHERE o NOT IN ({', '.join(repr(m) for m in MEMBERS)})")
+def strip_imports(spark, sf_dir):
+    return union.strip_imports(nation_graphs(spark, sf_dir), MEMBERS).where(F.col("p") == IMPORTS).select("graph", "s", "o")
+
+
+@register(f"SELECT '{ROOT}' AS graph, '{ROOT}' AS s")
+def collapse_declarations(spark, sf_dir):
+    return union.collapse_declarations(nation_graphs(spark, sf_dir), ROOT).where((F.col("p") == TYPE) & (F.col("o") == ONTOLOGY)).select("graph", "s")
+
+
+@register(f"SELECT {_N} AS graph FROM nation WHERE n_nationkey BETWEEN 10 AND 19 AND n_nationkey <> 13")
+def ontology_filter(spark, sf_dir):
+    names = nation_graphs(spark, sf_dir).select("graph").distinct()
+    return scan.allowed_names(names, "graph", ["nation/1[0-9]"], ["13"])
+
+
+_KEPT = f"WITH a AS ({sql_quads('nation')}), b AS ({sql_quads('nation', 'region')})"
+
+
+@register(_KEPT + " SELECT graph, s, p, o FROM a UNION ALL SELECT graph, s, p, o FROM b WHERE graph NOT IN (SELECT graph FROM a)")
+def ingest_preserve(spark, sf_dir):
+    return sync.preserved(quads_of(spark, sf_dir, "nation"), quads_of(spark, sf_dir, "nation", "region", dataset="new")).select("graph", "s", "p", "o")
+
+
+@register(_KEPT + " SELECT 'new' AS dataset, graph, s, p, o FROM b")
+def ingest_overwrite(spark, sf_dir):
+    return sync.overwritten(quads_of(spark, sf_dir, "nation"), quads_of(spark, sf_dir, "nation", "region", dataset="new")).select("dataset", "graph", "s", "p", "o")
+
+
+@register(WORLD + "SELECT DISTINCT s AS a, s AS b FROM q UNION SELECT DISTINCT o, o FROM q UNION SELECT s, o FROM q WHERE p = '<urn:p:n_regionkey>'")
+def path_optional_step(spark, sf_dir):
+    return sparql(world(spark, sf_dir), "SELECT ?a ?b { ?a p:n_regionkey? ?b }", PREFIX_MAP)
+
+
+@register(f"""WITH e AS (SELECT {_N} AS src, '<urn:nation/' || CAST((n_nationkey + 1) % 25 AS VARCHAR) || '>' AS dst FROM nation)
+  SELECT src, dst FROM e WHERE dst IN ({', '.join(repr(m) for m in MEMBERS)}) AND src IN ({', '.join(repr(m) for m in MEMBERS)})""")
+def dependency_edges(spark, sf_dir):
+    found = catalog.describe(nation_graphs(spark, sf_dir).where(F.col("graph").isin(*MEMBERS)))
+    edges, _ = catalog.dependency_edges(found.withColumn("location", F.col("graph")))
+    return edges
+
+
 # -- SPARQL: patterns
 
 
