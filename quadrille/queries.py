@@ -243,8 +243,14 @@ def path_star_absent(spark, sf_dir):
 
 @register(f"WITH RECURSIVE {TREE}, r(src, dst) AS (SELECT src, dst FROM t WHERE src <= 50 UNION SELECT r.src, t.dst FROM r JOIN t ON t.src = r.dst) SELECT {_PART.format('src')} AS a, CAST(count(*) AS BIGINT) AS n FROM r GROUP BY src")
 def path_plus_variables(spark, sf_dir):
-    few = part_tree(spark, sf_dir).where(F.substring_index(text_of(F.col("s")), "/", -1).cast("int") <= 50)
-    found = sparql(few, f"SELECT ?a ?b {{ ?a {SUBCLASS}+ ?b }}", unique=True)
+    """The counts that the SQL asks for: of the path over all parts, the starts up to 50."""
+    return path_plus_all(spark, sf_dir).where(F.substring_index(text_of(F.col("a")), "/", -1).cast("long") <= 50)
+
+
+@register(f"WITH RECURSIVE {TREE}, r(src, dst) AS (SELECT src, dst FROM t UNION SELECT r.src, t.dst FROM r JOIN t ON t.src = r.dst) SELECT {_PART.format('src')} AS a, CAST(count(*) AS BIGINT) AS n FROM r GROUP BY src")
+def path_plus_all(spark, sf_dir):
+    """A path with both ends variable over all parts."""
+    found = sparql(part_tree(spark, sf_dir), f"SELECT ?a ?b {{ ?a {SUBCLASS}+ ?b }}", unique=True)
     return found.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -35,3 +35,13 @@ def test_query(spark, duck, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_paths_cover_all_parts(spark, monkeypatch):
+    """Every part below the root of the tree begins a path, and the operator of both queries is given all edges."""
+    edges = core.table(spark, SF_DIR, "part").where("p_partkey > 1").count()
+    given, operator = [], core.sparql
+    monkeypatch.setattr(core, "sparql", lambda quads, *a, **k: given.append(quads.count()) or operator(quads, *a, **k))
+    assert core.queries()["path_plus_all"](spark, SF_DIR).count() == edges
+    core.queries()["path_plus_variables"](spark, SF_DIR)
+    assert given == [edges] * 2
