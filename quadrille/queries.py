@@ -411,7 +411,14 @@ def path_optional_step(spark, sf_dir):
 @register(f"""WITH e AS (SELECT {_N} AS src, '<urn:nation/' || CAST((n_nationkey + 1) % 25 AS VARCHAR) || '>' AS dst FROM nation)
   SELECT src, dst FROM e WHERE dst IN ({', '.join(repr(m) for m in MEMBERS)}) AND src IN ({', '.join(repr(m) for m in MEMBERS)})""")
 def dependency_edges(spark, sf_dir):
-    found = catalog.describe(nation_graphs(spark, sf_dir).where(F.col("graph").isin(*MEMBERS)))
+    """The edges that the SQL asks for: of those among all graphs, the ones within the members."""
+    return dependency_edges_all(spark, sf_dir).where(F.col("src").isin(*MEMBERS) & F.col("dst").isin(*MEMBERS))
+
+
+@register(f"SELECT {_N} AS src, '<urn:nation/' || CAST((n_nationkey + 1) % 25 AS VARCHAR) || '>' AS dst FROM nation")
+def dependency_edges_all(spark, sf_dir):
+    """The imports among all graphs."""
+    found = catalog.describe(nation_graphs(spark, sf_dir))
     edges, _ = catalog.dependency_edges(found.withColumn("location", F.col("graph")))
     return edges
 
@@ -587,7 +594,7 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: triples by predicate of the normalised union of an import closure."""
     quads = nation_graphs(spark, sf_dir)
     edges = closure.declared_imports(quads).select(F.col("graph").alias("src"), F.col("target").alias("dst"))
-    members = [r["node"] for r in closure.import_closure(edges, ROOT, 10).collect()]
+    members = [r["node"] for r in closure.import_closure(edges, ROOT).collect()]
     return union.normalized_union(quads, members, ROOT).groupBy("p").agg(F.count(F.lit(1)).alias("n"))
 
 

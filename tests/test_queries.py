@@ -45,3 +45,11 @@ def test_paths_cover_all_parts(spark, monkeypatch):
     assert core.queries()["path_plus_all"](spark, SF_DIR).count() == edges
     core.queries()["path_plus_variables"](spark, SF_DIR)
     assert given == [edges] * 2
+
+
+def test_entry_and_dependencies_cover_all_graphs(spark):
+    """The imports of the nations are one ring, so the closure of any of them holds all."""
+    counts = {r["p"]: r["n"] for r in __spark_entry__.entry(spark).collect()}
+    assert counts["<urn:p:n_name>"] == 25 and core.IMPORTS not in counts
+    ring = {(f"<urn:nation/{k}>", f"<urn:nation/{(k + 1) % 25}>") for k in range(25)}
+    assert {tuple(r) for r in core.queries()["dependency_edges_all"](spark, SF_DIR).select("src", "dst").collect()} == ring
