@@ -141,26 +141,47 @@ class Identifier:
         return [self.names[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist(), strict=True)], np.where(known, score, 0.0)
 
 
+def pieces(texts: list[tuple[int, bytes]], size: int) -> bytes:
+    """Pieces of different texts, given with a number each, that make up to ``size`` bytes: an equal share of each, and what short texts leave goes to the longer ones.
+
+    A piece begins where the text's number says, since many texts may begin alike.
+    """
+    room, out = size + 1, []
+    by_length = sorted({text: number for number, text in reversed(texts) if text}.items(), key=lambda x: (len(x[0]), x[1]))
+    for k, (text, number) in enumerate(by_length):
+        # each piece is followed by a blank
+        share = room // (len(by_length) - k) - 1
+        if share > 0:
+            at = number % (len(text) - share + 1) if len(text) > share else 0
+            piece = text[at : at + share].decode(errors="ignore").strip().encode()
+            if piece:
+                out.append(piece)
+                room -= len(piece) + 1
+    return b" ".join(out)
+
+
 def samples(labelled: DataFrame, sample_docs: int, sample_bytes: int) -> dict[str, bytes]:
-    """For each language up to ``sample_bytes`` of the texts of about ``sample_docs`` documents, by the ids' hash.
+    """For each language up to ``sample_bytes`` of about ``sample_docs`` different texts, by the texts' hash.
 
-    ``labelled`` has doc_id, text and lang.  Only the sampled rows come to the
-    driver; their number is set by the two bounds, not by the table.
+    ``labelled`` has text and lang.  Only the sampled texts come to the driver,
+    each once; their number is set by the two bounds, not by the table.
     """
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    text_hash = F.xxhash64("text")
+    # the count of different texts need not be exact, since it only sets the share
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.approx_count_distinct(text_hash).alias("n")).collect()}
     if not sizes:
         return {}
     span = 1 << 40
-    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(span))
+    place = F.pmod(text_hash, F.lit(span))
     wanted: Column = F.lit(False)
     for lang, n in sizes.items():
         share = span if n <= sample_docs else int(span * sample_docs / n)
         wanted = wanted | ((F.col("lang") == lang) & (place < share))
-    rows = labelled.where(wanted).select("lang", place.alias("place"), F.substring("text", 1, sample_bytes).alias("text")).collect()
-    out: dict[str, list[bytes]] = {}
-    for row in sorted(rows, key=lambda r: (r["lang"], r["place"], r["text"])):
-        out.setdefault(row["lang"], []).append(fold(row["text"]))
-    return {lang: joined for lang, parts in out.items() if (joined := b" ".join(p for p in parts if p)[:sample_bytes])}
+    rows = labelled.where(wanted).select("lang", text_hash.alias("number"), F.substring("text", 1, sample_bytes).alias("text")).distinct().collect()
+    out: dict[str, list[tuple[int, bytes]]] = {}
+    for row in sorted(rows, key=lambda r: (r["lang"], r["number"], r["text"])):
+        out.setdefault(row["lang"], []).append((row["number"], fold(row["text"])))
+    return {lang: joined for lang, texts in out.items() if (joined := pieces(texts, sample_bytes))}
 
 
 def identify(docs: DataFrame, model: dict[str, bytes], id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -206,7 +227,7 @@ def _apply(rows: DataFrame, model: dict[str, bytes], keep: list[str], prefix: st
 
 def learn(docs: DataFrame, held_out: Column, sample_docs: int = 200, sample_bytes: int = 16_384) -> dict[str, bytes]:
     """Samples of the rows that have text and lang and are not held out."""
-    rows = docs.where(~held_out & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
+    rows = docs.where(~held_out & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
     return samples(rows, sample_docs, sample_bytes)
 
 

@@ -304,6 +304,20 @@ def test_language_id(odd, small, spark):
     assert kept.columns == odd.columns and kept.count() == odd.count() - 4
 
 
+def test_language_samples_take_a_share_of_each_text(spark):
+    """One long text, or a text in many copies, leaves room for all others."""
+    names = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu".split()
+    own = [f"{w * 3} {w}x" for w in names]
+    rows = [(k, "long page " * 5000, "en") for k in range(3)] + [(10 + k, "copied text", "en") for k in range(50)] + [(100 + k, t, "en") for k, t in enumerate(own)]
+    sample = language_id.samples(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 200, 2000)["en"].decode()
+    assert len(sample.encode()) <= 2000 and sample.count("copied text") == 1 and "long page" in sample
+    assert all(t in sample for t in own)
+    # beginnings that are alike do not fill the sample
+    alike = [(97 * k, b"the same head of all pages " * 4 + w.encode() * 30) for k, w in enumerate(names)]
+    assert sum(w in language_id.pieces(alike, 2000).decode() for w in names) > 1
+    assert language_id.pieces([(5, "é".encode() * 100)], 11).decode().strip("é") == ""
+
+
 # -- 6
 
 
