@@ -264,6 +264,19 @@ def test_components_of_a_chain(spark):
     assert connect(edges.limit(0)).isEmpty()
 
 
+def test_jaccard_compares_large_sets_by_all_bits():
+    """Shingles that agree in 40 bits only are not common in large sets, and those that repeat in a small one are not common with nothing."""
+    rng = np.random.default_rng(3)
+    for n in (jaccard_join.WHOLE, 2 * jaccard_join.WHOLE):
+        one = np.unique(rng.integers(0, 1 << 63, n + 100, dtype=np.uint64))[:n]
+        other = one ^ (np.uint64(1) << np.uint64(63)) * (np.arange(n) % 4 == 0)
+        assert jaccard_join.common_shingles(jaccard_join.pack_set(one), jaccard_join.pack_set(other)) == n - n // 4
+        smaller = jaccard_join.pack_set(one[: jaccard_join.WHOLE - 1])
+        assert jaccard_join.common_shingles(smaller, jaccard_join.pack_set(one)) == jaccard_join.WHOLE - 1
+    twins = np.array([1, 1 + (1 << 40)], np.uint64)
+    assert jaccard_join.common_shingles(jaccard_join.pack_set(twins), jaccard_join.pack_set(np.array([2, 3], np.uint64))) == 0
+
+
 # -- 5
 
 
