@@ -19,6 +19,3 @@ def spark():
     yield session
     session.stop()
 
-
-def rows(df):
-    return sorted((tuple(r) for r in df.collect()), key=str)

@@ -1,7 +1,7 @@
 """Scans, closures and unions against small hand-made graphs and plain Python."""
 
 import pytest
-from conftest import rows
+from row_tools import rows
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 

@@ -4,7 +4,7 @@ import json
 import os
 
 import pytest
-from conftest import rows
+from row_tools import rows
 
 from quadrille import cli
 from quadrille.env import CapabilityError, Config, Environment, MemoryGraphs, UnresolvedImportError

@@ -1,7 +1,7 @@
 """The query language: joins with unbound variables, errors, aggregates, functions, forms."""
 
 import pytest
-from conftest import rows
+from row_tools import rows
 
 from quadrille.sparql.compiler import query
 from quadrille.sparql.parser import SparqlError, parse
