@@ -6,7 +6,7 @@ import os
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
-from test_operators import plain_components, plain_contamination, plain_quality
+from plain_versions import plain_components, plain_contamination, plain_quality
 
 import corpus_pipeline
 
