@@ -29,8 +29,9 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS text, source, regexp_extract_all
 lines AS (SELECT doc_id, text, source, unnest(string_split(text, chr(10))) AS x FROM d),
 full_lines AS (SELECT doc_id, text, x, lower(translate(x, {_BLANKS}, '')) AS line, source FROM lines WHERE translate(x, {_BLANKS}, '') <> ''),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n FROM full_lines GROUP BY doc_id),
-often AS (SELECT source, line, min(doc_id) AS first_id FROM full_lines GROUP BY source, line HAVING count(DISTINCT text) > 100),
-lost AS (SELECT doc_id, sum(length(line)) AS n FROM full_lines JOIN often USING (source, line) WHERE doc_id <> first_id GROUP BY doc_id),
+hosts AS (SELECT source, count(DISTINCT doc_id) AS docs FROM documents GROUP BY source),
+often AS (SELECT source, line FROM full_lines JOIN hosts USING (source) GROUP BY source, line, docs HAVING count(DISTINCT doc_id) > 5 AND 100 * count(DISTINCT doc_id) > 8 * docs),
+lost AS (SELECT doc_id, sum(length(line)) AS n FROM full_lines JOIN often USING (source, line) GROUP BY doc_id),
 win AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
 again AS (SELECT doc_id, k FROM win GROUP BY doc_id, k HAVING count(*) > 1),
 rep AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM win JOIN again USING (doc_id, k), (SELECT unnest(range(0, 8)) AS j) GROUP BY doc_id),

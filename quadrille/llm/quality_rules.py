@@ -1,9 +1,11 @@
 """Quality rules in plain DataFrame operations, with cross-document line frequency.
 
-Lines are normalised (without blanks, lower-cased) and hashed with their host.  For each of these hashes the distinct texts that hold it are
-counted; a line above ``max_texts`` is boilerplate of its host.  It is removed
-from all documents but the one with the smallest id, and a document left with
-too small a share of its characters is rejected.
+Lines are normalised (without blanks, lower-cased) and hashed with their host.
+For each of these hashes the distinct documents that hold it are counted.  A
+line that stands in more than ``min_docs`` documents and in more than
+``max_percent`` per cent of its host's documents is boilerplate: it is removed
+from all of them, and a document left with too small a share of its characters
+is rejected.  Both limits are alike at every size of the table.
 """
 
 from __future__ import annotations
@@ -13,13 +15,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .session import INTERNAL, written
+from .session import INTERNAL, drop_written, written
 
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
-#: Copies of each frequent line, over which the rows that hold it are dealt.
-SALTS = 16
+#: Limits of the rules: see ``judge``.
+MIN_DOCS, MAX_PERCENT = 5, 8
+MIN_WORDS, MAX_REPEAT_PERCENT, MIN_LEFT_PERCENT = 20, 30, 20
+#: A line is hot where its documents are more than this part of what a task gets on average.
+HOT = 0.25
 
 
 def words_of(text: Column) -> Column:
@@ -55,8 +60,16 @@ def repeat_words(hashes: Column) -> Column:
     return let(hashes, lambda h: F.when(F.size(h) > F.size(F.array_distinct(h)), total(h)).otherwise(0)).cast("long")
 
 
+def paired(hashes: Column, step: int) -> Column:
+    """A hash of each element and the one ``step`` places behind it."""
+    return let(hashes, lambda h: F.transform(F.slice(h, 1, F.greatest(F.size(h) - step, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(h, i + step))))
+
+
 def window_hashes(words: Column) -> Column:
-    made = F.transform(F.sequence(F.lit(1), F.size(words) - WINDOW + 1), lambda i: F.xxhash64(F.slice(words, i, WINDOW)))
+    """A hash of each run of ``WINDOW`` words, made of the hashes of its halves, and these of theirs."""
+    size, made = 1, F.transform(words, lambda w: F.xxhash64(w))
+    while size < WINDOW:
+        made, size = paired(made, size), 2 * size
     return F.when(F.size(words) >= WINDOW, made).otherwise(F.array().cast("array<bigint>"))
 
 
@@ -78,38 +91,76 @@ def features(docs: DataFrame, text_column: str = "text") -> DataFrame:
     return second.drop(f"{INTERNAL}words", f"{INTERNAL}lines")
 
 
-def host_lines(docs: DataFrame, id_column: str, text_column: str, host_column: str) -> DataFrame:
-    """``doc_id, text_hash, pos, line, chars`` of every line that has a word.
+def normal_line(line: Column) -> Column:
+    """A line without its blanks, in lower case."""
+    return F.lower(F.translate(line, BLANKS.replace("\n", ""), ""))
 
-    A line is compared without its blanks and in lower case, together with its
-    host; ``chars`` are its code points in words.
-    """
+
+def line_hash(host: Column, line: Column) -> Column:
+    return F.xxhash64(host, normal_line(line))
+
+
+def row_hash(text_column: str, host_column: str) -> Column:
+    """What tells rows of one id apart."""
+    return F.xxhash64(F.coalesce(F.col(text_column), F.lit("")), F.lit("\n"), F.col(host_column))
+
+
+def host_lines(docs: DataFrame, id_column: str, text_column: str, host_column: str) -> DataFrame:
+    """``doc_id, row, host, pos, line, chars`` of every line that has a word; ``chars`` are its code points in words."""
     text = F.coalesce(F.col(text_column), F.lit(""))
-    rows = docs.select(F.col(id_column).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(host_column).alias("host"), F.posexplode(F.split(F.translate(text, BLANKS.replace("\n", ""), ""), "\n")).alias("pos", "x"))
-    return rows.where(F.col("x") != "").select("doc_id", "text_hash", "pos", F.xxhash64("host", F.lower("x")).alias("line"), F.length("x").alias("chars"))
+    lines = F.split(F.translate(text, BLANKS.replace("\n", ""), ""), "\n")
+    rows = docs.select(F.col(id_column).alias("doc_id"), row_hash(text_column, host_column).alias("row"), F.col(host_column).alias("host"), F.posexplode(lines).alias("pos", "x"))
+    return rows.where(F.col("x") != "").select("doc_id", "row", F.xxhash64("host").alias("host"), "pos", line_hash(F.col("host"), F.col("x")).alias("line"), F.length("x").alias("chars"))
 
 
-def frequent_lines(lines: DataFrame, max_texts: int) -> DataFrame:
-    """Lines held by more than ``max_texts`` different texts, with the smallest document id."""
-    per_text = lines.groupBy("line", "text_hash").agg(F.min("doc_id").alias("doc_id"))
-    counted = per_text.groupBy("line").agg(F.count(F.lit(1)).alias("n_texts"), F.min("doc_id").alias("first_id"))
-    return counted.where(F.col("n_texts") > max_texts).select("line", "first_id")
+def frequent_lines(lines: DataFrame, docs_of_host: DataFrame, min_docs: int, max_percent: float) -> DataFrame:
+    """``line, n_docs`` of the lines above the limits.
 
+    Documents are told apart by their ids; all rows without an id count as one
+    document.  The pairs of line and document are made distinct first, so no
+    task gets all rows of a line.
+    """
+    pairs = lines.groupBy("line", "doc_id").agg(F.min("host").alias("host"))
+    counted = pairs.groupBy("line").agg(F.count(F.lit(1)).alias("n_docs"), F.min("host").alias("host")).where(F.col("n_docs") > min_docs)
+    return counted.join(docs_of_host, "host").where(100 * F.col("n_docs") > max_percent * F.col("host_docs")).select("line", "n_docs")
 
-def removed_chars(docs: DataFrame, id_column: str, text_column: str, host_column: str, max_texts: int) -> DataFrame:
-    """``doc_id, text_hash, removed_chars`` of the documents that lose a line.
 
-    Frequent lines are fewer than one in ``max_texts`` lines; ``SALTS`` copies
-    of each meet the rows that hold it, so that no line's rows come together in
-    one task.
+def lost_lines(docs: DataFrame, id_column: str, text_column: str, host_column: str, min_docs: int, max_percent: float) -> DataFrame:
+    """``doc_id, row, removed_chars, gone`` of the documents that hold frequent lines; ``gone`` are the hashes of these.
+
+    Rows that hold a hot line, of which there are few by their definition, are
+    dealt over as many copies of it as its documents fill tasks; the others
+    meet theirs by a plain join.  The table is written.
     """
+    spark = docs.sparkSession
     lines = written(host_lines(docs, id_column, text_column, host_column), "lines")
-    salted = frequent_lines(lines, max_texts).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    held = lines.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(SALTS)).cast("int"))
-    hit = held.join(salted, ["line", "salt"]).where(~F.col("doc_id").eqNullSafe(F.col("first_id")))
+    of_host = docs.select(F.xxhash64(F.col(host_column)).alias("host"), F.col(id_column).alias("doc_id")).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
+    frequent = written(frequent_lines(lines, of_host, min_docs, max_percent), "frequent")
+    most, total = frequent.agg(F.max("n_docs"), F.lit(0)).first()[0] or 0, lines.count()
+    per_task = max(1, int(HOT * total / int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    hit = lines.join(frequent.where(F.col("n_docs") <= per_task).select("line"), "line").select(*lines.columns)
+    if most > per_task:
+        salts = -(-most // per_task)
+        hot = frequent.where(F.col("n_docs") > per_task).select("line", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+        salted = lines.withColumn("salt", F.pmod(F.xxhash64("doc_id", "row", "pos"), F.lit(salts)).cast("int"))
+        hit = hit.unionByName(salted.join(hot, ["line", "salt"]).select(*lines.columns))
     # rows that repeat an id with its text count once
-    once = hit.groupBy("doc_id", "text_hash", "pos").agg(F.max("chars").alias("chars"))
-    return once.groupBy("doc_id", "text_hash").agg(F.sum("chars").cast("long").alias("removed_chars"))
+    once = hit.groupBy("doc_id", "row", "pos").agg(F.max("chars").alias("chars"), F.max("line").alias("line"))
+    lost = written(once.groupBy("doc_id", "row").agg(F.sum("chars").cast("long").alias("removed_chars"), F.collect_set("line").alias("gone")), "lost")
+    drop_written(lines, frequent)
+    return lost
+
+
+def without_lines(text: Column, host: Column, gone: Column) -> Column:
+    """The text less the lines whose hashes are ``gone``."""
+    left = lambda x: (F.length(F.translate(x, BLANKS, "")) == 0) | ~F.array_contains(gone, line_hash(host, x))
+    return F.array_join(F.filter(F.split(text, "\n"), left), "\n")
+
+
+def verdict(removed: Column, min_words: int, max_repeat_percent: int, min_left_percent: int) -> tuple[Column, Column]:
+    """Whether the base rules fail, and whether too little is left, from the features and the removed code points."""
+    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
+    return failed, 100 * (F.col("word_chars") - removed) < min_left_percent * F.col("word_chars")
 
 
 def judge(
@@ -117,43 +168,63 @@ def judge(
     id_column: str = "doc_id",
     text_column: str = "text",
     host_column: str = "source",
-    max_texts: int = 100,
-    min_words: int = 20,
-    max_repeat_percent: int = 30,
-    min_left_percent: int = 20,
+    min_docs: int = MIN_DOCS,
+    max_percent: float = MAX_PERCENT,
+    min_words: int = MIN_WORDS,
+    max_repeat_percent: int = MAX_REPEAT_PERCENT,
+    min_left_percent: int = MIN_LEFT_PERCENT,
 ) -> DataFrame:
-    """The rows with the features, ``removed_chars``, ``base_failed`` and ``kept``.
+    """The rows with the features, ``removed_chars``, ``base_failed``, ``kept`` and ``clean_text``.
 
     ``base_failed``: fewer than ``min_words`` words, or more than
-    ``max_repeat_percent`` per cent of them in repeated windows.  ``kept`` is
-    false then, and where less than ``min_left_percent`` per cent of the
-    characters in words are left after frequent lines of the host have gone.
-
-    A null text counts as empty and fails; a null host is a host of its own
-    (the hash leaves it out); rows with the same id and text are judged alike;
-    of equal lines the document with the smallest id keeps its one.  All input
-    columns pass through, but those named like a result are replaced.  An
-    empty table gives no rows.
+    ``max_repeat_percent`` per cent of them in repeated windows.  A line of the
+    host that stands in more than ``min_docs`` distinct documents and more than
+    ``max_percent`` per cent of the host's is removed from all of them:
+    ``clean_text`` is the text without it, and ``removed_chars`` counts the code
+    points in its words.  ``kept`` is false where the base rules failed, and
+    where less than ``min_left_percent`` per cent of the code points in words
+    are left.
+
+    A null text counts as empty and fails; a null host is a host of its own;
+    rows with the same id, text and host are judged alike, and all rows without
+    an id count as one document.  Copies of a document count each for itself,
+    as documents that share all their lines.  All input columns pass through,
+    but those named like a result are replaced.  An empty table gives no rows.
     """
-    results = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_chars", "base_failed", "kept"]
-    base = features(docs.drop(*(c for c in results if c in docs.columns)), text_column)
-    base = base.withColumn(f"{INTERNAL}key", F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))))
-    lost = removed_chars(docs, id_column, text_column, host_column, max_texts).select(F.col("doc_id").alias(f"{INTERNAL}lost_id"), F.col("text_hash").alias(f"{INTERNAL}lost_key"), "removed_chars")
-    joined = base.join(lost, F.col(id_column).eqNullSafe(F.col(f"{INTERNAL}lost_id")) & (F.col(f"{INTERNAL}key") == F.col(f"{INTERNAL}lost_key")), "left")
+    results = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_chars", "base_failed", "kept", "clean_text"]
+    base = features(docs.drop(*(c for c in results if c in docs.columns)), text_column).withColumn(f"{INTERNAL}row", row_hash(text_column, host_column))
+    lost = lost_lines(docs, id_column, text_column, host_column, min_docs, max_percent).select(F.col("doc_id").alias(f"{INTERNAL}lost_id"), F.col("row").alias(f"{INTERNAL}lost_row"), "removed_chars", F.col("gone").alias(f"{INTERNAL}gone"))
+    joined = base.join(lost, F.col(id_column).eqNullSafe(F.col(f"{INTERNAL}lost_id")) & (F.col(f"{INTERNAL}row") == F.col(f"{INTERNAL}lost_row")), "left")
     removed = F.coalesce(F.col("removed_chars"), F.lit(0)).cast("long")
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    depleted = 100 * (F.col("word_chars") - removed) < min_left_percent * F.col("word_chars")
-    return joined.withColumns({"removed_chars": removed, "base_failed": failed, "kept": ~failed & ~depleted}).drop(f"{INTERNAL}key", f"{INTERNAL}lost_id", f"{INTERNAL}lost_key")
-
-
-def keep_good(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source", **limits) -> DataFrame:
-    """The rows, with all their columns, that ``judge`` keeps.
-
-    Verdicts are written without the texts before they meet the rows: a filter
-    on them would otherwise be pushed below the features and repeat them.
+    failed, depleted = verdict(removed, min_words, max_repeat_percent, min_left_percent)
+    gone, text = F.col(f"{INTERNAL}gone"), F.col(text_column)
+    clean = F.when(gone.isNull(), text).otherwise(without_lines(text, F.col(host_column), gone))
+    out = joined.withColumns({"removed_chars": removed, "base_failed": failed, "kept": ~failed & ~depleted, "clean_text": clean})
+    return out.drop(f"{INTERNAL}row", f"{INTERNAL}lost_id", f"{INTERNAL}lost_row", f"{INTERNAL}gone")
+
+
+def keep_good(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source", chars_column: str | None = None,
+    min_docs: int = MIN_DOCS, max_percent: float = MAX_PERCENT, min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT, min_left_percent: int = MIN_LEFT_PERCENT,
+) -> DataFrame:
+    """The rows that ``judge`` keeps, with all their columns, frequent lines of their host removed from the text.
+
+    ``chars_column``, where there is one, holds the length of the text and
+    follows it.  Verdicts are written without the texts, for those rows alone
+    that go or lose lines, before they meet the rows: a filter on them would
+    otherwise be pushed below the features and repeat them.
     """
-    judged = judge(docs.select(id_column, text_column, host_column), id_column, text_column, host_column, **limits)
-    text_hash = F.xxhash64(F.coalesce(F.col(text_column), F.lit("")))
-    verdicts = written(judged.select(F.col(id_column).alias(f"{INTERNAL}judged_id"), text_hash.alias(f"{INTERNAL}judged_key"), "kept"), "verdicts")
-    rejected = verdicts.where(~F.col("kept")).select(f"{INTERNAL}judged_id", f"{INTERNAL}judged_key").distinct()
-    return docs.join(rejected, F.col(id_column).eqNullSafe(F.col(f"{INTERNAL}judged_id")) & (text_hash == F.col(f"{INTERNAL}judged_key")), "left_anti")
+    kept, row, gone, lost_id, lost_row = (f"{INTERNAL}{c}" for c in ("kept", "row", "gone", "judged_id", "judged_row"))
+    inner = docs.select(id_column, text_column, host_column)
+    judged = features(inner, text_column).select(F.col(id_column).alias(lost_id), row_hash(text_column, host_column).alias(lost_row), "n_words", "word_chars", "n_repeat_words")
+    lost = lost_lines(inner, id_column, text_column, host_column, min_docs, max_percent)
+    joined = judged.join(lost, F.col("doc_id").eqNullSafe(F.col(lost_id)) & (F.col("row") == F.col(lost_row)), "left")
+    failed, depleted = verdict(F.coalesce("removed_chars", F.lit(0)), min_words, max_repeat_percent, min_left_percent)
+    verdicts = written(joined.groupBy(lost_id, lost_row).agg(F.first(~failed & ~depleted).alias(kept), F.first("gone").alias(gone)).where(~F.col(kept) | F.col(gone).isNotNull()), "verdicts")
+    drop_written(lost)
+    met = docs.withColumn(row, row_hash(text_column, host_column)).join(verdicts, F.col(id_column).eqNullSafe(F.col(lost_id)) & (F.col(row) == F.col(lost_row)), "left")
+    left = met.where(F.coalesce(kept, F.lit(True)))
+    changed = {text_column: F.when(F.col(gone).isNull(), F.col(text_column)).otherwise(without_lines(F.col(text_column), F.col(host_column), F.col(gone)))}
+    if chars_column:
+        changed[chars_column] = F.when(F.col(gone).isNull(), F.col(chars_column)).otherwise(F.length(changed[text_column])).cast(docs.schema[chars_column].dataType)
+    return left.withColumns(changed).select(*docs.columns)

@@ -339,17 +339,53 @@ def test_quality(odd, small):
         assert out.where("base_failed AND kept").isEmpty()
         kept = quality_rules.keep_good(table)
         assert kept.columns == table.columns
-        assert found(kept, "doc_id") == found(out.where("kept"), "doc_id")
+        assert found(kept, "doc_id", "text") == found(out.where("kept"), "doc_id", "clean_text")
 
 
-def test_frequent_lines_deplete_all_but_the_first(spark):
+def test_frequent_lines_go_from_all_documents_of_the_host(spark):
     boiler = "this line stands in very many documents of one host and has many words in it for sure so that it counts"
-    rows = [(k, f"{boiler.upper()}\nown {k}", "h") for k in range(12)] + [(50, boiler + "\n" + " ".join(f"own{j}" for j in range(60)), "h"), (60, boiler + "\nx", "other"), (3, f"{boiler.upper()}\nown 3", "h")]
-    out = quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string"), max_texts=10)
-    kept = {r["doc_id"]: r["kept"] for r in out.collect()}
-    assert kept == {0: True, 50: True, 60: True} | {k: False for k in range(1, 12)}
-    copies = spark.createDataFrame([(k, boiler, "h") for k in range(40)], "doc_id long, text string, source string")
-    assert quality_rules.judge(copies, max_texts=10).where("NOT kept").isEmpty()
+    own = lambda k, n: " ".join(f"own{k}_{j}" for j in range(n))
+    rows = [(k, f"{boiler.upper()}\n\nown {k}", "h") for k in range(6)] + [(50, f" {boiler}\n{own(50, 120)}\r\n{boiler}", "h"), (60, f"{boiler}\nx y", "other"), (61, boiler, None), (3, rf"{boiler}" + "\nown 3", "h")]
+    rows += [(100 + k, own(k, 30), "h") for k in range(60)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("n_chars", F.length("text").cast("long"))
+    # seven documents, in nine rows, of 67: above both limits
+    out = {(r["doc_id"], r["text"]): r for r in quality_rules.judge(table).collect()}
+    chars = len(boiler.replace(" ", ""))
+    for (k, text), r in out.items():
+        lines = sum(x.replace(" ", "").lower() == boiler.replace(" ", "") for x in text.replace("\r", "").split("\n")) if r["source"] == "h" else 0
+        assert r["removed_chars"] == lines * chars
+        assert r["kept"] == (k >= 50)
+    assert out[0, rows[0][1]]["clean_text"] == "\nown 0"
+    kept = {r["doc_id"]: r for r in quality_rules.keep_good(table, chars_column="n_chars").collect()}
+    assert set(kept) == {k for k, _ in out if k >= 50}
+    assert kept[50]["text"] == own(50, 120) + "\r" and kept[50]["n_chars"] == len(kept[50]["text"]) and kept[60]["text"] == rows[7][1]
+    # at a limit, and not above it, lines stay; repeated rows, and the copies of a row, are one document
+    assert quality_rules.judge(table, min_docs=7).where("removed_chars > 0").isEmpty()
+    assert quality_rules.judge(table, max_percent=100 * 7 / 67).where("removed_chars > 0").isEmpty()
+    assert quality_rules.judge(table, max_percent=10).where("removed_chars > 0").count() == 8
+
+
+def test_hot_lines_are_dealt_over_tasks(spark, monkeypatch):
+    """The removed characters are the same whether a line is hot or not."""
+    rows = [(k, "one common line\n" + ("second line here\n" if k % 3 == 0 else "") + " ".join(f"w{k}_{j}" for j in range(25)), "h") for k in range(200)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plain = found(quality_rules.judge(table), "doc_id", "removed_chars")
+    assert sorted({n for _, n in plain}) == [13, 27]
+    for part in (1e-9, 1e9):
+        monkeypatch.setattr(quality_rules, "HOT", part)
+        assert found(quality_rules.judge(table), "doc_id", "removed_chars") == plain
+
+
+def test_frequent_lines_stand_in_the_small_table(small):
+    """What the query shows does not rest on the base rules alone."""
+    out = quality_rules.judge(small, min_docs=2)
+    assert not out.where("removed_chars > 0").isEmpty()
+    kept = quality_rules.keep_good(small, min_docs=2)
+    lines = quality_rules.host_lines(kept, "doc_id", "text", "source")
+    before = quality_rules.host_lines(small, "doc_id", "text", "source")
+    hosts = small.select(F.xxhash64("source").alias("host"), "doc_id").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
+    frequent = quality_rules.frequent_lines(before, hosts, 2, 8)
+    assert not frequent.isEmpty() and lines.join(frequent, "line").isEmpty()
 
 
 def test_quality_has_no_python(spark, small):
