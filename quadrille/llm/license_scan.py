@@ -1,12 +1,21 @@
 """Licence scan with a positional rare-token index.
 
 Licence templates are word sequences.  The index maps each of their words to
-postings (template, position).  For each template the words that are rarest in
-the corpus are its anchors; wherever a file holds an anchor, the postings put
-the template at a place in the file, places on which several anchors agree fall
-together, and the words at each place are compared with the template.  A
-template with mandatory key phrases counts only where these match entirely; a
-template that is one phrase is mandatory as a whole.
+postings (template, position); document frequencies of the whole corpus weigh
+the words.  Two kinds of templates are looked up:
+
+* Phrases hold where all their words stand at one offset: the places of the
+  phrase's rarest word are intersected with those of the others, each shifted
+  by its position.
+* Notices hold where enough of their weight stands in order.  A file is a
+  candidate of those notices whose words it holds with enough weight at all.
+  Its highest-weighted words of such a notice are looked up in the postings:
+  so many of them that a match, which may lack the rest of the weight, has
+  several.  Places minus positions must agree within ``slack`` of an offset,
+  so words may be inserted, dropped or replaced.  At the offsets near such
+  places the mandatory key phrases are verified, in each of which one word more
+  may stand, as at the beginning of a commented line, and the notice's words are
+  aligned with the file's in order.
 """
 
 from __future__ import annotations
@@ -19,47 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .licenses import TEMPLATES, Template
 from .session import ship
 from .textkernel import ALNUM, Words, chunks, cut
 
-
-@dataclass(frozen=True)
-class Template:
-    """``words`` of a label; ``share`` of them must match, and every key phrase in full."""
-
-    label: str
-    words: str
-    keys: tuple[str, ...] = ()
-    share: float = 0.8
-    base: bool = False
-
-
-# The base phrases and their labels.
-BASE = (
-    Template("mit", "mit license", share=1.0, base=True),
-    Template("apache", "apache license", share=1.0, base=True),
-    Template("gpl", "general public license", share=1.0, base=True),
-)
-
-# Notices as licences word them, each with the phrases that make it out.
-NOTICES = (
-    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", ("hereby granted free of charge", "deal in the software without restriction")),
-    Template("apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", ("apache license version 2 0", "in compliance with the license")),
-    Template("apache-2.0", "apache license version 2 0", share=1.0),
-    Template("gpl-3.0", "gnu general public license version 3", share=1.0),
-    Template("gpl-2.0", "gnu general public license version 2", share=1.0),
-    Template("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", ("gnu general public license", "free software foundation")),
-    Template("lgpl", "gnu lesser general public license", share=1.0),
-    Template("agpl", "gnu affero general public license", share=1.0),
-    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("source and binary forms", "the following conditions are met")),
-    Template("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
-    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("distribute this software for any purpose",)),
-    Template("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
-    Template("cc-by", "creative commons attribution", share=1.0),
-)
-TEMPLATES = BASE + NOTICES
-#: Anchors of a template: its rarest words.
-ANCHORS = 3
+#: Offsets that are aligned together.
+SLICE = 64
+#: How many of a notice's rarest words, at the least, a match must hold of those that are looked up.
+SEVERAL = 4
 
 
 def word_hashes(text: str) -> np.ndarray:
@@ -67,78 +43,174 @@ def word_hashes(text: str) -> np.ndarray:
     return cut(data, np.array([0, len(data)], np.int64), ALNUM).hash
 
 
+@dataclass
+class Notice:
+    """A template's words as vocabulary numbers, the place and numbers of its key phrases, and its slack."""
+
+    words: np.ndarray
+    keys: list[tuple[int, np.ndarray]]
+    slack: int
+
+
 class Index:
-    """Postings by word, with the document frequencies that choose the anchors."""
+    """Postings by word, with the weights that the document frequencies give."""
 
     def __init__(self, templates: tuple[Template, ...]):
         self.templates = templates
-        self.words = [word_hashes(t.words) for t in templates]
-        self.vocabulary = np.unique(np.concatenate(self.words)) if templates else np.zeros(0, np.uint64)
-        self.keys = [[self._place(w, word_hashes(k)) for k in t.keys] for t, w in zip(templates, self.words, strict=True)]
-        self.idf = np.ones(len(self.vocabulary))
-        self.postings: dict[int, list[tuple[int, int]]] = {}
+        hashes = [word_hashes(t.words) for t in templates]
+        self.vocabulary = np.unique(np.concatenate(hashes)) if templates else np.zeros(0, np.uint64)
+        self.notices = []
+        for t, h in zip(templates, hashes, strict=True):
+            words = np.searchsorted(self.vocabulary, h)
+            keys = [(self._place(h, word_hashes(k)), np.searchsorted(self.vocabulary, word_hashes(k))) for k in t.keys]
+            self.notices.append(Notice(words, keys, 0 if t.share == 1 else max(2, len(words) // 8)))
         self.weigh(np.zeros(len(self.vocabulary), np.int64), 0)
 
     @staticmethod
-    def _place(words: np.ndarray, key: np.ndarray) -> slice:
+    def _place(words: np.ndarray, key: np.ndarray) -> int:
         for k in range(len(words) - len(key) + 1):
             if (words[k : k + len(key)] == key).all():
-                return slice(k, k + len(key))
+                return k
         raise ValueError("a key phrase is not part of its template")
 
     def weigh(self, frequency: np.ndarray, documents: int) -> Index:
         self.idf = np.log((documents + 1) / (frequency + 1)) + 1
-        self.postings = {}
-        for t, words in enumerate(self.words):
-            ids = np.searchsorted(self.vocabulary, words)
-            rarest = sorted(set(ids.tolist()), key=lambda w: (-self.idf[w], w))[: 1 if self.templates[t].share == 1 else ANCHORS]
-            for position, w in enumerate(ids.tolist()):
-                if w in rarest and (self.templates[t].share < 1 or position == ids.tolist().index(w)):
-                    self.postings.setdefault(w, []).append((t, position))
+        # rank of each word: the rarest first, ties by hash
+        self.rank = np.empty(len(self.idf), np.int64)
+        self.rank[np.lexsort((np.arange(len(self.idf)), -self.idf))] = np.arange(len(self.idf))
+        self.total = np.array([self.idf[n.words].sum() for n in self.notices])
+        self.weight = np.zeros((len(self.idf), len(self.notices)))
+        for t, n in enumerate(self.notices):
+            np.add.at(self.weight[:, t], n.words, self.idf[n.words])
         return self
 
     def known(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """Places in the file and vocabulary numbers of licence words."""
-        if not len(words.hash):
+        if not len(words.hash) or not len(self.vocabulary):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         near = np.minimum(np.searchsorted(self.vocabulary, words.hash), len(self.vocabulary) - 1)
         at = np.flatnonzero(self.vocabulary[near] == words.hash)
         return at, near[at]
 
-    def scan(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document, template, first word in the batch, score) of all places where a template holds."""
+    def scan(self, words: Words) -> list[list[tuple[int, int, float]]]:
+        """For each document (template, first word, score) of all places where a template holds."""
         at, which = self.known(words)
         owner = np.searchsorted(words.first, at, side="right") - 1
-        wanted: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        for w, postings in self.postings.items():
-            hits = np.flatnonzero(which == w)
-            if len(hits):
-                for t, position in postings:
-                    wanted.setdefault(t, []).append((at[hits] - position, owner[hits]))
-        docs, templates, places, scores = [], [], [], []
-        for t, parts in wanted.items():
-            place = np.concatenate([p for p, _ in parts])
-            doc = np.concatenate([d for _, d in parts])
-            place, first = np.unique(place, return_index=True)
-            doc = doc[first]
-            size = len(self.words[t])
-            fits = (place >= words.first[doc]) & (place + size <= words.first[doc + 1])
-            place, doc = place[fits], doc[fits]
-            if not len(place):
-                continue
-            same = words.hash[place[:, None] + np.arange(size)] == self.words[t]
-            weight = self.idf[np.searchsorted(self.vocabulary, self.words[t])]
-            held = same.mean(axis=1) >= self.templates[t].share
-            for key in self.keys[t]:
-                held &= same[:, key].all(axis=1)
-            docs.append(doc[held])
-            templates.append(np.full(held.sum(), t))
-            places.append(place[held])
-            scores.append((same[held] * weight).sum(axis=1) / weight.sum())
-        if not docs:
-            none = np.zeros(0, np.int64)
-            return none, none, none, np.zeros(0)
-        return np.concatenate(docs), np.concatenate(templates), np.concatenate(places), np.concatenate(scores)
+        found: list[list[tuple[int, int, float]]] = [[] for _ in range(len(words.first) - 1)]
+        order = np.argsort(which, kind="stable")
+        edges = np.searchsorted(which[order], np.arange(len(self.vocabulary) + 1))
+        places = lambda w: at[order[edges[w] : edges[w + 1]]]
+        for t, notice in enumerate(self.notices):
+            if self.templates[t].share == 1:
+                for place in self._phrase(notice, places, words).tolist():
+                    doc = int(np.searchsorted(words.first, place, side="right")) - 1
+                    found[doc].append((t, place - int(words.first[doc]), 1.0))
+        # weight of each template that each document holds, anywhere
+        wide = [t for t in range(len(self.notices)) if self.templates[t].share < 1]
+        if not wide or not len(at):
+            return found
+        held = np.zeros((len(found), len(self.vocabulary)), bool)
+        held[owner, which] = True
+        share = np.array([self.templates[t].share for t in wide])
+        enough = held.astype(np.float32) @ self.weight[:, wide].astype(np.float32) >= (share * self.total[wide]) * (1 - 1e-5)
+        for doc, k in zip(*(x.tolist() for x in np.nonzero(enough)), strict=True):
+            a, b = np.searchsorted(at, words.first[doc : doc + 2])
+            size = int(words.first[doc + 1] - words.first[doc])
+            found[doc] += [(wide[k], place, score) for place, score in self.places(wide[k], at[a:b] - words.first[doc], which[a:b], size)]
+        return found
+
+    @staticmethod
+    def _phrase(notice: Notice, places, words: Words) -> np.ndarray:
+        """First words of all places of a phrase: its postings intersected by relative position, the rarest first."""
+        by_count = sorted(range(len(notice.words)), key=lambda k: len(places(notice.words[k])))
+        out = places(notice.words[by_count[0]]) - by_count[0]
+        for k in by_count[1:]:
+            if not len(out):
+                return out
+            out = np.intersect1d(out, places(notice.words[k]) - k, assume_unique=True)
+        # all in one document
+        first = np.searchsorted(words.first, out, side="right")
+        last = np.searchsorted(words.first, out + len(notice.words) - 1, side="right")
+        return out[(first == last) & (out >= 0)]
+
+    def anchors(self, t: int, held: np.ndarray) -> tuple[np.ndarray, float]:
+        """The rarest of the template's words that a document holds (``held`` are their numbers), and the least weight of them that a match has."""
+        notice = self.notices[t]
+        mine = np.unique(notice.words[np.isin(notice.words, held)])
+        mine = mine[np.argsort(self.rank[mine])]
+        weight = self.weight[mine, t]
+        spare = self.total[t] * (1 - self.templates[t].share) - (self.total[t] - weight.sum())
+        # what a match may lack of the chosen is spare at most; the rest must be worth several words
+        n = int(np.searchsorted(np.cumsum(weight), spare + SEVERAL * self.idf[mine].max(initial=0), side="right")) + 1
+        return mine[:n], float(weight[:n].sum() - spare)
+
+    def places(self, t: int, at: np.ndarray, which: np.ndarray, size: int) -> list[tuple[int, float]]:
+        """(first word, score) of the places of a notice in a document of ``size`` words, given the places of licence words in it."""
+        notice, template = self.notices[t], self.templates[t]
+        chosen, least = self.anchors(t, which)
+        offsets, anchor = [], []
+        for position, w in enumerate(notice.words.tolist()):
+            if w in chosen:
+                mine = at[which == w] - position
+                offsets.append(mine)
+                anchor.append(np.full(len(mine), position))
+        if not offsets:
+            return []
+        offset, anchor = np.concatenate(offsets), np.concatenate(anchor)
+        order = np.argsort(offset, kind="stable")
+        offset, anchor = offset[order], anchor[order]
+        # the anchors of a match agree on an offset within the slack, and are worth the least weight together
+        low, high = np.searchsorted(offset, offset - 2 * notice.slack), np.searchsorted(offset, offset + 2 * notice.slack, side="right")
+        worth = np.r_[0.0, np.cumsum(self.idf[notice.words[anchor]])]
+        agree = worth[high] - worth[low] >= least * (1 - 1e-9)
+        if not agree.any():
+            return []
+        near = np.unique((offset[agree][:, None] + np.arange(-notice.slack, notice.slack + 1)).ravel())
+        words = np.full(size, -1, np.int64)
+        words[at] = which
+        scores = np.concatenate([self.align(t, words, near[k : k + SLICE]) for k in range(0, len(near), SLICE)])
+        good = scores >= template.share
+        d, score = near[good], scores[good]
+        # offsets that follow each other within the slack are one place: the middle of those with the greatest score
+        out: list[tuple[int, float]] = []
+        for run in np.split(np.arange(len(d)), np.flatnonzero(np.diff(d) > 2 * notice.slack + 1) + 1):
+            if len(run):
+                best = d[run][score[run] >= score[run].max() - 1e-12]
+                out.append((max(int(best[0] + best[-1]) // 2, 0), float(score[run].max())))
+        return out
+
+    def align(self, t: int, words: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """For each offset the greatest share of the template's weight that stands in order within the slack; 0 where a key phrase is missing."""
+        notice = self.notices[t]
+        slack, n = notice.slack, len(notice.words)
+        padded = np.concatenate([np.full(n + 3 * slack + 1, -1), words, np.full(n + 3 * slack + 1, -1)])
+        base = offsets + n + 3 * slack + 1
+        fine = np.ones(len(offsets), bool)
+        for place, key in notice.keys:
+            seen = np.zeros(len(offsets), bool)
+            for shift in range(-slack, slack + 1):
+                begin = base + place + shift
+                ahead = padded[begin[:, None] + np.arange(len(key) + 1)]
+                now, later = ahead[:, :-1] == key, ahead[:, 1:] == key
+                # whole, or its first words and, behind one word more, the others
+                seen |= now.all(axis=1) | (np.logical_and.accumulate(now, axis=1)[:, :-1] & np.logical_and.accumulate(later[:, ::-1], axis=1)[:, -2::-1]).any(axis=1)
+            fine &= seen
+        out = np.zeros(len(offsets))
+        base = base[fine]
+        if not len(base):
+            return out
+        # best[d]: greatest weight up to this word of the template and the place d - slack words from where it is due
+        band = np.arange(-slack, slack + 1)
+        best = np.zeros((len(base), len(band)))
+        for position, w in enumerate(notice.words.tolist()):
+            # a step to the next position moves every place one to the left in the band
+            before = best
+            best = np.concatenate([before[:, 1:], before[:, -1:]], axis=1)
+            hit = padded[base[:, None] + position + band] == w
+            best = np.maximum(best, np.where(hit, before + self.idf[w], 0))
+            best = np.maximum.accumulate(best, axis=1)
+        out[fine] = best[:, -1] / self.total[t]
+        return np.minimum(out, 1.0)
 
 
 def document_frequencies(docs: DataFrame, text_column: str, templates: tuple[Template, ...]) -> tuple[np.ndarray, int]:
@@ -167,11 +239,12 @@ def scan_licenses(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
     ``places`` lists every (label, word, words, score) that was found, the
     evidence for the other columns.  ``score`` is the greatest share of a
-    template's words, weighted by rarity, that a place of the row holds.
+    template's weight that a place of the row holds in order; a phrase has 1.
 
     A null text is an empty one: no words, null first and last word, empty
-    labels, score 0.  Ids may be null or repeated; each row gives one row.  An
-    empty table gives none.  Other columns are not read.
+    labels, score 0.  Ids may be null or repeated; each row gives one row.  A
+    place is the middle of the offsets with its greatest score.  An empty table
+    gives no rows.  Other columns are not read.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -185,10 +258,7 @@ def scan_licenses(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         for batch in batches:
             for part, data, offsets in chunks(batch):
                 words = cut(data, offsets, ALNUM)
-                n = part.num_rows
-                found: list[list] = [[] for _ in range(n)]
-                for doc, t, place, score in zip(*(x.tolist() for x in index.scan(words)), strict=True):
-                    found[doc].append((templates[t], place - int(words.first[doc]), len(index.words[t]), min(score, 1.0)))
+                found = [[(templates[t], place, len(index.notices[t].words), score) for t, place, score in row] for row in index.scan(words)]
                 base = [[f for f in row if f[0].base] for row in found]
                 label = lambda row: ",".join(sorted({f[0].label for f in row}))
                 yield pa.record_batch(

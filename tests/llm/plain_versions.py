@@ -92,3 +92,53 @@ def plain_contamination(rows, items, size=10):
                     held |= windows[x]
         out[i, len(w), len(hit), len(held), hashlib.sha256(",".join(sorted(held)).encode()).hexdigest(), bool(hit)] += 1
     return out
+
+
+def plain_notices(text, index):
+    """(template, first word, score) of the notices, aligned at every offset of the text, cell by cell."""
+    words, out = [int(w) for w in index_words(text, index)], []
+    for t, (template, notice) in enumerate(zip(index.templates, index.notices, strict=True)):
+        if template.share == 1:
+            n = len(notice.words)
+            out += [(t, k, 1.0) for k in range(len(words) - n + 1) if words[k : k + n] == notice.words.tolist()]
+            continue
+        n, slack, good = len(notice.words), notice.slack, []
+        if sum(index.idf[w] for w in notice.words.tolist() if w in set(words)) < 0.999 * template.share * index.total[t]:
+            continue
+        for d in range(-n, len(words) + 1):
+            holds = lambda k, key: k >= 0 and (words[k : k + len(key)] == key or any(words[k : k + j] == key[:j] and words[k + j + 1 : k + len(key) + 1] == key[j:] for j in range(1, len(key))))
+            key_at = lambda place, key, d=d: any(holds(d + place + x, key.tolist()) for x in range(-slack, slack + 1))
+            if not all(key_at(place, key) for place, key in notice.keys):
+                continue
+            best = {}
+            for q in range(-1, n):
+                for p in range(d + q - slack - 1, d + q + slack + 1):
+                    if q < 0 or p < d + q - slack:
+                        best[q, p] = 0.0 if q < 0 else best.get((q - 1, p), 0.0)
+                        continue
+                    hit = 0 <= p < len(words) and words[p] == notice.words[q]
+                    before = max((best[q - 1, x] for x in range(d + q - 1 - slack - 1, p + 1) if (q - 1, x) in best), default=0.0)
+                    apart = max((best[q - 1, x] for x in range(d + q - 1 - slack - 1, p) if (q - 1, x) in best), default=0.0)
+                    best[q, p] = max(before, best[q, p - 1], apart + index.idf[notice.words[q]] if hit else 0.0)
+            score = min(max(v for (q, _), v in best.items() if q == n - 1) / index.total[t], 1.0)
+            if score >= template.share:
+                good.append((d, score))
+        runs = []
+        for d, score in good:
+            if runs and d - runs[-1][-1][0] <= 2 * slack + 1:
+                runs[-1].append((d, score))
+            else:
+                runs.append([(d, score)])
+        for run in runs:
+            most = max(x for _, x in run)
+            best = [d for d, x in run if x >= most - 1e-9]
+            out.append((t, max((best[0] + best[-1]) // 2, 0), most))
+    return out
+
+
+def index_words(text, index):
+    """Vocabulary numbers of the words of a text, -1 for others."""
+    from quadrille.llm.license_scan import word_hashes
+
+    number = {h: k for k, h in enumerate(index.vocabulary.tolist())}
+    return [number.get(h, -1) for w in alnum(text) for h in word_hashes(w).tolist()]

@@ -9,11 +9,11 @@ import numpy as np
 import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
-from plain_versions import alnum, plain_components, plain_contamination, plain_licenses, plain_phrases, plain_quality, spaced
+from plain_versions import alnum, plain_components, plain_contamination, plain_licenses, plain_notices, plain_phrases, plain_quality, spaced
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quadrille.llm import bpe, chat_format, decontamination, jaccard_join, language_id, license_scan, lm_scoring, packing, quality_rules, queries, textkernel, token_counts, warc
+from quadrille.llm import bpe, chat_format, decontamination, jaccard_join, language_id, license_scan, licenses, lm_scoring, packing, quality_rules, queries, textkernel, token_counts, warc
 from quadrille.llm.components import connect
 
 SMALL = "/root/testdata/sf0.001"
@@ -51,13 +51,53 @@ def test_licenses(odd, small):
         assert out.where("score < 0 OR score > 1 OR (n_base > 0 AND score = 0)").isEmpty()
 
 
+def worn(words, rng, rate):
+    """Words with some dropped, replaced or inserted."""
+    out = []
+    for w in words:
+        luck = rng.random()
+        if luck > rate / 3:
+            out.append(w if luck > 2 * rate / 3 else f"x{rng.integers(50)}")
+        if rng.random() < rate / 3:
+            out.append(rng.choice(["the", "rem", "software", "y"]))
+    return out
+
+
 def test_license_notices(spark):
-    notice = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction"
-    broken = notice.replace("free of charge", "for a fee")
-    worn = notice.replace("obtaining", "who gets").replace("copy", "sample")
-    out = license_scan.scan_licenses(spark.createDataFrame([(1, "x " + notice), (2, broken), (3, "GNU General Public License version 3"), (4, worn)], "doc_id long, text string"))
-    got = {r["doc_id"]: (r["labels"], r["base_labels"]) for r in out.collect()}
-    assert got == {1: ("mit", ""), 2: ("", ""), 3: ("gpl,gpl-3.0", "gpl"), 4: ("", "")}
+    grant = licenses._MIT_GRANT
+    rows = [
+        (1, "x " + grant), (2, grant.replace("free of charge", "for a fee")), (3, "GNU General Public License version 3"), (4, grant.replace("obtaining", "who gets").replace("any", "very any")),
+        (5, "\n".join("REM " + " ".join(x) for x in np.array_split(np.array((grant + licenses._MIT_REST).split()), 12))), (6, " ".join(sorted(grant.split()))), (7, "words of no licence at all " * 20), (8, None), (9, grant + " and again " + grant),
+        (10, licenses._BSD_OPENING + licenses._BSD_TWO + licenses._BSD_THIRD + licenses._BSD_DISCLAIMER),
+    ]
+    out = {r["doc_id"]: r for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    labels = {k: r["labels"] for k, r in out.items()}
+    assert labels == {1: "mit", 2: "", 3: "gpl,gpl-3.0", 4: "mit", 5: "mit", 6: "", 7: "", 8: "", 9: "mit", 10: "bsd,bsd-3-clause"}
+    assert out[1]["score"] == 1 and 0.8 <= out[4]["score"] < 1 and out[2]["score"] == 0
+    assert [p["word"] for p in out[9]["places"]] == [0, 31]
+
+
+def test_license_places_equal_alignment_at_every_offset():
+    """Worn notices, in runs of other words, against a plain alignment of every notice at every offset."""
+    rng = np.random.default_rng(8)
+    picked = [t for t in licenses.TEMPLATES if len(t.words) < 200]
+    index = license_scan.Index(tuple(picked))
+    index.weigh(rng.integers(0, 1000, len(index.vocabulary)), 1000)
+    texts, some = [], 0
+    for k in range(24):
+        words = []
+        for _ in range(2):
+            words += list(rng.choice(["the", "of", "software", "zzz", "license", "copy"], rng.integers(0, 12)))
+            words += worn(alnum(picked[rng.integers(len(picked))].words), rng, [0, 0.1, 0.25][k % 3])
+        texts.append(" ".join(words))
+    data = [t.encode() for t in texts]
+    words = textkernel.cut(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]), textkernel.ALNUM)
+    for text, got in zip(texts, index.scan(words), strict=True):
+        rounded = lambda rows: sorted((t, p, round(s, 6)) for t, p, s in rows)
+        expected = plain_notices(text, index)
+        assert rounded(got) == rounded(expected)
+        some += len(expected)
+    assert some > 30
 
 
 # -- 2 and 9
