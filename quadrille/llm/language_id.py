@@ -1,7 +1,7 @@
 """Language identification by cross-parsing.
 
-For each language a suffix automaton is built of a bounded sample of labelled
-text.  A text is parsed against it: each phrase is the longest run of
+For each language a suffix automaton is built of passages from a bounded number
+of labelled texts.  A text is parsed against it: each phrase is the longest run of
 characters that occurs in the sample.  A language whose text resembles the
 sample needs few phrases; phrases times the bits that point into the sample,
 over the characters parsed, estimate the cross entropy, and the least wins.
@@ -124,12 +124,12 @@ class Identifier:
             counts[:, j] = np.bincount(owner, found[j], len(texts)).astype(np.int64)
         return counts
 
-    def __call__(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        """Language and score of each text; the score is the lead over the second language."""
+    def __call__(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language and score of each text, and whether it has letters; the score is the lead over the second language."""
         known = np.array([bool(t) and _LETTER.search(t) is not None for t in texts], bool)
         folded = [fold(t) if k else b"" for t, k in zip(texts, known.tolist(), strict=True)]
         if not self.names:
-            return [UNKNOWN] * len(texts), np.zeros(len(texts))
+            return [UNKNOWN] * len(texts), np.zeros(len(texts)), known
         lengths = np.maximum(np.array([len(t) for t in folded], np.float64), 1)
         entropy = self.phrases(folded) * np.array([a.bits for a in self.automata]) / lengths[:, None]
         best = entropy.argmin(axis=1)
@@ -138,37 +138,27 @@ class Identifier:
             score = np.clip(1 - ranked[:, 0] / np.maximum(ranked[:, 1], 1e-9), 0, 1)
         else:
             score = np.ones(len(texts))
-        return [self.names[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist(), strict=True)], np.where(known, score, 0.0)
+        return [self.names[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist(), strict=True)], np.where(known, score, 0.0), known
 
 
-def pieces(texts: list[tuple[int, bytes]], size: int) -> bytes:
-    """Pieces of different texts, given with a number each, that make up to ``size`` bytes: an equal share of each, and what short texts leave goes to the longer ones.
+def joined(passages: list[bytes]) -> bytes:
+    """Different passages, in their order, with a blank between them."""
+    return b" ".join(dict.fromkeys(p for p in passages if p))
 
-    A piece begins where the text's number says, since many texts may begin alike.
-    """
-    room, out = size + 1, []
-    by_length = sorted({text: number for number, text in reversed(texts) if text}.items(), key=lambda x: (len(x[0]), x[1]))
-    for k, (text, number) in enumerate(by_length):
-        # each piece is followed by a blank
-        share = room // (len(by_length) - k) - 1
-        if share > 0:
-            at = number % (len(text) - share + 1) if len(text) > share else 0
-            piece = text[at : at + share].decode(errors="ignore").strip().encode()
-            if piece:
-                out.append(piece)
-                room -= len(piece) + 1
-    return b" ".join(out)
-
-
-def samples(labelled: DataFrame, sample_docs: int, sample_bytes: int) -> dict[str, bytes]:
-    """For each language up to ``sample_bytes`` of about ``sample_docs`` different texts, by the texts' hash.
-
-    ``labelled`` has text and lang.  Only the sampled texts come to the driver,
-    each once; their number is set by the two bounds, not by the table.
+
+def samples(labelled: DataFrame, sample_docs: int, passage_chars: int, max_languages: int) -> dict[str, bytes]:
+    """For each language one passage of each of about ``sample_docs`` different texts.
+
+    ``labelled`` has text and lang.  Texts are chosen by their hash, and the
+    passage, of up to ``passage_chars`` characters, begins where another hash
+    says, anywhere in the whole text.  Of more than ``max_languages`` languages
+    those with the most texts are learned.  Only the passages come to the
+    driver, so the three bounds set their size, and not the table.
     """
     text_hash = F.xxhash64("text")
     # the count of different texts need not be exact, since it only sets the share
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.approx_count_distinct(text_hash).alias("n")).collect()}
+    counted = labelled.groupBy("lang").agg(F.approx_count_distinct(text_hash).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages)
+    sizes = {r["lang"]: r["n"] for r in counted.collect()}
     if not sizes:
         return {}
     span = 1 << 40
@@ -177,11 +167,12 @@ def samples(labelled: DataFrame, sample_docs: int, sample_bytes: int) -> dict[st
     for lang, n in sizes.items():
         share = span if n <= sample_docs else int(span * sample_docs / n)
         wanted = wanted | ((F.col("lang") == lang) & (place < share))
-    rows = labelled.where(wanted).select("lang", text_hash.alias("number"), F.substring("text", 1, sample_bytes).alias("text")).distinct().collect()
-    out: dict[str, list[tuple[int, bytes]]] = {}
-    for row in sorted(rows, key=lambda r: (r["lang"], r["number"], r["text"])):
-        out.setdefault(row["lang"], []).append((row["number"], fold(row["text"])))
-    return {lang: joined for lang, texts in out.items() if (joined := pieces(texts, sample_bytes))}
+    begin = F.pmod(F.xxhash64("text", F.lit(1)), F.greatest(F.length("text") - passage_chars, F.lit(0)) + 1) + 1
+    rows = labelled.where(wanted).select("lang", text_hash.alias("number"), F.substring("text", begin.cast("int"), F.lit(passage_chars)).alias("passage")).distinct().collect()
+    out: dict[str, list[bytes]] = {}
+    for row in sorted(rows, key=lambda r: (r["lang"], r["number"], r["passage"])):
+        out.setdefault(row["lang"], []).append(fold(row["passage"]))
+    return {lang: sample for lang, passages in out.items() if (sample := joined(passages))}
 
 
 def identify(docs: DataFrame, model: dict[str, bytes], id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -192,19 +183,20 @@ def identify(docs: DataFrame, model: dict[str, bytes], id_column: str = "doc_id"
     wins, with score 0.  Only the text is looked at; ids may be null or
     repeated; an empty table gives no rows.
     """
-    return _apply(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")), model, ["doc_id"])
+    return _apply(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")), model, ["doc_id"]).drop("letters")
 
 
 def _apply(rows: DataFrame, model: dict[str, bytes], keep: list[str], prefix: str = "") -> DataFrame:
     """The columns to keep, and language and score, whose names begin with ``prefix``."""
     spark = rows.sparkSession
     ship(spark)
-    shared = spark.sparkContext.broadcast(model)
-    results = [f"{prefix}lang_pred", f"{prefix}score"]
-    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep) + f", {results[0]} string, {results[1]} double"
+    # the automata are built once; their size follows the bounds of the sample
+    shared = spark.sparkContext.broadcast(Identifier(model))
+    results = [f"{prefix}{c}" for c in ("lang_pred", "score", "letters")]
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep) + f", {results[0]} string, {results[1]} double, {results[2]} boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        identifier = Identifier(shared.value)
+        identifier = shared.value
         for batch in batches:
             at, column = 0, batch.schema.get_field_index("text")
             while at < batch.num_rows:
@@ -215,9 +207,9 @@ def _apply(rows: DataFrame, model: dict[str, bytes], keep: list[str], prefix: st
                     while end < len(texts) and (end == begin or total < 1 << 20):
                         total += len(texts[end] or "")
                         end += 1
-                    names, score = identifier(texts[begin:end])
+                    names, score, letters = identifier(texts[begin:end])
                     piece = part.slice(begin, end - begin)
-                    yield pa.record_batch([*(piece.column(piece.schema.get_field_index(c)) for c in keep), pa.array(names, pa.string()), pa.array(score)], names=[*keep, *results])
+                    yield pa.record_batch([*(piece.column(piece.schema.get_field_index(c)) for c in keep), pa.array(names, pa.string()), pa.array(score), pa.array(letters)], names=[*keep, *results])
                     begin = end
                 at += 500
             tidy()
@@ -225,10 +217,10 @@ def _apply(rows: DataFrame, model: dict[str, bytes], keep: list[str], prefix: st
     return rows.select(*keep, *(["text"] if "text" not in keep else [])).mapInArrow(run, schema)
 
 
-def learn(docs: DataFrame, held_out: Column, sample_docs: int = 200, sample_bytes: int = 16_384) -> dict[str, bytes]:
-    """Samples of the rows that have text and lang and are not held out."""
+def learn(docs: DataFrame, held_out: Column, sample_docs: int = 64, passage_chars: int = 256, max_languages: int = 100) -> dict[str, bytes]:
+    """Passages of the rows that have text and lang and are not held out."""
     rows = docs.where(~held_out & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
-    return samples(rows, sample_docs, sample_bytes)
+    return samples(rows, sample_docs, passage_chars, max_languages)
 
 
 def held_out_fold(id_column: str = "doc_id") -> Column:
@@ -236,7 +228,20 @@ def held_out_fold(id_column: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def keep_known(docs: DataFrame) -> DataFrame:
-    """The rows, with all their columns, whose language is known: those without text or letters go."""
+def keep_known(docs: DataFrame, min_lead: float = 0.1, min_chars: int = 200, min_sample: int = 2048) -> DataFrame:
+    """The rows, with all their columns, less those whose language is unknown or wrongly given.
+
+    A text that is null or without letters goes.  Where a row's ``lang`` is a
+    language that was learned, from ``min_sample`` bytes or more, and the
+    prediction is another such language, which leads over all others by
+    ``min_lead`` or more on a text of ``min_chars`` characters or more, the row
+    goes too.  A row without ``lang``, or with one that was not learned so, is
+    not judged by it: where no language could be learned at all, every text
+    with letters stays.
+    """
     model = learn(docs, held_out_fold())
-    return _apply(docs, model, docs.columns, INTERNAL).where(F.col(f"{INTERNAL}lang_pred") != UNKNOWN).select(*docs.columns)
+    sure = [lang for lang, sample in model.items() if len(sample) >= min_sample]
+    predicted, lead, letters = F.col(f"{INTERNAL}lang_pred"), F.col(f"{INTERNAL}score"), F.col(f"{INTERNAL}letters")
+    judged = _apply(docs, model, docs.columns, INTERNAL)
+    wrong = F.col("lang").isin(*sure) & predicted.isin(*sure) & (predicted != F.col("lang")) & (lead >= min_lead) & (F.length("text") >= min_chars) if sure else F.lit(False)
+    return judged.where(letters & ~F.coalesce(wrong, F.lit(False))).select(*docs.columns)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -11,17 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Beginning of the names of columns that operators add to rows of others and take away again.
 INTERNAL = "_quadrille_"
-BATCH_ROWS, DEFAULT_ROWS, FEWER_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"
+BATCH_ROWS, FEWER_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
     """Give the Python workers this package, once for each application, and batches of texts that fit their memory.
 
-    Spark's default batch of 10,000 rows is meant for numbers; a session that
-    has set another size keeps it.
+    Spark's own batch of 10,000 rows is meant for numbers; a session that has
+    set a size, whichever, keeps it.
     """
-    if spark.conf.get(BATCH_ROWS) == DEFAULT_ROWS:
+    if BATCH_ROWS not in spark.conf.getAll:
         spark.conf.set(BATCH_ROWS, FEWER_ROWS)
     context = spark.sparkContext
     if context.applicationId in _shipped:
@@ -40,25 +41,35 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset, as in tests, a temporary one becomes it."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
+    """The folder in ``spark.checkpoint.dir``; where that is unset, a temporary one becomes it, on one machine only."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="quadrille-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def new_folder(spark: SparkSession, what: str) -> str:
-    return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, which is deleted when the application ends."""
+    path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+    files, at = _file_system(spark, path)
+    files.mkdirs(at)
+    files.deleteOnExit(at)
+    return path
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
     """The rows written as Parquet in the shared folder and read again, which cuts the lineage."""
     spark = df.sparkSession
     path = new_folder(spark, what)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -66,10 +77,7 @@ def drop_written(*tables: DataFrame) -> None:
     """Delete written tables that no later plan reads."""
     for table in tables:
         spark = table.sparkSession
-        folders = {os.path.dirname(file) for file in table.inputFiles()}
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path
-        for folder in folders:
-            if folder.rsplit("/", 1)[0].removeprefix("file:").strip("/") != shared_folder(spark).removeprefix("file:").strip("/"):
-                continue
-            path = hadoop(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        for folder in {os.path.dirname(file) for file in table.inputFiles()}:
+            if folder.rsplit("/", 1)[0].removeprefix("file:").strip("/") == shared_folder(spark).removeprefix("file:").strip("/"):
+                files, at = _file_system(spark, folder)
+                files.delete(at, True)
