@@ -1,6 +1,7 @@
 """Each operator against a plain version, on a small table and on odd rows."""
 
 import collections
+import gzip
 import hashlib
 import math
 import zlib
@@ -301,18 +302,51 @@ def test_language_id(odd, small, spark):
     assert kept.columns == odd.columns and kept.count() == odd.count() - 4
 
 
-def test_language_samples_take_a_share_of_each_text(spark):
-    """One long text, or a text in many copies, leaves room for all others."""
+def test_language_and_score_by_plain_parsing(small):
+    """Prediction and lead of every text, from the phrases counted by substring search."""
+    model = language_id.learn(small, language_id.held_out_fold())
+    rows = {r["doc_id"]: r["text"] for r in small.where("length(text) < 600").collect()}
+    out = {r["doc_id"]: r for r in language_id.identify(small, model).collect()}
+    names = sorted(model)
+    assert len(names) > 1 and len(rows) > 20
+    for i, text in rows.items():
+        folded = language_id.fold(text or "")
+        if not any(c.isalpha() for c in text or ""):
+            assert (out[i]["lang_pred"], out[i]["score"]) == ("und", 0)
+            continue
+        entropy = [plain_phrases(folded, model[n]) * math.log2(len(model[n])) / len(folded) for n in names]
+        first, second = sorted(entropy)[:2]
+        assert out[i]["lang_pred"] == names[entropy.index(first)]
+        assert math.isclose(out[i]["score"], 1 - first / second, abs_tol=1e-9)
+
+
+def test_languages_that_are_not_given_or_wrong(small):
+    """Rows without lang are all kept; a wrong lang goes by the prediction."""
+    letters = small.where("text RLIKE '[a-zA-Z]'").count()
+    for lang in (F.lit(None).cast("string"), F.lit("xx")):
+        assert language_id.keep_known(small.withColumn("lang", lang)).count() == letters
+    assert language_id.keep_known(small).count() == letters
+    names = sorted(r["lang"] for r in small.select("lang").distinct().collect() if r["lang"])
+    wrong = language_id.held_out_fold() & (F.length("text") > 400) & F.col("lang").isNotNull()
+    other = F.create_map(*(F.lit(x) for k, n in enumerate(names) for x in (n, names[(k + 1) % len(names)])))
+    mixed = small.withColumn("lang", F.when(wrong, other[F.col("lang")]).otherwise(F.col("lang")))
+    bad = {r["doc_id"] for r in small.where(wrong).collect()}
+    gone = {r["doc_id"] for r in small.select("doc_id").subtract(language_id.keep_known(mixed).select("doc_id")).collect()}
+    assert gone <= bad and len(gone) >= 0.9 * len(bad) > 10
+
+
+def test_language_samples_take_a_passage_of_each_text(spark):
+    """One long text, or a text in many copies, leaves room for all others; passages come from the whole of long texts."""
     names = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu".split()
     own = [f"{w * 3} {w}x" for w in names]
-    rows = [(k, "long page " * 5000, "en") for k in range(3)] + [(10 + k, "copied text", "en") for k in range(50)] + [(100 + k, t, "en") for k, t in enumerate(own)]
-    sample = language_id.samples(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 200, 2000)["en"].decode()
-    assert len(sample.encode()) <= 2000 and sample.count("copied text") == 1 and "long page" in sample
-    assert all(t in sample for t in own)
-    # beginnings that are alike do not fill the sample
-    alike = [(97 * k, b"the same head of all pages " * 4 + w.encode() * 30) for k, w in enumerate(names)]
-    assert sum(w in language_id.pieces(alike, 2000).decode() for w in names) > 1
-    assert language_id.pieces([(5, "é".encode() * 100)], 11).decode().strip("é") == ""
+    rows = [(k, " ".join(f"page{chr(97 + j // 676 % 26)}{chr(97 + j // 26 % 26)}{chr(97 + j % 26)}" for j in range(k * 3, 9000)), "en") for k in range(3)]
+    rows += [(10 + k, "copied text", "en") for k in range(50)] + [(100 + k, t, "en") for k, t in enumerate(own)] + [(200, "un texte", "fr")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = language_id.samples(table, 200, 60, 100)["en"].decode()
+    assert sample.count("copied text") == 1 and all(t in sample for t in own)
+    heads = [r[1][:60] for r in rows[:3]]
+    assert sum(h[:30] in sample for h in heads) < 3 and "page" in sample
+    assert list(language_id.samples(table, 200, 60, 1)) == ["en"]
 
 
 # -- 6
@@ -368,6 +402,43 @@ def test_warc_round_trip(spark):
     assert warc.archive(table.limit(0)).isEmpty()
 
 
+def plain_records(pages, min_bytes=100):
+    first = {}
+    for i, html in pages:
+        if len(html.encode()) >= min_bytes:
+            first[html] = min(first.get(html, i), i)
+    return {i: ("revisit", first[html]) if first.get(html, i) != i else ("response", None) for i, html in pages}
+
+
+def test_warc_hot_and_rare_payloads(spark, monkeypatch):
+    """The same types whether payloads are hot, go through the filter, or are met by its false positives."""
+    pages = [(k, "hot " * 50 if k % 3 == 0 else f"pair {k // 7 % 40} " * 30 if k % 3 == 1 else f"own {k} " * 30) for k in range(400)]
+    table = spark.createDataFrame([(i, "u", h) for i, h in pages], "page_id long, url string, html string").repartition(3)
+    expected = plain_records(pages)
+    for words, hot in ((1 << 19, 0.25), (1, 0.25), (1 << 19, 1e9), (1 << 19, 1e-9)):
+        monkeypatch.setattr(warc, "FILTER_WORDS", words)
+        monkeypatch.setattr(warc, "HOT", hot)
+        assert {r["page_id"]: (r["record_type"], r["refers_to"]) for r in warc.archive(table).collect()} == expected
+
+
+def test_warc_files_follow_bytes(spark, tmp_path):
+    """A very long page closes its own archive only; each record is a gzip member, and each archive begins with its warcinfo."""
+    rows = [(k, "u", f"page {k} " + "é" * 500) for k in range(200)] + [(1000, "u", "long " * 800_000)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    path = str(tmp_path / "warc")
+    out = {r["page_id"]: r["payload_bytes"] for r in warc.archive(table, path, file_bytes=100_000).collect()}
+    assert out == {i: len(h.encode()) for i, _, h in rows}
+    files = [f for f in (tmp_path / "warc").iterdir() if f.name.startswith("part-")]
+    content = sum(len(h.encode()) + 512 for _, _, h in rows[:-1])
+    assert len(files) <= content // 100_000 + 2
+    for f in files:
+        data = f.read_bytes()
+        parts = list(warc.members(data))
+        kinds = [h["WARC-Type"] for part in parts for h, _ in warc.parse(part)]
+        assert kinds[0] == "warcinfo" and len(kinds) == len(parts) > 1
+        assert gzip.decompress(data) == b"".join(parts)
+
+
 # -- 8
 
 
