@@ -7,6 +7,10 @@ phrase cannot hold one and are left out.  Of the rest a suffix array gives the
 Burrows-Wheeler transform, kept as a wavelet matrix; phrases are searched
 backwards through its ranks, all at once, and their occurrences located by
 walking to sampled suffix positions.  Spans are merged by document.
+
+The benchmark is encoded once and broadcast in blocks of bounded size.  One
+block is the usual case; with several, each gives the spans of the texts it
+hits, and these are merged by the text's hash.
 """
 
 from __future__ import annotations
@@ -20,11 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import INTERNAL, ship
-from .textkernel import ALNUM, CHUNK_BYTES, Words, chunks, cut
+from .session import INTERNAL, ship, written
+from .textkernel import ALNUM, CHUNK_BYTES, Words, chunks, cut, windows
 
 #: Every how many text positions the suffix array keeps a sample.
 SAMPLE = 8
+#: Text bytes of the benchmark in a block; its arrays, which a worker holds, are several times that.
+BLOCK_BYTES = 16 << 20
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -107,16 +113,16 @@ class FMIndex:
         self.samples = order[kept]
         self.size = len(text)
 
-    def search(self, phrases: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Interval of suffixes that begin with each phrase; rows of ``phrases`` are aligned to the right."""
-        low = np.zeros(len(phrases), np.int64)
-        high = np.full(len(phrases), self.size, np.int64)
-        live = np.arange(len(phrases))
-        for back in range(1, phrases.shape[1] + 1):
+    def search(self, symbols: np.ndarray, start: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Interval of suffixes that begin with each phrase; phrases are runs of ``symbols``."""
+        low = np.zeros(len(start), np.int64)
+        high = np.full(len(start), self.size, np.int64)
+        live = np.arange(len(start))
+        for back in range(1, int(lengths.max(initial=0)) + 1):
             live = live[(lengths[live] >= back) & (low[live] < high[live])]
             if not len(live):
                 break
-            symbol = phrases[live, -back]
+            symbol = symbols[start[live] + lengths[live] - back]
             low[live] = self.first[symbol] + self.bwt.rank(symbol, low[live])
             high[live] = self.first[symbol] + self.bwt.rank(symbol, high[live])
         return low, np.maximum(low, high)
@@ -136,28 +142,41 @@ class FMIndex:
 
 
 class Phrases:
-    """Distinct phrases of the benchmark: windows of ``size`` words, or a shorter item as a whole."""
+    """Distinct phrases of benchmark items: windows of ``size`` words, or a shorter item as a whole, as runs of the items' symbols."""
 
     def __init__(self, items: list[tuple[str, str]], size: int):
-        self.size = size
         self.items = sorted({i for i, _ in items})
         number = {i: k for k, i in enumerate(self.items)}
         data = [t.encode() for _, t in items]
         words = cut(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]), ALNUM)
         self.vocabulary = np.unique(words.hash)
-        symbols = np.searchsorted(self.vocabulary, words.hash) + 1
-        held: dict[tuple[int, ...], set[int]] = {}
-        for (item, _), a, b in zip(items, words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
-            for k in range(a, max(b - size, a) + 1):
-                if phrase := tuple(symbols[k : min(k + size, b)].tolist()):
-                    held.setdefault(phrase, set()).add(number[item])
-        phrases = list(held)
-        self.lengths = np.array([len(p) for p in phrases], np.int64)
-        self.shortest = int(self.lengths.min()) if phrases else 0
-        self.rows = np.zeros((len(phrases), size), np.int64)
-        for k, p in enumerate(phrases):
-            self.rows[k, size - len(p) :] = p
-        self.owners = [sorted(held[p]) for p in phrases]
+        self.symbols = (np.searchsorted(self.vocabulary, words.hash) + 1).astype(np.int32)
+        n, first = words.counts, words.first[:-1]
+        many = np.where(n > 0, np.maximum(n - size, 0) + 1, 0)
+        start = np.repeat(first, many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+        lengths = np.repeat(np.minimum(n, size), many)
+        key = np.zeros(len(start), np.uint64)
+        for length in np.unique(lengths).tolist():
+            at = lengths == length
+            key[at] = windows(words.hash, length)[start[at]]
+        owner = np.repeat(np.array([number[i] for i, _ in items], np.int32), many)
+        # each phrase once, with the items that own it in a run of ``owner``
+        _, place, which = np.unique(key, return_index=True, return_inverse=True)
+        self.start, self.lengths = start[place], lengths[place]
+        pairs = np.unique(which * max(len(self.items), 1) + owner)
+        self.owner = (pairs % max(len(self.items), 1)).astype(np.int32)
+        self.owner_edge = np.searchsorted(pairs // max(len(self.items), 1), np.arange(len(place) + 1))
+        self.shortest = int(self.lengths.min(initial=size)) if len(place) else 0
+
+    def owners(self, phrase: int) -> list[int]:
+        return self.owner[self.owner_edge[phrase] : self.owner_edge[phrase + 1]].tolist()
+
+    def held(self, symbols: np.ndarray) -> np.ndarray:
+        """The phrases all of whose symbols are among these."""
+        absent = np.ones(len(self.vocabulary) + 1, bool)
+        absent[symbols] = False
+        missing = np.r_[0, np.cumsum(absent[self.symbols])]
+        return np.flatnonzero(missing[self.start + self.lengths] == missing[self.start])
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         """Symbol of each word; 0 for one that the benchmark lacks."""
@@ -170,7 +189,7 @@ class Phrases:
 def occurrences(words: Words, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
     """(phrase, first word in the shard) of all occurrences inside documents."""
     none = np.zeros(0, np.int64)
-    if not len(words.hash) or not len(phrases.rows):
+    if not len(words.hash) or not len(phrases.start):
         return none, none
     symbol = phrases.numbers(words.hash)
     # runs of known words that lie in one document
@@ -188,10 +207,13 @@ def occurrences(words: Words, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]
     base = np.cumsum(total) - total
     place = np.arange(int(total.sum())) - np.repeat(base - start, total)
     text = np.where(np.arange(len(place)) == np.repeat(base + size, total), 0, symbol[np.minimum(place, len(symbol) - 1)])
+    asked = phrases.held(text)
+    if not len(asked):
+        return none, none
     index = FMIndex(text, len(phrases.vocabulary) + 1)
-    low, high = index.search(phrases.rows, phrases.lengths)
+    low, high = index.search(phrases.symbols, phrases.start[asked], phrases.lengths[asked])
     n = high - low
-    which = np.repeat(np.arange(len(n)), n)
+    which = np.repeat(asked, n)
     rows = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n - low, n)
     return which, place[index.locate(rows)]
 
@@ -204,13 +226,62 @@ def removal_spans(words: Words, which: np.ndarray, at: np.ndarray, phrases: Phra
     return np.cumsum(edge)[:-1] > 0
 
 
-def benchmark_items(benchmark: DataFrame, id_column: str = "item_id", text_column: str = "text") -> list[tuple[str, str]]:
-    """The items, for the driver: a benchmark is the stated query set.  A null id is named ``null``."""
+def blocks_of(benchmark: DataFrame, size: int, id_column: str = "item_id", text_column: str = "text", block_bytes: int = BLOCK_BYTES) -> Iterator[Phrases]:
+    """The items, a null id named ``null``, in blocks of about ``block_bytes``: the driver encodes one at a time."""
     rows = benchmark.select(F.coalesce(F.col(id_column).cast("string"), F.lit("null")).alias("i"), F.coalesce(F.col(text_column), F.lit("")).alias("t"))
-    return [(r["i"], r["t"]) for r in rows.toLocalIterator()]
-
-
-def scan(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", size: int = 10, shard_bytes: int = CHUNK_BYTES, keep: list[str] | None = None) -> DataFrame:
+    held: list[tuple[str, str]] = []
+    total, some = 0, False
+    for row in rows.toLocalIterator():
+        held.append((row["i"], row["t"]))
+        total += len(row["t"].encode()) + 64
+        if total >= block_bytes:
+            yield Phrases(held, size)
+            held, total, some = [], 0, True
+    if held or not some:
+        yield Phrases(held, size)
+
+
+def _found(words: Words, phrases: Phrases) -> tuple[np.ndarray, dict[int, set[int]]]:
+    """Mask of the words that are hit, and the items of each document."""
+    which, at = occurrences(words, phrases)
+    items: dict[int, set[int]] = {}
+    pairs = np.unique(np.stack([np.searchsorted(words.first, at, side="right") - 1, which]), axis=1) if len(at) else np.zeros((2, 0), np.int64)
+    for doc, k in pairs.T.tolist():
+        items.setdefault(doc, set()).update(phrases.owners(k))
+    return removal_spans(words, which, at, phrases), items
+
+
+SPAN = pa.list_(pa.struct([("word", pa.int64()), ("words", pa.int64())]))
+
+
+def _spans(mask: np.ndarray) -> list[dict]:
+    edges = np.diff(np.r_[False, mask, False].astype(np.int8))
+    return [{"word": a, "words": b - a} for a, b in zip(np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist(), strict=True)]
+
+
+RESULTS = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<word: long, words: long>>"
+
+
+def _result(part: pa.RecordBatch, words: Words, hit: np.ndarray, names: list[list[str]], prefix: str, keep: list[str]) -> pa.RecordBatch:
+    """Results of a chunk whose columns are id, text and those to keep."""
+    total = np.r_[0, np.cumsum(hit)]
+    n_hit = total[words.first[1:]] - total[words.first[:-1]]
+    spans: list[list[dict]] = [[] for _ in names]
+    for d in np.flatnonzero(n_hit).tolist():
+        spans[d] = _spans(hit[words.first[d] : words.first[d + 1]])
+    columns = {
+        "doc_id": part.column(0),
+        "n_words": words.counts.astype(np.int64),
+        "n_hit": n_hit.astype(np.int64),
+        "n_items": pa.array([len(n) for n in names], pa.int64()),
+        "items_sha256": pa.array([hashlib.sha256(",".join(n).encode()).hexdigest() for n in names], pa.string()),
+        "contaminated": n_hit > 0,
+        "spans": pa.array(spans, SPAN),
+    }
+    return pa.record_batch([*columns.values(), *(part.column(2 + k) for k in range(len(keep)))], names=[*(prefix + c for c in columns), *keep])
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", size: int = 10, shard_bytes: int = CHUNK_BYTES, keep: list[str] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per row ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans``.
 
     ``spans`` are the merged removal spans as (first word, words).  A document
@@ -223,48 +294,66 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_
     """
     spark = docs.sparkSession
     ship(spark)
-    shared = spark.sparkContext.broadcast(benchmark_items(benchmark, item_column))
     keep = keep or []
     prefix = INTERNAL if keep else ""
     rows = docs.select(F.col(id_column).alias(f"{INTERNAL}id"), F.col(text_column).alias(f"{INTERNAL}text"), *keep)
     kept = "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    results = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<word: long, words: long>>"
-    named = ", ".join(f"{prefix}{c}" for c in re.split(r", (?=\w+ \w)", results))
+    named = ", ".join(f"{prefix}{c}" for c in re.split(r", (?=\w+ \w)", RESULTS))
     schema = f"{prefix}doc_id {rows.schema[INTERNAL + 'id'].dataType.simpleString()}, {named}{kept}"
-    span_type = pa.list_(pa.struct([("word", pa.int64()), ("words", pa.int64())]))
+    shared = [spark.sparkContext.broadcast(block) for block in blocks_of(benchmark, size, item_column, block_bytes=block_bytes)]
+    if len(shared) > 1:
+        return _merged(rows, shared, schema, shard_bytes, prefix, keep)
+    only = shared[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases = Phrases(shared.value, size)
+        phrases = only.value
         for batch in batches:
             for part, data, offsets in chunks(batch, f"{INTERNAL}text", shard_bytes):
                 words = cut(data, offsets, ALNUM)
-                which, at = occurrences(words, phrases)
-                hit = removal_spans(words, which, at, phrases)
-                total = np.r_[0, np.cumsum(hit)]
-                n_hit = total[words.first[1:]] - total[words.first[:-1]]
-                found: dict[int, set[int]] = {}
-                for doc, k in zip((np.searchsorted(words.first, at, side="right") - 1).tolist(), which.tolist(), strict=True):
-                    found.setdefault(doc, set()).update(phrases.owners[k])
-                names = [sorted(phrases.items[k] for k in found.get(d, ())) for d in range(part.num_rows)]
-                spans: list[list[dict]] = [[] for _ in names]
-                for d in np.flatnonzero(n_hit).tolist():
-                    mask = np.r_[False, hit[words.first[d] : words.first[d + 1]], False].astype(np.int8)
-                    edges = np.diff(mask)
-                    spans[d] = [{"word": a, "words": b - a} for a, b in zip(np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist(), strict=True)]
-                columns = {
-                    "doc_id": part.column(0),
-                    "n_words": words.counts.astype(np.int64),
-                    "n_hit": n_hit.astype(np.int64),
-                    "n_items": pa.array([len(n) for n in names], pa.int64()),
-                    "items_sha256": pa.array([hashlib.sha256(",".join(n).encode()).hexdigest() for n in names], pa.string()),
-                    "contaminated": n_hit > 0,
-                    "spans": pa.array(spans, span_type),
-                }
-                yield pa.record_batch([*columns.values(), *(part.column(2 + k) for k in range(len(keep)))], names=[*(prefix + c for c in columns), *keep])
+                hit, items = _found(words, phrases)
+                names = [sorted(phrases.items[k] for k in items.get(d, ())) for d in range(part.num_rows)]
+                yield _result(part, words, hit, names, prefix, keep)
 
     return rows.mapInArrow(run, schema)
 
 
+def _merged(rows: DataFrame, blocks: list, schema: str, shard_bytes: int, prefix: str, keep: list[str]) -> DataFrame:
+    """``scan`` with a benchmark of several blocks: what each finds in a text is written, by the text's hash, and all of it meets the rows."""
+    text = F.coalesce(F.col(f"{INTERNAL}text"), F.lit(""))
+    key = F.xxhash64(text)
+    hits = None
+    for number, block in enumerate(blocks):
+
+        def find(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part, data, offsets in chunks(batch, "text", shard_bytes):
+                    words = cut(data, offsets, ALNUM)
+                    hit, items = _found(words, block.value)
+                    docs = sorted(items)
+                    spans = [_spans(hit[words.first[d] : words.first[d + 1]]) for d in docs]
+                    yield pa.record_batch({"key": part.column(0).take(pa.array(docs, pa.int64())), "spans": pa.array(spans, SPAN), "items": pa.array([[block.value.items[k] for k in sorted(items[d])] for d in docs], pa.list_(pa.string()))})
+
+        found = rows.select(key.alias("key"), text.alias("text")).mapInArrow(find, "key long, spans array<struct<word: long, words: long>>, items array<string>").dropDuplicates(["key"])
+        found = written(found.withColumn("block", F.lit(number)), "hits")
+        block.unpersist()
+        hits = found if hits is None else hits.unionByName(found)
+    by_text = hits.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias(f"{INTERNAL}spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias(f"{INTERNAL}items"))
+    met = rows.withColumn(f"{INTERNAL}key", key).join(by_text.withColumnRenamed("key", f"{INTERNAL}key"), f"{INTERNAL}key", "left").select(*rows.columns, f"{INTERNAL}spans", f"{INTERNAL}items")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, offsets in chunks(batch, f"{INTERNAL}text", shard_bytes):
+                words = cut(data, offsets, ALNUM)
+                hit = np.zeros(len(words.hash), bool)
+                columns = [part.column(part.schema.get_field_index(f"{INTERNAL}{c}")).to_pylist() for c in ("spans", "items")]
+                for d, spans in enumerate(columns[0]):
+                    for span in spans or ():
+                        hit[words.first[d] + span["word"] : words.first[d] + span["word"] + span["words"]] = True
+                yield _result(part, words, hit, [sorted(names or ()) for names in columns[1]], prefix, keep)
+
+    return met.mapInArrow(run, schema)
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows, with all their columns, that hold no phrase of the benchmark."""
     found = scan(docs, benchmark, id_column, text_column, keep=docs.columns)

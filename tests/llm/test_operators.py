@@ -518,6 +518,8 @@ def test_contamination(odd, small, spark):
             out = decontamination.scan(table, benchmark)
             assert found(out, *names) == plain_contamination(rows, items)
             assert out.where("aggregate(spans, 0L, (a, x) -> a + x.words) <> n_hit").isEmpty()
+        # the same with the benchmark in several blocks
+        assert found(decontamination.scan(table, spark.createDataFrame(made + real, "item_id long, text string").coalesce(1), block_bytes=400), *names) == plain_contamination(rows, made + real)
         clean = decontamination.drop_contaminated(table, spark.createDataFrame(real, "item_id long, text string"))
         assert clean.columns == table.columns and clean.count() == out.count() - sum(n for k, n in plain_contamination(rows, real).items() if k[-1])
 
@@ -529,10 +531,8 @@ def test_fm_index_against_search():
         text[-1] = 0
         index = decontamination.FMIndex(text, alphabet)
         phrases = [rng.integers(1, alphabet, rng.integers(1, 6)) for _ in range(40)] if alphabet > 2 else [np.ones(n, int) for n in range(1, 6)]
-        rows = np.zeros((len(phrases), 6), np.int64)
-        for k, p in enumerate(phrases):
-            rows[k, 6 - len(p) :] = p
-        low, high = index.search(rows, np.array([len(p) for p in phrases]))
+        lengths = np.array([len(p) for p in phrases])
+        low, high = index.search(np.concatenate(phrases), np.cumsum(lengths) - lengths, lengths)
         for p, a, b in zip(phrases, low, high, strict=True):
             expected = [k for k in range(len(text) - len(p) + 1) if (text[k : k + len(p)] == p).all()]
             assert sorted(index.locate(np.arange(a, b)).tolist()) == expected
