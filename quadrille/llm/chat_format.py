@@ -40,6 +40,18 @@ LENGTHS = (1, 40, 120, 400)
 N_MARKERS, N_FORMS = 4, (len(LENGTHS) + 1) * 2 * 2
 STATES = 2 * len(ROLES)
 NONE = -1e30
+#: Lines, and bytes of text, of a segment: a task holds one transcript's part of a segment at a time.
+SEGMENT_LINES, SEGMENT_BYTES = 100_000, 32 << 20
+_MARK, _MARKED = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
+
+
+def escape(text: str) -> str:
+    """A text that opens no turn and closes none: a backslash more between ``<`` and ``|``."""
+    return _MARK.sub(r"<\\\1|", text)
+
+
+def unescape(text: str) -> str:
+    return _MARKED.sub(r"<\1|", text)
 
 
 def marker_of(line: str) -> tuple[int, int]:
@@ -133,10 +145,12 @@ def as_transcripts(turns: DataFrame) -> DataFrame:
 
 def in_segments(lines: DataFrame) -> DataFrame:
     """The lines that are not blank, in order of transcript, turn and line, with segment, place and observation codes."""
+    ship(lines.sparkSession)
     order = ["conv_id", "turn", "line", F.xxhash64("text"), F.monotonically_increasing_id()]
     sorted_lines = lines.select("conv_id", "turn", "line", "text", "state", *(c.alias(f"_{k}") for k, c in enumerate(order[3:])))
     by = ["conv_id", "turn", "line", "_0", "_1"]
-    partitions = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n, size = lines.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    partitions = max(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // SEGMENT_LINES), -(-size // SEGMENT_BYTES))
     dealt = sorted_lines.repartitionByRange(partitions, *by).sortWithinPartitions(*by).select("conv_id", "turn", "line", "text", "state")
     kind = {f.name: f.dataType.simpleString() for f in dealt.schema}
     schema = f"segment int, place long, conv_id {kind['conv_id']}, turn {kind['turn']}, line int, text string, state int, marker int, form int"
@@ -206,8 +220,8 @@ def _emission(model: Model, rows: list[dict]) -> np.ndarray:
     return model.emit(np.array([r["marker"] for r in rows]), np.array([r["form"] for r in rows]))
 
 
-def borders(segments: DataFrame, model: Model) -> dict[int, dict[str, tuple[int | None, int, bool]]]:
-    """For the first and the last transcript of each segment that crosses a border: the state before, the last state, and whether it goes on."""
+def borders(segments: DataFrame, model: Model) -> dict[tuple[int, object], tuple[int | None, int, bool]]:
+    """For the segment and transcript of each part of one that crosses a border: the state before, the last state, and whether it goes on."""
     edges = segments.groupBy("segment").agg(F.min("place").alias("lo"), F.max("place").alias("hi"), F.min_by("conv_id", "place").alias("first"), F.max_by("conv_id", "place").alias("last")).orderBy("segment").collect()
     crossing = [(a, b) for a, b in zip(edges, edges[1:], strict=False) if a["last"] == b["first"]]
     if not crossing:
@@ -221,8 +235,9 @@ def borders(segments: DataFrame, model: Model) -> dict[int, dict[str, tuple[int
 
     tables = segments.mapInArrow(run, "segment int, place long, score array<double>").collect()
     score = {(r["segment"], r["place"] > 0): np.array(r["score"]).reshape(STATES + 1, STATES) for r in tables}
-    out: dict[int, dict[str, tuple[int | None, int, bool]]] = {}
+    out: dict[tuple[int, object], tuple[int | None, int, bool]] = {}
     chain: list = []
+    conv: object = None
 
     def close() -> None:
         best, back = None, []
@@ -238,7 +253,7 @@ def borders(segments: DataFrame, model: Model) -> dict[int, dict[str, tuple[int
         last = int(best.argmax())
         for (segment, later), b in zip(reversed(chain), reversed(back), strict=True):
             before = None if b is None else int(b[last])
-            out.setdefault(segment, {})["later" if later else "first"] = (before, last, (segment, later) != chain[-1])
+            out[segment, conv] = (before, last, (segment, later) != chain[-1])
             last = before
 
     for a, b in crossing:
@@ -246,7 +261,7 @@ def borders(segments: DataFrame, model: Model) -> dict[int, dict[str, tuple[int
         if not chain or chain[-1][0] != a["segment"] or not whole:
             if chain:
                 close()
-            chain = [(a["segment"], not whole)]
+            chain, conv = [(a["segment"], not whole)], a["last"]
         chain.append((b["segment"], False))
     close()
     return out
@@ -265,7 +280,11 @@ def format_chats(lines: DataFrame, held_out: Column | None = None, model: Model
     ``lines`` is as from ``as_transcripts``; blank and null lines only mark
     gaps.  Null transcript ids are one transcript.  Without a model it is
     learned from the lines not ``held_out``; with no labelled line every state
-    is as likely.  Equal lines keep some order; an empty table gives no rows.
+    is as likely.  Lines that repeat a place are all kept, those with equal
+    text in some order; of equally probable paths that of the lower states
+    wins.  Text that looks like a header or an end is escaped (``escape``), so
+    it can be told from one.  Other columns are not read; an empty table gives
+    no rows.
     """
     ship(lines.sparkSession)
     segments = in_segments(lines)
@@ -285,7 +304,7 @@ def format_chats(lines: DataFrame, held_out: Column | None = None, model: Model
 
         out: list[tuple] = []
         for _, rows in _runs(recording(batches)):
-            before, last, goes_on = fixed.get(rows[0]["segment"], {}).get("later" if rows[0]["place"] else "first", (None, None, False))
+            before, last, goes_on = fixed.get((rows[0]["segment"], rows[0]["conv_id"]), (None, None, False))
             path = model.decode(_emission(model, rows), before, last).tolist()
             starts = [k for k, s in enumerate(path) if k == 0 or s % 2 == 0]
             for a, b in zip(starts, [*starts[1:], len(path)], strict=True):
@@ -293,7 +312,7 @@ def format_chats(lines: DataFrame, held_out: Column | None = None, model: Model
                 texts = [r["text"] for r in rows[a:b]]
                 if opened:
                     texts[0] = texts[0][marker_of(texts[0])[1] :]
-                body = "\n".join(texts)
+                body = escape("\n".join(texts))
                 header = f"<|{role}|>\n" if opened else ""
                 if opened and a == 0 and before is not None:
                     header = "<|end|>\n" + header
