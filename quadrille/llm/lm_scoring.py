@@ -10,7 +10,11 @@ distinct n-grams once, in blobs by hash bucket; a bucket adds up the counts of
 all chunks and answers each chunk in the order of its list, so answers carry
 counts only.  Chunks and answers meet again by chunk, and the documents are
 scored there.  The number of buckets follows the input, so that neither a
-chunk nor a bucket outgrows a task.
+chunk nor a bucket outgrows a task.  Both grow with the fourth root of the
+input, up to eight times, so a chunk's lists, one for each bucket that it has
+n-grams in, grow more slowly than the square of the input; from some terabytes
+on there are as many as a chunk has different n-grams, and they grow in
+proportion.
 """
 
 from __future__ import annotations
@@ -33,8 +37,8 @@ from .textkernel import SPACE, chunks, cut, mix
 U64 = np.uint64
 END, START = U64(0x0E0D0C0B0A090807), U64(0x1716151413121110)
 LEFT, RIGHT = U64(0x9FB21C651E98DF25), U64(0xD6E8FEB86659FD93)
-#: Text bytes of a chunk, and of the text whose n-grams a bucket gets on average.
-CHUNK, BUCKET = 8 << 20, 8 << 20
+#: Text bytes of a chunk, and of the text whose n-grams a bucket gets on average, for an input of up to SCALE bytes, and how much larger they become.
+CHUNK, BUCKET, SCALE, LARGER = 8 << 20, 8 << 20, 1 << 30, 8
 #: Context-frequency buckets: 0, 1, 2-3, 4-7 and so on; the last is open.
 CONTEXTS = 20
 #: Cells per decade of a probability, and cells, for the held-out events.
@@ -109,7 +113,12 @@ class Chunk:
         return cls(np.frombuffer(unpack(row["tags"]), np.uint32), np.frombuffer(unpack(row["token"]), "<u4").astype(np.int64), row["start"], np.frombuffer(row["first"], "<i8"), np.frombuffer(row["folds"], np.uint8))
 
 
-def read_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array, np.ndarray, Chunk]]:
+def growth(size: int) -> float:
+    """How much larger chunks and buckets are than for a small input."""
+    return float(min(max(1.0, (size / SCALE) ** 0.25), LARGER))
+
+
+def read_chunks(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[tuple[int, pa.Array, np.ndarray, Chunk]]:
     """Number, document ids, word hashes and tokens of each chunk of a partition of (_id, text)."""
     nth = TaskContext.get().partitionId() << 32
     held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
@@ -134,7 +143,7 @@ def read_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Arr
             words = cut(data, offsets, SPACE)
             held.append((part.column(0), words.hash, words.counts))
             size += len(data) + 64 * part.num_rows
-            if size >= CHUNK:
+            if size >= chunk_bytes:
                 yield close()
                 nth, held, size = nth + 1, [], 0
     if held:
@@ -152,9 +161,9 @@ def _table(rows: list[dict], schema: str) -> pa.RecordBatch:
     return pa.record_batch([pa.array([r[name] for r in rows], kinds[kind]) for name, kind in columns], names=[name for name, _ in columns])
 
 
-def _requests(buckets: int):
+def _requests(buckets: int, chunk_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, _, words, chunk in read_chunks(batches):
+        for number, _, words, chunk in read_chunks(batches, chunk_bytes):
             pairs, which = chunk.pairs()
             lengths = np.diff(chunk.first)
             train, deleted = np.repeat(chunk.folds != 0, lengths), np.repeat(chunk.folds == 1, lengths)
@@ -165,10 +174,11 @@ def _requests(buckets: int):
             with np.errstate(over="ignore"):
                 keys = mix(words[pairs // len(words)] * LEFT ^ words[pairs % len(words)] * RIGHT)
             a, a_bucket, b, b_bucket = chunk.order(pairs, buckets)
-            a_edge, b_edge = np.searchsorted(a_bucket, np.arange(buckets + 1)), np.searchsorted(b_bucket, np.arange(buckets + 1))
+            asked = np.union1d(a_bucket, b_bucket)
+            edges = [np.searchsorted(of, asked, side).tolist() for of in (a_bucket, b_bucket) for side in ("left", "right")]
             rows, total, main = [], int(train.sum()), int((train & ~deleted).sum())
-            for k in np.flatnonzero((np.diff(a_edge) > 0) | (np.diff(b_edge) > 0)).tolist():
-                w, p = a[a_edge[k] : a_edge[k + 1]], b[b_edge[k] : b_edge[k + 1]]
+            for k, a_begin, a_end, b_begin, b_end in zip(asked.tolist(), *edges, strict=True):
+                w, p = a[a_begin:a_end], b[b_begin:b_end]
                 rows.append(
                     {
                         "bucket": k, "chunk": number, "n": len(w), "words": words[w].tobytes(), "word_train": pack_counts(word_train[w]), "word_deleted": pack_counts(word_deleted[w]),
@@ -216,12 +226,15 @@ def _add_up(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_table(out, ANSWER)])
 
 
-def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for number, ids, _, chunk in read_chunks(batches):
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, pa.schema([("id", ids.type)])) as out:
-            out.write_batch(pa.record_batch([ids], names=["id"]))
-        yield _table([{"chunk": number, "ids": sink.getvalue().to_pybytes()} | chunk.to_row()], CHUNK_ROW)
+def _chunk_rows(chunk_bytes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, ids, _, chunk in read_chunks(batches, chunk_bytes):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, pa.schema([("id", ids.type)])) as out:
+                out.write_batch(pa.record_batch([ids], names=["id"]))
+            yield _table([{"chunk": number, "ids": sink.getvalue().to_pybytes()} | chunk.to_row()], CHUNK_ROW)
+
+    return run
 
 
 def context_bucket(count: np.ndarray) -> np.ndarray:
@@ -359,12 +372,13 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     ship(spark)
     rows = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET))
-    asked = rows.mapInArrow(_requests(buckets), REQUEST)
+    chunk_bytes, bucket_bytes = int(CHUNK * growth(size)), int(BUCKET * growth(size))
+    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // bucket_bytes))
+    asked = rows.mapInArrow(_requests(buckets, chunk_bytes), REQUEST)
     answers = written(asked.groupBy("bucket").applyInArrow(_add_up, ANSWER), "lm-counts")
     total = answers.agg(*(F.sum(c).alias(c) for c in ("tokens", "tokens_main", "types", "types_main"))).first()
     tokens, tokens_main, types, types_main = (total[k] or 0 for k in range(4))
-    own = rows.mapInArrow(_chunk_rows, CHUNK_ROW)
+    own = rows.mapInArrow(_chunk_rows(chunk_bytes), CHUNK_ROW)
     matched = written(own.groupBy("chunk").cogroup(answers.drop("types", "types_main", "tokens", "tokens_main").groupBy("chunk")).applyInArrow(_match(buckets, tokens_main), MATCHED), "lm-chunks")
     drop_written(answers)
     # one row for each cell at most

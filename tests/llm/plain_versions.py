@@ -2,8 +2,12 @@
 
 import collections
 import hashlib
+import itertools
+import math
 import re
 
+import numpy as np
+
 from quadrille.llm import language_id
 
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -142,3 +146,40 @@ def index_words(text, index):
 
     number = {h: k for k, h in enumerate(index.vocabulary.tolist())}
     return [number.get(h, -1) for w in alnum(text) for h in word_hashes(w).tolist()]
+
+
+def plain_lm(rows):
+    """Scores of rows (id, text) by counting n-grams one by one, with the weights that the model's expectation-maximisation gives for the same events."""
+    from quadrille.llm import lm_scoring as lm
+
+    docs = [(lm.fold_of(i), ["<start>", *spaced(t), "</end>"]) for i, t in rows]
+    # a word may look like a mark; tell them apart
+    docs = [(f, [("mark", w[0]), *(("word", x) for x in w[1:-1]), ("mark", w[-1])]) for f, w in docs]
+
+    def counts(folds):
+        one, two, before = collections.Counter(), collections.Counter(), collections.Counter()
+        for f, w in docs:
+            if f in folds:
+                one.update(w[1:])
+                before.update(w[:-1])
+                two.update(itertools.pairwise(w))
+        return one, two, before
+
+    train, main = counts(set(range(1, 10))), counts(set(range(2, 10)))
+    total, total_main = sum(train[0].values()), sum(main[0].values())
+    events = [(a, b) for f, w in docs if f == 1 for a, b in itertools.pairwise(w)]
+    context = lambda table, a: table[2][a] if a == docs[0][1][0] else table[0][a]
+    before = np.array([context(main, a) for a, _ in events], np.int64)
+    two = np.array([main[1][e] for e in events]) / np.maximum(before, 1)
+    one = np.array([main[0][b] for _, b in events]) / max(total_main, 1)
+    cells, n = np.unique((lm.context_bucket(before) * lm.CELLS + lm.cell_of(two)) * lm.CELLS + lm.cell_of(one), return_counts=True)
+    weights = lm.learn_weights(cells.astype(np.int64), n.astype(float), 1 / (len(main[0]) + 1))
+    out = []
+    for _, w in docs:
+        score = 0.0
+        for a, b in itertools.pairwise(w):
+            c = context(train, a)
+            x = weights[lm.context_bucket(np.array([c]))[0]]
+            score += math.log10(x[0] * train[1][a, b] / max(c, 1) + x[1] * train[0][b] / max(total, 1) + x[2] / (len(train[0]) + 1))
+        out.append(score)
+    return out

@@ -11,7 +11,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
-from plain_versions import alnum, plain_components, plain_contamination, plain_licenses, plain_notices, plain_phrases, plain_quality, spaced
+from plain_versions import alnum, plain_components, plain_contamination, plain_licenses, plain_lm, plain_notices, plain_phrases, plain_quality, spaced
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -187,11 +187,26 @@ def test_lm_scores(odd, small):
         n, v = sum(counts.values()), len(counts)
         expected = collections.Counter((i, held, len(w), sum(counts[x] > 0 for x in w), n, round(sum(math.log10((counts[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w), 4)) for i, w, held in texts)
         assert found(out.withColumn("base_score", F.round("base_score", 4)), "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score") == expected
-        assert out.where("score > 0 OR isnan(score) OR score IS NULL").isEmpty()
+        got, plain = collections.defaultdict(list), collections.defaultdict(list)
+        for r in out.collect():
+            got[r["doc_id"], r["n_tokens"]].append(r["score"])
+        for (i, t), score in zip(rows, plain_lm(rows), strict=True):
+            plain[i, len(spaced(t)) + 1].append(score)
+        assert got.keys() == plain.keys()
+        assert all(np.allclose(sorted(got[k]), sorted(plain[k]), rtol=1e-9, atol=1e-9) for k in got)
     held = out.where("held_out").agg(F.sum("base_score"), F.sum("score")).first()
     assert held[1] > held[0]
 
 
+def test_lm_scores_do_not_depend_on_chunks(small, monkeypatch):
+    scores = lambda: found(lm_scoring.score(small.repartition(2, "doc_id")).withColumn("score", F.round("score", 6)), "doc_id", "n_known", "score")
+    whole = scores()
+    monkeypatch.setattr(lm_scoring, "CHUNK", 10_000)
+    monkeypatch.setattr(lm_scoring, "BUCKET", 20_000)
+    assert scores() == whole
+    assert lm_scoring.growth(1) == 1 and round(lm_scoring.growth(16 << 30), 6) == 2 and lm_scoring.growth(1 << 60) == 8
+
+
 def test_weights_by_expectation_maximisation():
     two, one = np.array([0.5, 0.0]), np.array([0.01, 0.01])
     cells = (3 * lm_scoring.CELLS + lm_scoring.cell_of(two)) * lm_scoring.CELLS + lm_scoring.cell_of(one)
