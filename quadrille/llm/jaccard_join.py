@@ -23,7 +23,10 @@ lost:
 
 A list larger than ``BLOCK`` is dealt into parts, and each pair of parts is a
 block of its own.  A shingle known to be frequent is dealt into parts by the
-class when the lists are made.
+class when the lists are made.  Frequent are shingles that repeat within a
+task's runs, and those that a sample of the classes, by their hash, holds often,
+however thinly they are spread.  The most frequent TABLE of them are known, so
+a list that is not dealt has no more than the postings over TABLE members.
 """
 
 from __future__ import annotations
@@ -47,6 +50,8 @@ ROW_KEY = f"{INTERNAL}row_key"
 LEAST_BITS = 512
 #: A shingle that tasks saw this often, counting only tasks that saw it twice or more, is frequent.
 FREQUENT = 32
+#: One class in SAMPLED tells of its shingles, and a shingle counts by that where OFTEN of them hold it.
+SAMPLED, OFTEN = 64, 8
 #: Greatest number of frequent shingles that are sent to the tasks; the most frequent go first.
 TABLE = 1 << 18
 #: Classes in a part of a list.
@@ -110,7 +115,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, l
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows for documents, and for shingles that stand in several documents of a run."""
+    """Rows for documents, for shingles that stand in several documents of a run (token, seen), and for those of the sampled classes (token, fp)."""
     held: list[np.ndarray] = []
     size = 0
 
@@ -132,7 +137,13 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=names,
         )
         # copies of a set count once
-        held += list({f: s for f, s in zip(fps, sets, strict=True) if f}.values())
+        own = {f: s for f, s in zip(fps, sets, strict=True) if f}
+        held += list(own.values())
+        classes = np.array(list(own), np.int64)
+        for f in classes[mix(classes.view(np.uint64)) % U64(SAMPLED) == 0].tolist():
+            k = len(own[f])
+            nothing = pa.nulls(k, pa.int64())
+            yield pa.record_batch([pa.nulls(k, id_type), nothing, pa.array(np.full(k, f)), nothing, pa.nulls(k, pa.binary()), pa.array(own[f].view(np.int64)), nothing], names=names)
         size += sum(map(len, sets))
         if size > CHUNK // 4:
             yield repeated()
@@ -473,6 +484,7 @@ class Join:
 
     def __init__(self, docs: DataFrame, id_column: str, text_column: str):
         self.spark = docs.sparkSession
+        self.passing: list[DataFrame] = []
         ship(self.spark)
         text = F.coalesce(F.col(text_column), F.lit(""))
         self.texts = docs.select(F.xxhash64(id_column, text).alias("key"), text.alias("text"))
@@ -480,7 +492,11 @@ class Join:
         id_type = rows.schema["doc_id"].dataType.simpleString()
         described = written(rows.mapInArrow(_describe, f"doc_id {id_type}, key long, fp long, n long, bitmap binary, token long, seen long"), "shingles")
         self.docs = described.where(F.col("token").isNull()).select("doc_id", "key", "fp", "n", "bitmap")
-        common = described.where(F.col("token").isNotNull()).groupBy("token").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= FREQUENT)
+        tokens = described.where(F.col("token").isNotNull())
+        in_runs = tokens.where(F.col("seen").isNotNull()).select("token", "seen", F.lit(0).alias("classes"))
+        in_sample = tokens.where(F.col("seen").isNull()).select("token", "fp").distinct().select("token", F.lit(0).cast("long").alias("seen"), F.lit(1).alias("classes"))
+        sums = in_runs.unionByName(in_sample).groupBy("token").agg(F.sum("seen").alias("seen"), F.sum("classes").alias("classes"))
+        common = sums.select("token", F.greatest("seen", F.when(F.col("classes") >= OFTEN, F.col("classes") * SAMPLED).otherwise(0)).alias("seen")).where(F.col("seen") >= FREQUENT)
         found = common.orderBy(F.desc("seen"), "token").limit(TABLE).collect()
         tokens, counts = np.array([r["token"] for r in found], np.int64).view(np.uint64), np.array([r["seen"] for r in found], np.int64)
         order = np.argsort(tokens)
@@ -491,10 +507,15 @@ class Join:
         first = F.min(F.struct("key", "n", "bitmap")).alias("first")
         self.classes = written(self.docs.where("n > 0").groupBy("fp").agg(first).select("fp", "first.*"), "classes")
 
+    def passed(self, df: DataFrame, what: str) -> DataFrame:
+        """A written table that goes when the components are known."""
+        self.passing.append(written(df, what))
+        return self.passing[-1]
+
     def lists(self) -> DataFrame:
         postings = self.texts.select("text").mapInArrow(_postings(self.buckets, self.common, self.counts), POSTINGS)
         lists = postings.groupBy("bucket").applyInArrow(_lists(self.common, self.counts), LISTS)
-        return written(lists.groupBy("list", "part").agg(F.first("members").alias("members")), "lists")
+        return self.passed(lists.groupBy("list", "part").agg(F.first("members").alias("members")), "lists")
 
     def with_bitmaps(self, pairs: DataFrame) -> DataFrame:
         side = lambda x: self.classes.select(F.col("fp").alias(x), F.col("n").alias(f"n_{x}"), F.col("bitmap").alias(f"bits_{x}"))
@@ -509,7 +530,7 @@ class Join:
             sets = written(self.texts.join(keys.where("one = 1"), "key").select("fp", "text").mapInArrow(_pack_sets, "class long, shingles binary"), "sets")
         side = lambda x: sets.select(F.col("class").alias(x), F.col("shingles").alias(f"set_{x}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b")
-        out = written(both.mapInArrow(_compare, "a long, b long"), "links")
+        out = self.passed(both.mapInArrow(_compare, "a long, b long"), "links")
         drop_written(pairs, keys, sets)
         return out
 
@@ -534,9 +555,9 @@ class Join:
         """``list, a, b, others``: pairs of classes of a list that lie in different components and may be linked."""
         member = lists.select("list", F.explode("members").alias("fp"))
         placed = member.join(components.withColumnRenamed("node", "fp"), "fp", "left").select("list", "fp", F.coalesce("root", "fp").alias("component"))
-        placed = written(placed, "placed")
+        placed = self.passed(placed, "placed")
         split = placed.groupBy("list").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("size")).where("x <> y").select("list", "size", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts"))
-        split = written(split, "split")
+        split = self.passed(split, "split")
         # near copies share many large lists: each class knows its own, so that a pair is looked at in one of them
         large = placed.join(split.where(F.col("size") >= LARGE), "list").groupBy("fp").agg(F.collect_set("list").alias("large"))
         known = self.classes.select("fp", "n", "bitmap").join(large, "fp", "left").withColumn("large", F.coalesce("large", F.array().cast("array<long>")))
@@ -557,16 +578,17 @@ def _components(join: Join) -> DataFrame:
     lists = join.lists()
     edges = join.links(join.star_pairs(lists))
     near = connect(edges)
-    best = written(join.tree_pairs(lists, near, False), "best")
+    best = join.passed(join.tree_pairs(lists, near, False), "best")
     edges = edges.unionByName(join.links(best.select("a", "b").distinct()))
     near = connect(edges)
     # where the best pair of two components is no link, any other may be one
     root = lambda x: near.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
     open_ = best.where("others > 0").join(root("a"), "a", "left").join(root("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
-    rest = written(lists.join(open_.select("list").distinct(), "list", "left_semi"), "rest")
+    rest = join.passed(lists.join(open_.select("list").distinct(), "list", "left_semi"), "rest")
     if not rest.isEmpty():
         more = join.links(join.tree_pairs(rest, near, True).select("a", "b").distinct())
         near = connect(edges.unionByName(more))
+    drop_written(*join.passing)
     linked = near.withColumnRenamed("node", "fp")
     return join.classes.select("fp").join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
 

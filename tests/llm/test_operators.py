@@ -242,6 +242,19 @@ def test_jaccard_large_group_of_drifting_copies(spark, monkeypatch):
     assert found(out, "doc_id", "n_shingles", "component_id") == plain_components(rows)
 
 
+def test_jaccard_passage_that_is_thinly_spread(spark, monkeypatch):
+    """A passage that no task sees twice is known to be frequent by the sample of classes, and its list is dealt into parts."""
+    passage = " ".join(f"p{k}" for k in range(12))
+    rows = [(k, f"{' '.join(f'a{k}_{j}' for j in range(12))} {passage}") for k in range(120)] + [(500 + k, f"{passage} q{k // 2}") for k in range(20)]
+    for name, value in (("BLOCK", 16), ("SAMPLED", 2), ("CHUNK", 1)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(60)
+    join = jaccard_join.Join(table, "doc_id", "text")
+    assert len(join.common) >= 8 and join.counts.min() >= jaccard_join.FREQUENT
+    assert join.lists().agg(F.max(F.size("members"))).first()[0] < 60
+    assert found(jaccard_join.group(table), "doc_id", "n_shingles", "component_id") == plain_components(rows)
+
+
 def test_signature_tree_loses_no_pair():
     rng = np.random.default_rng(5)
     sets = []
