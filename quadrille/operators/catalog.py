@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..terms import DECLARE, IMPORTS, ONTOLOGY, OWL, RDFS, TYPE, VAEM, is_blank, is_iri, text_of
+from ..plans.lineage import checkpointed
+from ..terms import DCTERMS, DECLARE, IMPORTS, NAMESPACE, ONTOLOGY, OWL, PREFIX, RDFS, TYPE, VAEM, is_blank, is_iri, text_of
 from .union import declarations
 
 # The properties that tell a graph's version, in order of weight.
@@ -14,13 +15,13 @@ VERSION_PROPERTIES = (
     OWL + "versionInfo",
     OWL + "versionIRI",
     RDFS + "isDefinedBy",
-    "http://purl.org/dc/terms/title",
-    "http://purl.org/dc/terms/issued",
-    "http://purl.org/dc/terms/modified",
-    "http://purl.org/dc/terms/hasVersion",
+    RDFS + "seeAlso",
+    DCTERMS + "created",
+    DCTERMS + "modified",
+    DCTERMS + "hasVersion",
+    RDFS + "label",
+    DCTERMS + "title",
     VAEM + "revision",
-    VAEM + "dateCreated",
-    VAEM + "lastUpdated",
 )
 HAS_METADATA = f"<{VAEM}hasGraphMetadata>"
 KEYS = ["name", "location"]
@@ -54,19 +55,23 @@ def check_subjects(found: DataFrame) -> None:
 
 
 def describe(quads: DataFrame) -> DataFrame:
-    """Records ``graph, name, imports, namespace_map, version_properties, n_triples`` of all graphs, in one pass and small joins.
+    """Records ``graph, name, imports, namespace_map, version_properties, n_triples`` of all graphs.
 
-    A graph does not import itself.  Version properties stand at the ontology
-    or, with precedence, at its graph metadata; of several values the least
-    counts.  A prefix with several namespaces has the greatest.
+    The quads are read twice: for the counts, and for the few statements that
+    records are made of, which are written before they are joined.  A graph
+    does not import itself.  Version properties stand at the ontology or, with
+    precedence, at its graph metadata; of several values the least counts.  A
+    prefix with several namespaces has the greatest.
     """
-    rows = quads.select("graph", "s", "p", "o").distinct()
+    counted = quads.select("graph", "s", "p", "o").distinct().groupBy("graph").agg(F.count(F.lit(1)).alias("n_triples"))
+    versioned = F.col("p").isin(*(f"<{p}>" for p in VERSION_PROPERTIES))
+    telling = versioned | F.col("p").isin(IMPORTS, DECLARE, PREFIX, NAMESPACE, HAS_METADATA) | ((F.col("p") == TYPE) & (F.col("o") == ONTOLOGY))
+    rows = checkpointed(quads.where(telling).select("graph", "s", "p", "o").distinct())
     root = subjects(rows)
     own = rows.join(root.withColumnRenamed("subject", "s"), ["graph", "s"]).select("graph", F.col("s").alias("subject"), "p", "o")
     imports = own.where((F.col("p") == IMPORTS) & is_iri(F.col("o")) & (F.col("o") != F.col("subject"))).groupBy("graph").agg(F.sort_array(F.collect_set("o")).alias("imports"))
-    wanted = F.col("p").isin(*(f"<{p}>" for p in VERSION_PROPERTIES))
     meta = own.where(F.col("p") == HAS_METADATA).select("graph", F.col("o").alias("s"))
-    versions = own.where(wanted).select("graph", "p", "o", F.lit(0).alias("rank")).unionByName(rows.where(wanted).join(meta, ["graph", "s"]).select("graph", "p", "o", F.lit(1).alias("rank")))
+    versions = own.where(versioned).select("graph", "p", "o", F.lit(0).alias("rank")).unionByName(rows.where(versioned).join(meta, ["graph", "s"]).select("graph", "p", "o", F.lit(1).alias("rank")))
     best = versions.groupBy("graph", "p").agg(F.min(F.struct((-F.col("rank")).alias("r"), "o")).alias("best"))
     version_map = best.groupBy("graph").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(text_of(F.col("p")).alias("p"), F.col("best.o").alias("o"))))).alias("version_properties"))
     per_graph = rows.select("graph", F.struct("graph", "s").cast("string").alias("s"), "p", F.when(F.col("p") == DECLARE, F.struct("graph", "o").cast("string")).otherwise(F.col("o")).alias("o"))
@@ -74,11 +79,10 @@ def describe(quads: DataFrame) -> DataFrame:
     owner = per_graph.where(F.col("p") == DECLARE).select("graph", F.col("o").alias("node")).distinct()
     pairs = names.withColumnRenamed("o", "node").join(owner, "node").groupBy("graph", "prefix").agg(F.max("namespace").alias("namespace"))
     namespace_map = pairs.groupBy("graph").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("prefix", "namespace")))).alias("namespace_map"))
-    counted = rows.groupBy("graph").agg(F.count(F.lit(1)).alias("n_triples"))
-    out = root.join(counted, "graph").join(imports, "graph", "left").join(namespace_map, "graph", "left").join(version_map, "graph", "left")
+    out = counted.join(root, "graph", "left").join(imports, "graph", "left").join(namespace_map, "graph", "left").join(version_map, "graph", "left")
     empty = F.create_map().cast("map<string,string>")
     return out.select(
-        "graph", F.col("subject").alias("name"), F.coalesce("imports", F.array().cast("array<string>")).alias("imports"),
+        "graph", F.coalesce("subject", "graph").alias("name"), F.coalesce("imports", F.array().cast("array<string>")).alias("imports"),
         F.coalesce("namespace_map", empty).alias("namespace_map"), F.coalesce("version_properties", empty).alias("version_properties"), "n_triples",
     )
 

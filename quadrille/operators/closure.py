@@ -1,7 +1,10 @@
 """Transitive closures over edges (src, dst), and the import graph.
 
-Closures are driver loops over distributed frontiers that keep only new rows,
-so they end on cycles; each round's frontier is checkpointed.  ``keys`` are
+Closures are driver loops over frontiers that keep only new rows, so they end
+on cycles.  A closure from seeds begins with the frontier on the driver, as
+long as it and what was found are small by a fixed bound: a round is then one
+job over the edges, which are not copied.  Beyond the bound, and in full
+closures, frontiers are distributed and written each round.  ``keys`` are
 further columns, such as the graph, within which edges are followed.
 """
 
@@ -15,21 +18,23 @@ from pyspark.sql import functions as F
 from ..plans.lineage import checkpointed
 from ..terms import IMPORTS, is_iri
 
+#: Rows of a frontier, and of all found, up to which the driver holds them, and the round from which on edges are read from a copy of their columns.
+FRONTIER, FOUND, COPY_FROM = 10_000, 100_000, 4
+
 
 def transitive(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """All (src, dst) joined by one edge or more.  A node on a cycle reaches itself."""
     keys = list(keys)
-    edges = checkpointed(edges.select(*keys, "src", "dst").distinct())
-    found = delta = edges
-    # paths double in length each round, so the rounds are the logarithm of the longest path
+    delta = checkpointed(edges.select(*keys, "src", "dst").distinct())
+    found = delta
+    # paths double in length each round, so the rounds are the logarithm of the longest path; what is found is a union of what each round wrote
     while not delta.isEmpty():
         left = delta.withColumnRenamed("dst", "mid")
         right = found.withColumnRenamed("src", "mid")
         after = left.join(right, [*keys, "mid"]).select(*keys, "src", "dst")
         before = found.withColumnRenamed("dst", "mid").join(delta.withColumnRenamed("src", "mid"), [*keys, "mid"]).select(*keys, "src", "dst")
-        new = after.unionByName(before).distinct().join(found, [*keys, "src", "dst"], "left_anti")
-        delta = checkpointed(new)
-        found = checkpointed(found.unionByName(delta))
+        delta = checkpointed(after.unionByName(before).distinct().join(found, [*keys, "src", "dst"], "left_anti"))
+        found = found.unionByName(delta)
     return found
 
 
@@ -40,16 +45,47 @@ def reachable(edges: DataFrame, seeds: DataFrame, depth: int = -1, keys: Sequenc
     bound.
     """
     keys = list(keys)
-    edges = checkpointed(edges.select(*keys, "src", "dst").distinct())
-    frontier = checkpointed(seeds.select(*keys, "seed").distinct().withColumns({"node": F.col("seed"), "depth": F.lit(0)}))
-    found, step = frontier, 0
+    spark, edges = edges.sparkSession, edges.select(*keys, "src", "dst")
+    columns = [*keys, "seed", "node"]
+    schema = ", ".join(f"`{c}` string" for c in columns)
+    first = seeds.select(*keys, "seed").distinct().limit(FRONTIER + 1).collect()
+    held = {(*r, r["seed"]): 0 for r in first}
+    live, step = list(held), 0
+    while len(live) <= FRONTIER and len(held) <= FOUND:
+        if not live or step == depth:
+            return spark.createDataFrame([(*row, d) for row, d in held.items()], schema + ", depth int")
+        step += 1
+        if step == COPY_FROM:
+            edges = checkpointed(edges)
+        new = _step(edges, spark.createDataFrame(live, schema), keys, small=True).limit(FRONTIER + FOUND + 1).collect()
+        live = [tuple(r) for r in new if tuple(r) not in held]
+        if len(new) > FRONTIER + FOUND:
+            # too many to tell the new ones apart here: the round is done again, distributed
+            step -= 1
+            live = [row for row, d in held.items() if d == step]
+            break
+        held.update(dict.fromkeys(live, step))
+    if len(first) > FRONTIER:
+        found = checkpointed(seeds.select(*keys, "seed").distinct().withColumns({"node": F.col("seed"), "depth": F.lit(0)}))
+        frontier = found
+    else:
+        found = spark.createDataFrame([(*row, d) for row, d in held.items()], schema + ", depth int")
+        frontier = spark.createDataFrame([(*row, step) for row in live], schema + ", depth int")
+    edges = checkpointed(edges.distinct())
     while step != depth and not frontier.isEmpty():
         step += 1
-        on = [frontier[k] == edges[k] for k in keys] + [frontier["node"] == edges["src"]]
-        new = frontier.join(edges, on).select(*(frontier[k] for k in keys), "seed", F.col("dst").alias("node")).distinct()
-        frontier = checkpointed(new.join(found, [*keys, "seed", "node"], "left_anti").withColumn("depth", F.lit(step)))
+        new = _step(edges, frontier, keys)
+        frontier = checkpointed(new.join(found, columns, "left_anti").withColumn("depth", F.lit(step)))
         found = found.unionByName(frontier)
-    return found.select(*keys, "seed", "node", "depth")
+    return found.select(*columns, "depth")
+
+
+def _step(edges: DataFrame, frontier: DataFrame, keys: list[str], small: bool = False) -> DataFrame:
+    """Distinct (keys, seed, node) one edge behind the frontier."""
+    here = frontier.select(*(F.col(k).alias(f"_{k}") for k in keys), "seed", F.col("node").alias("_at"))
+    on = [F.col(k) == F.col(f"_{k}") for k in keys] + [F.col("src") == F.col("_at")]
+    joined = edges.join(F.broadcast(here) if small else here, on)
+    return joined.select(*keys, "seed", F.col("dst").alias("node")).distinct()
 
 
 def forward(edges: DataFrame, node: str) -> DataFrame:

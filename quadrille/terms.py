@@ -17,6 +17,7 @@ RDFS = "http://www.w3.org/2000/01/rdf-schema#"
 OWL = "http://www.w3.org/2002/07/owl#"
 XSD = "http://www.w3.org/2001/XMLSchema#"
 SH = "http://www.w3.org/ns/shacl#"
+DCTERMS = "http://purl.org/dc/terms/"
 VAEM = "http://www.linkedmodel.org/schema/vaem#"
 
 QUAD_COLUMNS = ("dataset", "graph", "s", "p", "o")
