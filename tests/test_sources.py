@@ -2,6 +2,7 @@
 
 import json
 import os
+import shutil
 
 import pytest
 from row_tools import rows
@@ -10,7 +11,7 @@ from quadrille import cli
 from quadrille.env import CapabilityError, Config, Environment, MemoryGraphs, UnresolvedImportError
 from quadrille.operators import catalog, sync
 from quadrille.sources import files, jsonld, ntriples, rdfxml, turtle
-from quadrille.sources.store import ReadOnlyError, Store
+from quadrille.sources.store import ReadOnlyError, Store, StoreConflict
 from quadrille.streaming import watch
 from quadrille.terms import IMPORTS, QUAD_SCHEMA, TYPE, iri, literal
 
@@ -88,6 +89,35 @@ def test_store(spark, tmp_path):
     assert store.graph(iri("urn:1")).isEmpty() and store.graph(iri("urn:3")).count() == 1
     with pytest.raises(ReadOnlyError):
         Store(spark, str(tmp_path / "store"), read_only=True).remove_graph(iri("urn:3"))
+    # stored counts and the copy by predicate and object
+    assert store.triple_count("d", iri("urn:2")) == 1 and store.triple_count("d", iri("urn:1")) == 0
+    assert [r["graph"] for r in store.scan(p=iri("urn:p"), o=literal("c")).collect()] == [iri("urn:3")]
+    assert any("/pos/" in f for f in store.scan(p=iri("urn:p")).inputFiles()) and all("/spo/" in f for f in store.scan(s=iri("urn:s")).inputFiles())
+    # older versions stay readable until they are cleared away
+    assert store.version() == 3 and len(store.vacuum()) >= 2
+    assert Store(spark, str(tmp_path / "store"), integrity="strict").quads().count() == 2
+
+
+def test_store_conflicts_and_integrity(spark, tmp_path):
+    """Of two writers that began with one version the later is refused, and the pointer is never gone between."""
+    path = str(tmp_path / "store")
+    one, other = Store(spark, path, buckets=2), Store(spark, path, buckets=2)
+    quad = lambda g, o: ("d", iri(g), iri("urn:s"), iri("urn:p"), literal(o))
+    one.write(spark.createDataFrame([quad("urn:1", "a"), quad("urn:2", "b")], QUAD_SCHEMA))
+    began = other.manifest()
+    one.replace_graphs(spark.createDataFrame([quad("urn:1", "new")], QUAD_SCHEMA), [iri("urn:1")])
+    with pytest.raises(StoreConflict):
+        other._publish(spark.createDataFrame([quad("urn:1", "lost")], QUAD_SCHEMA), began, {"0", "1"})
+    with pytest.raises(StoreConflict):
+        other.replace_graphs(spark.createDataFrame([quad("urn:1", "lost")], QUAD_SCHEMA), [iri("urn:1")], expected=1)
+    assert sorted(r["o"] for r in other.quads().collect()) == ['"b"', '"new"']
+    folder = next(iter(other.manifest()["folders"]["pos"].values()))
+    shutil.rmtree(os.path.join(path, folder))
+    with pytest.raises(OSError):
+        Store(spark, path).quads()
+    assert Store(spark, path, integrity="trusted").quads().count() == 2
+    with pytest.raises(ValueError):
+        Store(spark, path, integrity="none")
 
 
 OWL = "@prefix owl: <http://www.w3.org/2002/07/owl#> .\n"
