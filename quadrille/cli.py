@@ -108,7 +108,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> st
         return "reset"
     spark = spark or SparkSession.builder.appName("quadrille").getOrCreate()
     if a.command == "build":
-        Store(spark, a.store).write(read_quads(spark, a.files, strict=True, named_graphs=a.datasets))
+        Store(spark, a.store).write(read_quads(spark, a.files, named_graphs=a.datasets))
         return a.store
     if a.command == "stat":
         return "\n".join(f"{r['dataset']}\t{r['graph']}\t{r['n_triples']}" for r in Store(spark, a.store, read_only=True).graphs().orderBy("graph", "dataset").collect())

@@ -157,12 +157,42 @@ def _list(value) -> list:
     return [] if value is None else value if isinstance(value, list) else [value]
 
 
+#: What keywords may hold, outside of a context and inside one.
+_SHAPES = {"@id": (str,), "@language": (str, type(None)), "@reverse": (dict,), "@graph": (dict, list), "@context": (dict, list, str, type(None))}
+_CONTEXT_SHAPES = {"@vocab": (str, type(None)), "@base": (str, type(None)), "@language": (str, type(None))}
+
+
+def _check(value, context: bool = False) -> None:
+    """Raise where a keyword holds what it cannot hold."""
+    if isinstance(value, list):
+        for x in value:
+            _check(x, context)
+    elif isinstance(value, dict):
+        for key, x in value.items():
+            kinds = (_CONTEXT_SHAPES if context else _SHAPES).get(key)
+            types = key == "@type" and not all(isinstance(t, str) for t in _list(x)) and not (context and isinstance(x, dict))
+            term = context and not key.startswith("@") and not isinstance(x, (str, dict, type(None)))
+            if kinds and not isinstance(x, kinds) or types or term:
+                raise RdfSyntaxError(f"{key} holds {type(x).__name__}")
+            if context and isinstance(x, dict):
+                for inner in ("@id", "@type", "@reverse"):
+                    if not isinstance(x.get(inner), (str, type(None))):
+                        raise RdfSyntaxError(f"{inner} of {key} is no string")
+            elif key == "@graph" and not all(isinstance(n, dict) for n in _list(x)):
+                raise RdfSyntaxError("@graph holds something else than nodes")
+            else:
+                _check(x, context or key == "@context")
+    elif context and not isinstance(value, (str, type(None))):
+        raise RdfSyntaxError(f"a context is {type(value).__name__}")
+
+
 def parse(text: str, base: str = "", scope: str = "") -> Parsed:
     try:
         data = json.loads(text)
     except json.JSONDecodeError as e:
         raise RdfSyntaxError(str(e)) from e
     reader = _Reader(scope)
+    _check(data)
     for value in _list(data):
         if not isinstance(value, dict):
             raise RdfSyntaxError("no JSON-LD")

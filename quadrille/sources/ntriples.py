@@ -47,19 +47,25 @@ def _term(token: Column, scope: Column) -> Column:
     return F.when(token.startswith('"'), F.concat(F.lit('"'), body, F.lit('"'), tail)).when(token.startswith("_:"), F.concat(F.lit("_:"), scope, F.substring(token, F.lit(3), F.length(token)))).otherwise(_code_points(token))
 
 
-def parse_lines(lines: DataFrame, column: str = "value", scope: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+def parse_lines(lines: DataFrame, column: str = "value", scope: Column | None = None, keep: tuple[str, ...] = (), errors: bool = False) -> DataFrame:
     """``graph, s, p, o`` of lines, and the columns to keep; graph is null for triples.
 
     Blank nodes are renamed by ``scope``, one string for each source, so that
     equal labels of two sources stay apart.  Empty lines and comments are
-    skipped; any other line that is no statement raises.
+    skipped; any other line that is no statement raises or, with ``errors``,
+    gives a row of nulls with its ``error``.
     """
     scope = F.lit("") if scope is None else scope
     text = F.trim(F.col(column))
     rows = lines.where((text != "") & ~text.startswith("#"))
     part = lambda k: F.regexp_extract(column, LINE, k)
-    bad = F.raise_error(F.concat(F.lit("no statement: "), F.substring(column, 1, 200)))
-    checked = F.when(F.col(column).rlike(LINE), part(1)).otherwise(bad)
+    error = F.concat(F.lit("no statement: "), F.substring(column, 1, 200))
+    fine = F.col(column).rlike(LINE)
+    if errors:
+        parts = [_term(F.nullif(part(4), F.lit("")), scope).alias("graph"), _term(part(1), scope).alias("s"), _code_points(part(2)).alias("p"), _term(part(3), scope).alias("o")]
+        empty = [F.when(fine, p).alias(name) for p, name in zip(parts, ("graph", "s", "p", "o"), strict=True)]
+        return rows.select(*keep, *empty, F.when(~fine, error).alias("error"))
+    checked = F.when(fine, part(1)).otherwise(F.raise_error(error))
     graph = _term(F.nullif(part(4), F.lit("")), scope)
     return rows.select(*keep, graph.alias("graph"), _term(checked, scope).alias("s"), _code_points(part(2)).alias("p"), _term(part(3), scope).alias("o"))
 

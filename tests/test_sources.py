@@ -47,6 +47,13 @@ def test_ntriples_in_the_jvm(spark, tmp_path):
         ntriples.parse_lines(spark.createDataFrame([("<a> <b> .",)], "value string")).collect()
 
 
+@pytest.mark.parametrize("text", ['{"@graph": 3}', "[1]", "3", "null", '{"a": {"@id": 5}}', '{"@context": 5}', '{"@context": {"a": 7}, "a": "x"}', '{"@id": 4, "urn:p": 1}', '{"@type": [5]}', '{"urn:p": {"@value": "x", "@language": 3}}',
+                                  '{"@context": {"a": {"@id": 3}}, "a": 1}', '{"@reverse": 3}', '{"@graph": [null, 1]}', '{"@context": {"@vocab": 3}, "a": 1}', '{"@context": [{"@base": 3}], "@id": "a", "urn:p": 1}'])
+def test_malformed_json_is_a_syntax_error(text):
+    with pytest.raises(turtle.RdfSyntaxError):
+        files.parse_bytes(text.encode(), "x.jsonld")
+
+
 def test_formats_and_fallbacks():
     assert files.sniff(b"<?xml version='1.0'?>") == "rdfxml"
     assert files.sniff(b'{"@id": "x"}') == "jsonld"
@@ -67,11 +74,53 @@ def test_distributed_files(spark, tmp_path):
     (tmp_path / "a.ttl").write_text("<urn:a> <urn:p> _:x .")
     (tmp_path / "b.nt").write_text("<urn:b> <urn:p> _:x .\n")
     (tmp_path / "bad.ttl").write_text("<urn:a> <urn:p>")
-    found = files.read_quads(spark, str(tmp_path)).collect()
-    assert len(found) == 2 and len({r["o"] for r in found}) == 2 and len({r["graph"] for r in found}) == 2
-    assert files.parse_files(spark, str(tmp_path)).where("error IS NOT NULL").count() == 1
-    with pytest.raises(Exception, match="parses in no format"):
-        files.read_quads(spark, str(tmp_path), strict=True).count()
+    (tmp_path / "c.nq").write_text("<urn:c> <urn:p> <urn:o> <urn:g> .\n")
+    (tmp_path / "d.nt").write_text("<urn:d> <urn:p> <urn:o> .\nnothing here\n# comment\n")
+    (tmp_path / "notes.md").write_text("<urn:e> <urn:p>")
+    patterns = ["*.ttl", "*.nt"]
+    found = files.read_quads(spark, str(tmp_path), patterns, strict=False).collect()
+    assert len(found) == 3 and len({r["o"] for r in found}) == 3 and len({r["graph"] for r in found}) == 3
+    errors = {os.path.basename(r["location"]): (r["n"], r["error"]) for r in files.read_errors(spark, str(tmp_path), patterns).collect()}
+    assert errors.keys() == {"bad.ttl", "d.nt"} and errors["d.nt"] == (1, "no statement: nothing here")
+    with pytest.raises(Exception, match="parses in no format|no statement"):
+        files.read_quads(spark, str(tmp_path), patterns).count()
+    named = files.read_quads(spark, str(tmp_path / "c.nq"), named_graphs=True).collect()
+    assert [r["graph"] for r in named] == ["<urn:g>"]
+    assert files.read_errors(spark, str(tmp_path / "c.nq")).first()["error"] == "named graphs are not expected here"
+    listed = files.list_files(spark, [str(tmp_path), str(tmp_path / "none")], ["*.nt"])
+    assert sorted(os.path.basename(r["location"]) for r in listed.collect()) == ["b.nt", "d.nt"]
+    # files of lines do not go through Python
+    plan = files.read_statements(spark, str(tmp_path / "b.nt"))._jdf.queryExecution().toString()
+    assert "text" in plan.lower()
+
+
+def test_probes_and_negotiation(spark, tmp_path):
+    (tmp_path / "a.ttl").write_text("<urn:a> <urn:p> <urn:o> .")
+    here = str(tmp_path / "a.ttl")
+    assert files.exists(here) and not files.exists(here + "x") and files.last_modified(here) == os.path.getmtime(here)
+    assert abs(files.last_modified("file://" + here, spark=spark) - os.path.getmtime(here)) < 1
+    assert files.fetch("file://" + here, spark=spark) == (tmp_path / "a.ttl").read_bytes()
+    assert files.last_modified("http://h/x", prober=lambda url: 5.0) == 5.0 and files.last_modified("http://h/x") is None
+
+    def gone(url):
+        raise OSError(url)
+
+    assert not files.exists("http://h/x", prober=gone) and files.exists("http://h/x") and files.exists("http://h/x", offline=True, prober=gone)
+    assert files.accept_header().startswith("text/turtle, application/rdf+xml;q=0.9")
+    page = files.Fetched(b"<html>no data</html>")
+    page.media, page.links = "text/html", (("http://h/data", "text/turtle"), ("http://h/style", "text/css"))
+    asked = []
+
+    def fetcher(url):
+        asked.append(url)
+        if url == "http://h/x":
+            return page
+        if url == "http://h/x.ttl":
+            return b"<urn:a> <urn:p> <urn:o> ."
+        raise OSError(url)
+
+    assert files.fetch("http://h/x", fetcher=fetcher) == b"<urn:a> <urn:p> <urn:o> ."
+    assert asked == ["http://h/x", "http://h/data", "http://h/x.ttl"]
 
 
 def test_store(spark, tmp_path):
