@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions.values import Term, number_of
 from .operators import catalog, closure, scan, sync, union
+from .sources.access import Tables
 from .sources.mapping import TableMap, subject, to_quads
 from .sparql.compiler import query as sparql
 from .terms import DECLARE, IMPORTS, NAMESPACE, ONTOLOGY, PREFIX, PREFIXES, SUBCLASS, TYPE, XSD, text_of
@@ -35,6 +36,11 @@ def quads_of(spark: SparkSession, sf_dir: str, *tables: str, dataset: str = "db"
     return reduce(DataFrame.unionByName, (to_quads(table(spark, sf_dir, t), MAPS[t], dataset) for t in tables))
 
 
+def tables_of(spark: SparkSession, sf_dir: str, *tables: str) -> Tables:
+    """The same quads as a source that reads a column for each bound predicate."""
+    return Tables([(table(spark, sf_dir, t), MAPS[t]) for t in tables])
+
+
 # -- the same in SQL
 
 
@@ -427,15 +433,27 @@ def dependency_edges_all(spark, sf_dir):
 
 
 def _sparql(name: str, tables: tuple[str, ...], text: str, sql: str, finish: Callable[[DataFrame], DataFrame] | None = None, **options) -> None:
-    """A query over mapped tables, whose keys make triples unique."""
-    options = {"merged": True} | options
+    """A query over mapped tables, which know that their triples are unique."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = sparql(quads_of(spark, sf_dir, *tables), text, PREFIX_MAP, **options)
+        found = sparql(tables_of(spark, sf_dir, *tables), text, PREFIX_MAP, **options)
+        return finish(found) if finish else found
+
+    def over_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """The same over quads of which each stands twice: sets are made of them as the query is run."""
+        quads = quads_of(spark, sf_dir, *tables).unionByName(quads_of(spark, sf_dir, *tables, dataset="copy"))
+        found = sparql(quads, text, PREFIX_MAP, **options)
         return finish(found) if finish else found
 
     run.__name__ = name
     register(sql)(run)
+    if name in AS_SETS:
+        over_copies.__name__ = f"{name}_copies"
+        register(sql)(over_copies)
+
+
+#: Queries that are run over repeated quads as well.
+AS_SETS = {"sparql_bgp_join", "sparql_optional", "sparql_union", "sparql_exists", "sparql_minus", "sparql_values", "sparql_graph_var", "sparql_subselect", "sparql_construct", "sparql_count_types", "agg_count_distinct", "agg_sum_avg", "fn_term"}
 
 
 def integers(*columns: str) -> Callable[[DataFrame], DataFrame]:

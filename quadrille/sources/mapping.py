@@ -49,13 +49,28 @@ def _object(df: DataFrame, name: str) -> Column:
     return literal_of(F.col(name))
 
 
+def _objects(df: DataFrame, mapping: TableMap) -> dict[str, Column]:
+    """The object of each predicate, for a row."""
+    out = {TYPE: F.lit(iri(f"urn:c:{mapping.table}"))}
+    out |= {iri(f"urn:p:{c}"): _object(df, c) for c in mapping.values}
+    return out | {iri(f"urn:p:{c}"): subject(t, F.col(c)) for c, t in mapping.refers.items()}
+
+
+def predicates_of(mapping: TableMap) -> list[str]:
+    return [TYPE, *(iri(f"urn:p:{c}") for c in (*mapping.values, *mapping.refers))]
+
+
+def triples_of(df: DataFrame, mapping: TableMap, p: str, dataset: str = "db") -> DataFrame:
+    """Quads of one predicate: of the table only its key and one column are read."""
+    s = subject(mapping.table, *map(F.col, mapping.key))
+    rows = df.select(F.lit(dataset).alias("dataset"), F.lit(iri(f"urn:g:{mapping.table}")).alias("graph"), s.alias("s"), F.lit(p).alias("p"), _objects(df, mapping)[p].alias("o"))
+    return rows.where(F.col("s").isNotNull() & F.col("o").isNotNull())
+
+
 def to_quads(df: DataFrame, mapping: TableMap, dataset: str = "db") -> DataFrame:
     """One pass over the table: each row is turned into its triples by one generator."""
     s = subject(mapping.table, *map(F.col, mapping.key))
-    pair = lambda p, o: F.struct(F.lit(iri(p)).alias("p"), o.alias("o"))
-    objects = [pair(TYPE[1:-1], F.lit(iri(f"urn:c:{mapping.table}")))]
-    objects += [pair(f"urn:p:{c}", _object(df, c)) for c in mapping.values]
-    objects += [pair(f"urn:p:{c}", subject(t, F.col(c))) for c, t in mapping.refers.items()]
+    objects = [F.struct(F.lit(p).alias("p"), o.alias("o")) for p, o in _objects(df, mapping).items()]
     rows = df.select(s.alias("s"), F.inline(F.array(*objects)))
     named = rows.select(F.lit(dataset).alias("dataset"), F.lit(iri(f"urn:g:{mapping.table}")).alias("graph"), "s", "p", "o")
     return named.where(F.col("s").isNotNull() & F.col("o").isNotNull())

@@ -2,17 +2,20 @@
 
 Each variable is a column of terms; unbound is null.  The compiler keeps for
 every variable whether it may be unbound, so that variables that are always
-bound join by plain equality, and only the others need the compatibility test
-of two possibly unbound values.  ``GRAPH ?g`` carries the graph as one more
-join key through every pattern and path below it.
+bound join by plain equality.  Where one may be unbound, either side is split
+by which of the shared variables are bound, and each two parts join on those
+that both have; only parts that share no bound variable are paired without a
+key, as the semantics ask.  ``GRAPH ?g`` carries the graph as one more join key
+through every pattern and path below it.
 """
 
 from __future__ import annotations
 
 import dataclasses
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +23,7 @@ from pyspark.sql import functions as F
 from ..functions.builtins import BUILTINS, cast, is_in
 from ..functions.values import DECIMAL, EXACT, INTEGER, Number, Term, Text, Truth, Value, arithmetic, compare, fixed, integer, let, number, number_of, order_key, term_of, text, text_value, truth_of
 from ..operators import closure
+from ..sources.access import Source, source_of
 from ..terms import XSD, is_blank, is_iri, is_literal
 from . import algebra as A
 from .parser import SparqlError, parse, visible
@@ -73,43 +77,51 @@ def substitute(node, bindings: dict[str, str]):
 
 
 class Compiler:
-    """Queries over quads.
+    """Queries over a source of quads.
 
     ``default_graphs`` and ``named_graphs`` restrict the graphs; None is all of
     them, and the default graph is then the union of all named ones.  ``unique``
     says that no triple stands in two rows of one graph, ``merged`` that none
-    stands in two rows at all; either saves a shuffle for each pattern.
+    stands in two rows at all; either saves a shuffle for each pattern, and a
+    source may know it of itself.
     """
 
-    def __init__(self, quads: DataFrame, default_graphs: Sequence[str] | None = None, named_graphs: Sequence[str] | None = None, functions: dict[str, Callable[..., Column]] | None = None, unique: bool = False, merged: bool = False):
-        self.spark = quads.sparkSession
-        self.default = quads if default_graphs is None else quads.where(F.col("graph").isin(*default_graphs))
-        self.named = quads if named_graphs is None else quads.where(F.col("graph").isin(*named_graphs))
+    def __init__(self, quads: DataFrame | Source, default_graphs: Sequence[str] | None = None, named_graphs: Sequence[str] | None = None, functions: dict[str, Callable[..., Column]] | None = None, unique: bool = False, merged: bool = False):
+        self.quads = source_of(quads, unique, merged)
+        self.spark = self.quads.spark
+        self.default_graphs, self.named_graphs = default_graphs, named_graphs
         one = default_graphs is not None and len(default_graphs) < 2
-        self.unique, self.merged = unique or merged, merged or unique and one
+        self.unique = unique or merged or self.quads.unique
+        self.merged = merged or self.quads.merged or self.unique and one
         self.functions = functions or {}
 
     # -- scans
 
-    def source(self, graph: A.Node | None) -> tuple[DataFrame, list[str], bool]:
-        """Rows of the active graph, the columns of a triple, and whether rows may repeat."""
+    def read(self, graph: A.Node | None, s: str | None = None, p: str | None = None, o: str | None = None) -> tuple[DataFrame, list[str], bool]:
+        """Matching rows of the active graph, the columns of a triple beside its own, and whether rows may repeat."""
+        df, within = self.quads.scan(s, p, o), self.default_graphs if graph is None else self.named_graphs
+        if within is not None:
+            df = df.where(F.col("graph").isin(*within))
         if graph is None:
-            return self.default, [], not self.merged
+            return df, [], not self.merged
         if isinstance(graph, A.Var):
-            return self.named, ["graph"], not self.unique
-        return self.named.where(F.col("graph") == graph), [], not self.unique
+            return df, ["graph"], not self.unique
+        return df.where(F.col("graph") == graph), [], not self.unique
+
+    def graph_names(self) -> DataFrame:
+        return self.read(A.Var("g"))[0].select("graph").distinct()
 
     def scan(self, t: A.Triple, graph: A.Node | None) -> Rel:
-        df, extra, repeats = self.source(graph)
         places = list(zip(["s", "p", "o"], (t.s, t.p, t.o), strict=True))
+        df, extra, repeats = self.read(graph, **{place: node for place, node in places if isinstance(node, str)})
         if extra:
             assert isinstance(graph, A.Var)
             places.append(("graph", graph))
         seen: dict[str, str] = {}
         for place, node in places:
             if isinstance(node, str):
-                df = df.where(F.col(place) == node)
-            elif node.name in seen:
+                continue
+            if node.name in seen:
                 df = df.where(F.col(place) == F.col(seen[node.name]))
             else:
                 seen[node.name] = place
@@ -126,7 +138,7 @@ class Compiler:
         """Patterns joined in an order that begins with the most constants and goes on by shared variables."""
         if not triples:
             if isinstance(graph, A.Var):
-                return Rel(self.named.select(F.col("graph").alias(column_of(graph.name))).distinct(), {graph.name: False})
+                return Rel(self.graph_names().select(F.col("graph").alias(column_of(graph.name))), {graph.name: False})
             return self.one()
         left = list(triples)
         names = lambda t: {n.name for n in (t.s, t.p, t.o) if isinstance(n, A.Var)}
@@ -144,10 +156,10 @@ class Compiler:
 
     def edges(self, path: A.Path, graph: A.Node | None) -> DataFrame:
         """``src, dst`` of a path, and ``graph`` where that is a variable."""
-        df, keys, repeats = self.source(graph)
+        df, keys, repeats = self.read(graph, p=path.iri if isinstance(path, A.Step) else None)
         swap = lambda x: x.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst"))
         if isinstance(path, A.Step):
-            found = df.where(F.col("p") == path.iri).select(*keys, F.col("s").alias("src"), F.col("o").alias("dst"))
+            found = df.select(*keys, F.col("s").alias("src"), F.col("o").alias("dst"))
             return found.distinct() if repeats else found
         if isinstance(path, A.Inverse):
             return swap(self.edges(path.path, graph))
@@ -175,7 +187,7 @@ class Compiler:
 
     def nodes(self, graph: A.Node | None) -> DataFrame:
         """Every term of the active graph with itself."""
-        df, keys, _ = self.source(graph)
+        df, keys, _ = self.read(graph)
         terms = df.select(*keys, F.col("s").alias("src")).unionByName(df.select(*keys, F.col("o").alias("src"))).distinct()
         return terms.withColumn("dst", F.col("src"))
 
@@ -189,7 +201,7 @@ class Compiler:
             df = self.edges(p.path, graph)
             if isinstance(p.path, A.Repeat) and p.path.zero and fixed and keys:
                 # a path of no steps binds a constant in every graph
-                own = self.named.select("graph").distinct().select("graph", F.lit(fixed[0][1]).alias("src"), F.lit(fixed[0][1]).alias("dst"))
+                own = self.graph_names().select("graph", F.lit(fixed[0][1]).alias("src"), F.lit(fixed[0][1]).alias("dst"))
                 df = df.unionByName(own).distinct()
         for column, node in fixed:
             df = df.where(F.col(column) == node)
@@ -200,7 +212,7 @@ class Compiler:
 
     def seeded(self, path: A.Repeat, graph: A.Node | None, end: str, term: str) -> DataFrame:
         """A repeated path from or to a constant: only its frontier is followed."""
-        edges = self.edges(path.path if end == "src" else A.Inverse(path.path), graph).distinct()
+        edges = self.edges(path.path if end == "src" else A.Inverse(path.path), graph)
         first = edges.where(F.col("src") == term).select(F.col("dst").alias("seed")).distinct()
         found = closure.reachable(edges, first).select("node").distinct() if path.many else first.select(F.col("seed").alias("node"))
         if path.zero:
@@ -211,20 +223,30 @@ class Compiler:
     # -- joins
 
     @staticmethod
-    def compatible(left: Rel, right: Rel, shared: Sequence[str]) -> tuple[DataFrame, list[Column], dict[str, Column]]:
-        """The right side with its shared columns renamed, the conditions, and the merged columns."""
-        renamed, conditions, merged = right.df, [], {}
-        for name in shared:
-            c = column_of(name)
-            renamed = renamed.withColumnRenamed(c, "r_" + c)
-            equal = F.col(c) == F.col("r_" + c)
-            if left.names[name]:
-                equal = equal | F.col(c).isNull()
-            if right.names[name]:
-                equal = equal | F.col("r_" + c).isNull()
-            conditions.append(equal)
-            merged[name] = F.coalesce(F.col(c), F.col("r_" + c)) if left.names[name] else F.col(c)
-        return renamed, conditions, merged
+    def masks(rel: Rel, shared: Sequence[str]) -> Iterator[tuple[frozenset[str], DataFrame]]:
+        """The rows by which of the shared variables are bound; a variable that always is needs no split."""
+        open_ = [n for n in shared if rel.names[n]]
+        for size in range(len(open_), -1, -1):
+            for bound in combinations(open_, size):
+                df = rel.df
+                for n in open_:
+                    df = df.where(F.col(column_of(n)).isNotNull() if n in bound else F.col(column_of(n)).isNull())
+                yield frozenset(shared) - frozenset(open_) | frozenset(bound), df
+
+    @staticmethod
+    def matched(left: DataFrame, right: DataFrame, shared: Sequence[str], keys: frozenset[str], how: str, more: Sequence[Column] = ()) -> DataFrame:
+        """A join on the keys and further conditions, the right side's shared columns renamed."""
+        for n in shared:
+            right = right.withColumnRenamed(column_of(n), "r_" + column_of(n))
+        on = [F.col(column_of(n)) == F.col("r_" + column_of(n)) for n in shared if n in keys] + list(more)
+        if not on and how == "inner":
+            return left.crossJoin(right)
+        return left.join(right, reduce(lambda a, b: a & b, on) if on else F.lit(True), how)
+
+    @staticmethod
+    def merged_columns(bound: frozenset[str], shared: Sequence[str]) -> dict[str, Column]:
+        """Shared columns of a solution, given which of them the left side binds."""
+        return {n: F.col(column_of(n)) if n in bound else F.col("r_" + column_of(n)) for n in shared}
 
     def join(self, left: Rel, right: Rel) -> Rel:
         shared = [n for n in left.names if n in right.names]
@@ -233,32 +255,61 @@ class Compiler:
             return Rel(left.df.crossJoin(right.df), names)
         if not any(left.names[n] or right.names[n] for n in shared):
             return Rel(left.df.join(right.df, [column_of(n) for n in shared]), names)
-        renamed, conditions, merged = self.compatible(left, right, shared)
-        joined = left.df.join(renamed, reduce(lambda a, b: a & b, conditions))
-        return Rel(joined.select(*(merged[n].alias(column_of(n)) if n in merged else F.col(column_of(n)) for n in names)), names)
-
-    def left_join(self, left: Rel, right: Rel, condition: A.Expression | None) -> Rel:
+        parts = []
+        for a, ldf in self.masks(left, shared):
+            merged = self.merged_columns(a, shared)
+            for b, rdf in self.masks(right, shared):
+                joined = self.matched(ldf, rdf, shared, a & b, "inner")
+                parts.append(joined.select(*(merged.get(n, F.col(column_of(n))).alias(column_of(n)) for n in names)))
+        return Rel(reduce(DataFrame.unionByName, parts), names)
+
+    def left_join(self, left: Rel, right: Rel, condition: A.Expression | None, graph: A.Node | None = None) -> Rel:
         shared = [n for n in left.names if n in right.names]
         names = {n: left.names.get(n, True) if n in left.names and not left.names[n] else True for n in (*left.names, *right.names)}
         if condition is None and shared and not any(left.names[n] or right.names[n] for n in shared):
             return Rel(left.df.join(right.df, [column_of(n) for n in shared], "left"), names)
-        renamed, conditions, merged = self.compatible(left, right, shared)
-        if condition is not None:
-            if has_exists(condition):
-                raise NotImplementedError("EXISTS in the filter of an OPTIONAL")
-            within = lambda n: merged.get(n, F.col(column_of(n)) if n in names else F.lit(None).cast("string"))
-            conditions.append(truth_of(self.value(condition, within)))
-        joined = left.df.join(renamed, reduce(lambda a, b: a & b, conditions) if conditions else F.lit(True), "left")
-        return Rel(joined.select(*(merged[n].alias(column_of(n)) if n in merged else F.col(column_of(n)) for n in names)), names)
+        if condition is not None and has_exists(condition):
+            return self.left_join_exists(left, right, condition, graph, names)
+        parts = []
+        for a, ldf in self.masks(left, shared):
+            merged = self.merged_columns(a, shared)
+            within = lambda n, merged=merged: merged.get(n, F.col(column_of(n)) if n in names else F.lit(None).cast("string"))
+            more = [truth_of(self.value(condition, within))] if condition is not None else []
+            shape = lambda df, merged=merged: df.select(*(merged.get(n, F.col(column_of(n))).alias(column_of(n)) for n in names))
+            rights = list(self.masks(right, shared))
+            if len(rights) == 1:
+                parts.append(shape(self.matched(ldf, rights[0][1], shared, a & rights[0][0], "left", more)))
+                continue
+            alone = ldf
+            for b, rdf in rights:
+                parts.append(shape(self.matched(ldf, rdf, shared, a & b, "inner", more)))
+                alone = self.matched(alone, rdf, shared, a & b, "left_anti", more)
+            parts.append(alone.select(*((F.col(column_of(n)) if n in left.names else F.lit(None).cast("string")).alias(column_of(n)) for n in names)))
+        return Rel(reduce(DataFrame.unionByName, parts), names)
+
+    def left_join_exists(self, left: Rel, right: Rel, condition: A.Expression, graph: A.Node | None, names: dict[str, bool]) -> Rel:
+        """OPTIONAL whose filter holds EXISTS: the filtered join, and the left solutions that are in none of its rows.  Equal solutions have the same matches."""
+        own = {f".l{n}": False for n in left.names}
+        kept = Rel(left.df.withColumns({column_of(f".l{n}"): F.col(column_of(n)) for n in left.names}), left.names | own)
+        found = self.filter(self.join(kept, right), condition, graph)
+        same = [F.col(column_of(n)).eqNullSafe(F.col(column_of(f".l{n}"))) for n in left.names]
+        keys = found.df.select(*(column_of(f".l{n}") for n in left.names)).distinct()
+        alone = left.df.join(keys, reduce(lambda a, b: a & b, same) if same else F.lit(True), "left_anti")
+        shape = lambda df, there: df.select(*((F.col(column_of(n)) if n in there else F.lit(None).cast("string")).alias(column_of(n)) for n in names))
+        return Rel(shape(found.df, found.names).unionByName(shape(alone, left.names)), names)
 
     def minus(self, left: Rel, right: Rel) -> Rel:
         shared = [n for n in left.names if n in right.names]
         if not shared:
             return left
-        renamed, conditions, _ = self.compatible(left, right, shared)
-        if any(left.names[n] or right.names[n] for n in shared):
-            conditions.append(reduce(lambda a, b: a | b, (F.coalesce(F.col(column_of(n)) == F.col("r_" + column_of(n)), F.lit(False)) for n in shared)))
-        return Rel(left.df.join(renamed, reduce(lambda a, b: a & b, conditions), "left_anti"), left.names)
+        parts = []
+        for a, df in self.masks(left, shared):
+            for b, rdf in self.masks(right, shared):
+                # solutions that share no bound variable do not exclude each other
+                if a & b:
+                    df = self.matched(df, rdf.select(*(column_of(n) for n in shared)).distinct(), shared, a & b, "left_anti")
+            parts.append(df)
+        return Rel(reduce(DataFrame.unionByName, parts), left.names)
 
     def exists(self, rel: Rel, e: A.Exists, graph: A.Node | None) -> Rel:
         """Semi or anti join; filters of the inner group may use the outer solution."""
@@ -275,11 +326,18 @@ class Compiler:
             pattern = pattern.pattern
         inner = self.pattern(pattern, graph)
         shared = [n for n in rel.names if n in inner.names]
-        renamed, conditions, merged = self.compatible(rel, inner, shared)
-        within = lambda n: merged.get(n, F.col(column_of(n)) if n in rel.names or n in inner.names else F.lit(None).cast("string"))
-        conditions += [truth_of(self.value(c, within)) for c in outer]
-        condition = reduce(lambda a, b: a & b, conditions) if conditions else F.lit(True)
-        return Rel(rel.df.join(renamed, condition, "left_anti" if e.negated else "left_semi"), rel.names)
+        found = []
+        for a, df in self.masks(rel, shared):
+            merged = self.merged_columns(a, shared)
+            within = lambda n, merged=merged: merged.get(n, F.col(column_of(n)) if n in rel.names or n in inner.names else F.lit(None).cast("string"))
+            more = [truth_of(self.value(c, within)) for c in outer]
+            for b, rdf in self.masks(inner, shared):
+                if not e.negated:
+                    found.append(self.matched(df, rdf, shared, a & b, "left_semi", more))
+                df = self.matched(df, rdf, shared, a & b, "left_anti", more)
+            if e.negated:
+                found.append(df)
+        return Rel(reduce(DataFrame.unionByName, found), rel.names)
 
     def filter(self, rel: Rel, condition: A.Expression, graph: A.Node | None) -> Rel:
         for part in conjuncts(condition):
@@ -301,13 +359,18 @@ class Compiler:
         def lifted(e: A.Expression) -> A.Expression:
             nonlocal df
             if isinstance(e, A.Exists):
-                inner = self.pattern(e.pattern, graph)
-                shared = [n for n in rel.names if n in inner.names]
-                if any(rel.names[n] or inner.names[n] for n in shared):
-                    raise NotImplementedError("EXISTS inside an expression over variables that may be unbound")
                 name = f".e{len(marks)}"
                 marks[name] = column_of(name)
+                inner = self.pattern(e.pattern, graph)
+                shared = [n for n in rel.names if n in inner.names]
                 keys = [column_of(n) for n in shared]
+                if isinstance(e.pattern, A.Filter) or any(rel.names[n] or inner.names[n] for n in shared):
+                    # the solutions for which it holds, and those for which it doesn't
+                    now = Rel(df, rel.names)
+                    yes, no = (self.exists(now, A.Exists(e.pattern, negated), graph).df for negated in (e.negated, not e.negated))
+                    mark = lambda x: F.lit(f'"{x}"^^<{XSD}boolean>')
+                    df = yes.withColumn(marks[name], mark("true")).unionByName(no.withColumn(marks[name], mark("false")))
+                    return A.Ref(name)
                 found = inner.df.select(*keys).distinct() if keys else inner.df.limit(1).select()
                 found = found.withColumn(marks[name], F.lit(f'"{str(not e.negated).lower()}"^^<{XSD}boolean>'))
                 df = df.join(found, keys, "left") if keys else df.join(found, F.lit(True), "left")
@@ -429,7 +492,7 @@ class Compiler:
         if isinstance(p, A.Join):
             return self.join(self.pattern(p.left, graph), self.pattern(p.right, graph))
         if isinstance(p, A.LeftJoin):
-            return self.left_join(self.pattern(p.left, graph), self.pattern(p.right, graph), p.condition)
+            return self.left_join(self.pattern(p.left, graph), self.pattern(p.right, graph), p.condition, graph)
         if isinstance(p, A.Filter):
             return self.filter(self.pattern(p.pattern, graph), p.condition, graph)
         if isinstance(p, A.Union):
@@ -513,14 +576,14 @@ class Compiler:
         for n in nodes:
             if isinstance(n, A.Var):
                 found = found.unionByName(rel.df.select(rel.column(n.name).alias("seed")))
-        triples = self.default.select("s", "p", "o").distinct()
+        triples = self.read(None)[0].select("s", "p", "o").distinct()
         blank = triples.where(is_blank(F.col("o"))).select(F.col("s").alias("src"), F.col("o").alias("dst"))
         wanted = closure.reachable(blank, found.where(F.col("seed").isNotNull()).distinct()).select(F.col("node").alias("s")).distinct()
         return triples.join(wanted, "s", "left_semi").select("s", "p", "o")
 
 
 def query(
-    quads: DataFrame,
+    quads: DataFrame | Source,
     text: str,
     prefixes: dict[str, str] | None = None,
     default_graphs: Sequence[str] | None = None,

@@ -1,8 +1,13 @@
 """The query language: joins with unbound variables, errors, aggregates, functions, forms."""
 
+import random
+
 import pytest
 from row_tools import rows
 
+from quadrille.sources.access import Stored, Tables
+from quadrille.sources.mapping import TableMap, to_quads
+from quadrille.sources.store import Store
 from quadrille.sparql.compiler import query
 from quadrille.sparql.parser import SparqlError, parse
 from quadrille.terms import QUAD_SCHEMA, TYPE, XSD, iri, literal
@@ -151,3 +156,70 @@ def test_what_is_not_offered(people):
     for text in ("INSERT DATA { <a> <b> <c> }", "SELECT ?x { ?x :unknown", "SELECT (NOPE(1) AS ?x) {}", "SELECT ?x { ?x zz:p 1 }", "SELECT (1 AS ?x) { ?s :age ?x BIND(2 AS ?x) }"):
         with pytest.raises(SparqlError):
             parse(text, P)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_solutions_with_unbound_variables_against_the_definition(spark, people, seed):
+    """Join, OPTIONAL, MINUS and EXISTS of random solutions, by the compatibility of mappings."""
+    rng = random.Random(seed)
+    block = lambda names: [tuple(rng.choice([None, 1, 2, 3]) for _ in names) for _ in range(5)]
+    one, two = ("a", "b"), rng.choice([("a", "b"), ("b", "c"), ("b", "a", "c")])
+    left, right = block(one), block(two)
+    values = lambda names, data: f"VALUES ({' '.join('?' + n for n in names)}) {{ {' '.join('(' + ' '.join('UNDEF' if x is None else str(x) for x in r) + ')' for r in data)} }}"
+    solution = lambda names, r: {n: x for n, x in zip(names, r, strict=True) if x is not None}
+    lefts, rights = [solution(one, r) for r in left], [solution(two, r) for r in right]
+    fits = lambda x, y: all(x[n] == y[n] for n in x.keys() & y.keys())
+    names = sorted({*one, *two})
+    shown = lambda found, names: sorted((tuple(None if n not in m else number(m[n]) for n in names) for m in found), key=str)
+    asked = lambda body, names: ask(people, f"SELECT {' '.join('?' + n for n in names)} {{ {values(one, left)} {body} }}")
+    joined = [x | y for x in lefts for y in rights if fits(x, y)]
+    assert asked(f"{{ {values(two, right)} }}", names) == shown(joined, names)
+    optional = joined + [x for x in lefts if not any(fits(x, y) for y in rights)]
+    assert asked(f"OPTIONAL {{ {values(two, right)} }}", names) == shown(optional, names)
+    keep = lambda m: m.get("b", 0) > 1
+    filtered = [x | y for x in lefts for y in rights if fits(x, y) and keep(x | y)] + [x for x in lefts if not any(fits(x, y) and keep(x | y) for y in rights)]
+    assert asked(f"OPTIONAL {{ {values(two, right)} FILTER(?b > 1) }}", names) == shown(filtered, names)
+    left_over = [x for x in lefts if not any(fits(x, y) and x.keys() & y.keys() for y in rights)]
+    assert asked(f"MINUS {{ {values(two, right)} }}", one) == shown(left_over, one)
+    met = [x for x in lefts if any(fits(x, y) for y in rights)]
+    assert asked(f"FILTER EXISTS {{ {values(two, right)} }}", one) == shown(met, one)
+    assert asked(f"FILTER NOT EXISTS {{ {values(two, right)} }}", one) == shown([x for x in lefts if x not in met], one)
+    either = [x for x in lefts if x.get("a") == 1 or any(fits(x, y) for y in rights)]
+    assert asked(f"FILTER(EXISTS {{ {values(two, right)} }} || COALESCE(?a = 1, false))", one) == shown(either, one)
+
+
+def test_exists_in_an_optional(people):
+    text = "SELECT ?s ?x { ?s a :P OPTIONAL { ?s :age ?x FILTER EXISTS { ?s :knows :c } } }"
+    assert ask(people, text) == [(e("a"), None), (e("b"), number(7)), (e("c"), None)]
+    text = "SELECT ?s ?x { ?s a :P OPTIONAL { ?s :name ?n } OPTIONAL { ?s :age ?x FILTER(NOT EXISTS { ?s :knows :c } && ?x > 10) } }"
+    assert [(r[0], r[1]) for r in ask(people, text)] == [(e("a"), number(30)), (e("b"), None), (e("c"), None)]
+
+
+def test_unbound_variables_join_by_keys(spark, people):
+    """Of two sides that share a variable that is always bound, or bound in most rows, no pair without a key is looked at."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for text in (
+            "SELECT * { { ?s a :P OPTIONAL { ?s :name ?n } } { ?s a :P OPTIONAL { ?s :name ?n } } }",
+            "SELECT ?s { ?s a :P OPTIONAL { ?s :name ?n } MINUS { ?t :name ?n } }",
+            "SELECT * { ?s a :P OPTIONAL { ?s :name ?n } OPTIONAL { ?s :name ?n ; :age ?x } }",
+        ):
+            plan = query(people, text, P)._jdf.queryExecution().executedPlan().toString()
+            assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_sources(spark, people, tmp_path):
+    """A store and mapped tables answer as the quads do, by the copy or the columns that fit."""
+    store = Store(spark, str(tmp_path / "store"))
+    store.write(people)
+    for text in ("SELECT ?s { ?s :name 'Ann' }", "SELECT ?g ?s { GRAPH ?g { ?s :knows ?o } }", "SELECT ?s ?k { ?s a :P ; :knows+ ?k }", "SELECT (COUNT(*) AS ?n) FROM :g1 { ?s ?p ?o }"):
+        assert ask(Stored(store), text) == ask(people, text)
+    table = spark.createDataFrame([(1, "x", 2), (2, "y", None), (3, None, 1)], "k long, name string, up long")
+    mapping = TableMap("t", ("k",), ("name",), {"up": "t"})
+    quads, source = to_quads(table, mapping), Tables([(table, mapping)])
+    for text in ("SELECT * { ?s <urn:p:name> ?n OPTIONAL { ?s <urn:p:up> ?u } }", "SELECT * { ?s ?p <urn:t/1> }", "SELECT * { <urn:t/3> <urn:p:up>/<urn:p:name> ?n }", "SELECT * { ?s <urn:p:none> ?o }", "SELECT ?t (COUNT(?s) AS ?n) { ?s a ?t } GROUP BY ?t"):
+        assert ask(source, text) == ask(quads, text)
+    assert "Generate" not in source.scan(p="<urn:p:name>")._jdf.queryExecution().optimizedPlan().toString()
