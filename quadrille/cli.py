@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import argparse
 import json
-import os
 import shutil
 import sys
-from dataclasses import asdict, fields
+from dataclasses import fields
 
 from pyspark.sql import SparkSession
 
@@ -117,18 +116,15 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> st
         config = Config(search_directories=a.directories or ["."], strict=a.strict, offline=a.offline, require_ontology_names=a.require_ontology_names, use_cached_ontologies=a.use_cached_ontologies, policy=a.policy, **lists)
         with Environment.create(spark, a.env, config, a.overwrite) as env:
             return f"{len(env)} sources"
-    if a.command == "recover" and not os.path.exists(os.path.join(a.env, Environment.CATALOG)):
-        with Environment(spark, a.env, recreate=True) as env:
-            env.refresh_from_store(full=True)
+    if a.command == "recover":
+        with Environment.recover(spark, a.env) as env:
             return f"{len(env)} graphs"
-    env = Environment.open(spark, a.env, read_only=a.command not in ("update", "add", "config", "recover"))
+    env = Environment.open(spark, a.env, read_only=a.command not in ("update", "add", "config"))
     with env:
         if a.command == "update":
             return "\n".join(env.update(all=a.all))
         if a.command == "add":
             return env.add(a.location, fetch_imports=not a.no_imports, rename=a.rename)
-        if a.command == "recover":
-            return json.dumps(asdict(env.refresh_from_store(full=True)))
         if a.command == "status":
             return json.dumps(env.status(), indent=2, default=str)
         if a.command == "list":

@@ -11,19 +11,21 @@ import json
 import os
 import re
 import time
-from collections.abc import Callable, Sequence
-from dataclasses import asdict, dataclass, field
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager, nullcontext
+from dataclasses import asdict, dataclass, field, fields
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import terms
-from .operators import sync, union
+from .operators import catalog, sync, union
 from .operators.catalog import VERSION_PROPERTIES
+from .plans.lineage import checkpointed, file_system
 from .sources import files
-from .sources.store import ReadOnlyError, Store
+from .sources.store import ReadOnlyError, Store, StoreConflict
 from .sources.turtle import Parsed
-from .terms import IMPORTS, ONTOLOGY, QUAD_SCHEMA, TYPE, iri
+from .terms import DCTERMS, IMPORTS, ONTOLOGY, QUAD_SCHEMA, TYPE, iri, literal
 from .view import View, union_view
 
 
@@ -35,10 +37,21 @@ class CapabilityError(RuntimeError):
     """A store cannot do what was asked."""
 
 
+class StoreChangedError(RuntimeError):
+    """The graph store has been changed by someone else since it was catalogued."""
+
+
+class RecoveryNeededError(RuntimeError):
+    """A change of the graph store was not followed by its catalog; ``Environment.recover`` rebuilds it."""
+
+
 @dataclass
 class Config:
-    """``policy``: default, latest or version.  ``remote_cache_ttl_secs``: age from which a remote source is fetched again."""
+    """``policy``: default, latest, version or one given to the environment.  ``remote_cache_ttl_secs``: age from which a remote source is fetched again.  ``root`` is where relative search directories begin; ``external_graph_store`` names a store that is given from outside; a ``temporary`` environment keeps nothing."""
 
+    root: str = "."
+    external_graph_store: str | None = None
+    temporary: bool = False
     search_directories: list[str] = field(default_factory=list)
     includes: list[str] = field(default_factory=lambda: list(files.DEFAULT_INCLUDES))
     excludes: list[str] = field(default_factory=list)
@@ -51,6 +64,16 @@ class Config:
     policy: str = "default"
     remote_cache_ttl_secs: int = 86400
 
+    def override(self, **values) -> bool:
+        """Set what is given, also to false or empty; the rest stays.  Returns whether anything has changed."""
+        known = {f.name for f in fields(self)}
+        if unknown := values.keys() - known:
+            raise ValueError(f"unknown settings: {', '.join(sorted(unknown))}")
+        before = asdict(self)
+        for name, value in values.items():
+            setattr(self, name, value)
+        return asdict(self) != before
+
 
 @dataclass
 class Record:
@@ -128,27 +151,66 @@ class MemoryGraphs:
 
 
 class StoredGraphs:
-    """Graphs in a versioned Parquet store."""
+    """Graphs in a versioned Parquet store.  Within ``batch`` changes wait, and are published as one version."""
 
     def __init__(self, store: Store):
         self.store = store
+        self.version = store.version()
+        self.waiting: dict[str, DataFrame] | None = None
+
+    @contextmanager
+    def batch(self) -> Iterator[None]:
+        if self.waiting is not None:
+            yield
+            return
+        self.waiting = {}
+        try:
+            yield
+        finally:
+            waiting, self.waiting = self.waiting, None
+            if waiting:
+                self._publish(waiting)
+
+    def _publish(self, changes: dict[str, DataFrame]) -> None:
+        quads = self.store.spark.createDataFrame([], QUAD_SCHEMA)
+        for frame in changes.values():
+            quads = quads.unionByName(frame)
+        try:
+            self.store.replace_graphs(quads, list(changes), self.version)
+        except StoreConflict as e:
+            raise StoreChangedError(f"{e}; refresh the environment from its store") from e
+        self.version = self.store.version()
 
     def add_graph(self, name: str, quads: DataFrame) -> None:
-        self.store.replace_graphs(quads, [name])
+        if self.waiting is not None:
+            self.waiting[name] = quads
+        else:
+            self._publish({name: quads})
 
     def remove_graph(self, name: str) -> None:
-        self.store.remove_graph(name)
+        self.add_graph(name, self.store.spark.createDataFrame([], QUAD_SCHEMA))
 
     def graph_ids(self) -> list[str]:
-        return [r["graph"] for r in self.store.quads().select("graph").distinct().orderBy("graph").collect()]
+        names = {r["graph"] for r in self.store.graphs().select("graph").distinct().collect()}
+        for name, quads in (self.waiting or {}).items():
+            (names.discard if quads.isEmpty() else names.add)(name)
+        return sorted(names)
 
     def get_graph(self, name: str) -> DataFrame:
-        return self.store.graph(name)
+        waiting = self.waiting or {}
+        return waiting[name] if name in waiting else self.store.graph(name)
 
     def quads(self) -> DataFrame:
-        return self.store.quads()
+        out = self.store.quads()
+        if self.waiting:
+            out = out.where(~F.col("graph").isin(*self.waiting))
+            for frame in self.waiting.values():
+                out = out.unionByName(frame)
+        return out
 
     def graph_revisions(self) -> dict[str, str]:
+        """By the listing that the store keeps; the quads are not read."""
+        self.version = self.store.version()
         return {r["graph"]: r["revision"] for r in self.store.graphs().groupBy("graph").agg(F.concat_ws(",", F.sort_array(F.collect_list("revision"))).alias("revision")).collect()}
 
 
@@ -157,30 +219,75 @@ class Environment:
 
     ``graph_store`` is any object with ``add_graph, get_graph, remove_graph,
     graph_ids`` and ``quads``, and for refreshing ``graph_revisions``.
-    ``fetcher`` reads URLs.
+    ``fetcher`` reads URLs.  ``policies`` are further ways to choose among the
+    records of a name, and ``checks`` further reports of ``doctor``.  The folder
+    may lie on any file system that Spark reads.
     """
 
-    CATALOG = "catalog.json"
-
-    def __init__(self, spark: SparkSession, path: str | None = None, config: Config | None = None, graph_store=None, fetcher: Callable[[str], bytes] | None = None, read_only: bool = False, recreate: bool = False):
+    CATALOG, PENDING = "catalog.json", "pending"
+
+    def __init__(
+        self,
+        spark: SparkSession,
+        path: str | None = None,
+        config: Config | None = None,
+        graph_store=None,
+        fetcher: Callable[[str], bytes] | None = None,
+        read_only: bool = False,
+        recreate: bool = False,
+        policies: dict[str, Callable[[list[Record]], Record]] | None = None,
+        checks: Sequence[Callable[[Environment], list[str]]] = (),
+    ):
         self.spark, self.path, self.fetcher, self.read_only = spark, path, fetcher, read_only
         self.config = config or Config()
-        self.graphs = graph_store or (StoredGraphs(Store(spark, os.path.join(path, "store"), read_only=read_only)) if path else MemoryGraphs(spark))
+        self.policies, self.checks = dict(policies or {}), list(checks)
+        self.graphs = graph_store or (StoredGraphs(Store(spark, f"{path}/store", read_only=read_only)) if path else MemoryGraphs(spark))
         self.records: dict[tuple[str, str], Record] = {}
         self.aliases: dict[str, str] = {}
         self.failed: dict[str, str] = {}
         self.revisions: dict[str, str] = {}
         if path and recreate and not read_only:
             self.flush()
-        elif path and os.path.exists(os.path.join(path, self.CATALOG)):
+        elif path and self._exists(self.CATALOG):
+            if self._exists(self.PENDING):
+                raise RecoveryNeededError(f"a change of {path} was broken off; Environment.recover rebuilds its catalog")
             self._load()
 
+    # -- files of the folder
+
+    def _at(self, name: str):
+        return file_system(self.spark, f"{self.path}/{name}")
+
+    def _exists(self, name: str) -> bool:
+        files_, at = self._at(name)
+        return files_.exists(at)
+
+    def _read_text(self, name: str) -> str:
+        files_, at = self._at(name)
+        stream = files_.open(at)
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def _write_text(self, name: str, text: str) -> None:
+        """Written aside and put in place of what is there."""
+        files_, aside = self._at(f".{name}.{os.getpid()}")
+        stream = files_.create(aside, True)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        jvm, at = self.spark._jvm, self._at(name)[1]
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(aside, at, options)
+
     # -- lifecycle
 
     @classmethod
     def create(cls, spark: SparkSession, path: str, config: Config | None = None, overwrite: bool = False, **more) -> Environment:
         """A new environment; an existing one is an error unless overwritten.  Sources are discovered now unless caching is on."""
-        if os.path.exists(os.path.join(path, cls.CATALOG)) and not overwrite:
+        files_, at = file_system(spark, f"{path}/{cls.CATALOG}")
+        if files_.exists(at) and not overwrite:
             raise FileExistsError(f"{path} holds an environment")
         env = cls(spark, path, config, recreate=True, **more)
         if not env.config.use_cached_ontologies:
@@ -188,38 +295,124 @@ class Environment:
         return env
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str, read_only: bool = False, **more) -> Environment:
-        if not os.path.exists(os.path.join(path, cls.CATALOG)):
+    def open(cls, spark: SparkSession, path: str, read_only: bool = False, overrides: dict | None = None, **more) -> Environment:
+        """An environment that exists; its store is not looked at.  ``overrides`` are kept unless it is opened for reading only."""
+        files_, at = file_system(spark, f"{path}/{cls.CATALOG}")
+        if not files_.exists(at):
             raise FileNotFoundError(f"{path} holds no environment")
-        return cls(spark, path, read_only=read_only, **more)
+        env = cls(spark, path, read_only=read_only, **more)
+        if overrides and env.config.override(**overrides) and not read_only:
+            env.flush()
+        return env
+
+    load_from_directory = open
+
+    @classmethod
+    def open_or_init(cls, spark: SparkSession, path: str, config: Config | None = None, read_only: bool = False, overrides: dict | None = None, **more) -> Environment:
+        """The environment at a path, or a new one; with ``read_only`` it must exist."""
+        files_, at = file_system(spark, f"{path}/{cls.CATALOG}")
+        if files_.exists(at) or read_only:
+            return cls.open(spark, path, read_only, overrides, **more)
+        config = config or Config()
+        config.override(**(overrides or {}))
+        return cls.create(spark, path, config, **more)
 
     @classmethod
-    def adopt(cls, spark: SparkSession, path: str | None, graph_store, config: Config | None = None) -> Environment:
-        """Catalog what a graph store holds already."""
+    def connect(cls, spark: SparkSession, path: str, graph_store=None, sync: str = "auto", read_only: bool = False, config: Config | None = None, **more) -> Environment:
+        """Open or create, and catalog what the store holds.
+
+        ``sync``: ``auto`` where the store tells revisions, ``full`` all of it
+        anew, ``catalog`` nothing of an environment that exists.  Sources are
+        not looked at.
+        """
+        if sync not in ("auto", "full", "catalog"):
+            raise ValueError(f"unknown mode {sync!r}")
+        files_, at = file_system(spark, f"{path}/{cls.CATALOG}")
+        if not files_.exists(at):
+            if read_only:
+                raise FileNotFoundError(f"{path} holds no environment")
+            env = cls(spark, path, config, graph_store, recreate=True, **more)
+            if hasattr(env.graphs, "graph_revisions") and env.graphs.graph_ids():
+                env.refresh_from_store(full=True)
+                env.flush()
+            return env
+        env = cls.open(spark, path, read_only, graph_store=graph_store, **more)
+        if sync == "full" or sync == "auto" and hasattr(env.graphs, "graph_revisions"):
+            env.refresh_from_store(full=sync == "full")
+            if not read_only:
+                env.flush()
+        return env
+
+    @classmethod
+    def recover(cls, spark: SparkSession, path: str, graph_store=None, **more) -> Environment:
+        """Rebuild the catalog from the graph store; settings and aliases that can be read are kept."""
+        files_, pending = file_system(spark, f"{path}/{cls.PENDING}")
+        at = file_system(spark, f"{path}/{cls.CATALOG}")[1]
+        old = None
+        if files_.exists(at):
+            files_.delete(pending, False)
+            old = cls(spark, path, graph_store=graph_store, **more)
+        env = cls(spark, path, old.config if old else None, graph_store, recreate=True, **more)
+        if old:
+            env.aliases = old.aliases
+            env.records = {k: r for k, r in old.records.items() if r.graph in set(env.graphs.graph_ids())}
+        env.refresh_from_store(full=True)
+        env.flush()
+        return env
+
+    @classmethod
+    def adopt(cls, spark: SparkSession, path: str | None, graph_store, config: Config | None = None, overwrite: bool = False) -> Environment:
+        """Catalog what a graph store holds already; an environment that exists is an error unless overwritten."""
+        if path is not None and not overwrite:
+            files_, at = file_system(spark, f"{path}/{cls.CATALOG}")
+            if files_.exists(at):
+                raise FileExistsError(f"{path} holds an environment")
         env = cls(spark, path, config, graph_store, recreate=path is not None)
         env.refresh_from_store(full=True)
         return env
 
     def _load(self) -> None:
-        with open(os.path.join(self.path, self.CATALOG)) as file:
-            state = json.load(file)
+        state = json.loads(self._read_text(self.CATALOG))
         self.config = Config(**state["config"])
         self.records = {(r["name"], r["location"]): Record(**r) for r in state["records"]}
         self.aliases, self.failed, self.revisions = state["aliases"], state["failed"], state["revisions"]
 
     def flush(self) -> None:
-        """Write the catalog aside and put it in place."""
+        """Publish the catalog, which ends a change of the graph store."""
         if self.path is None:
             return
         self._writable()
-        os.makedirs(self.path, exist_ok=True)
         state = {"config": asdict(self.config), "records": [asdict(r) for r in self.records.values()], "aliases": self.aliases, "failed": self.failed, "revisions": self.revisions}
-        aside = os.path.join(self.path, f".{self.CATALOG}.{os.getpid()}")
-        with open(aside, "w") as file:
-            json.dump(state, file)
-            file.flush()
-            os.fsync(file.fileno())
-        os.replace(aside, os.path.join(self.path, self.CATALOG))
+        files_, at = self._at("")
+        files_.mkdirs(at)
+        self._write_text(self.CATALOG, json.dumps(state))
+        files_, pending = self._at(self.PENDING)
+        files_.delete(pending, False)
+
+    @contextmanager
+    def _change(self) -> Iterator[None]:
+        """A change of graphs and catalog: one version of the store, and a mark that stays until the catalog follows."""
+        self._writable()
+        if self.path is not None:
+            self._write_text(self.PENDING, "")
+        with self.graphs.batch() if hasattr(self.graphs, "batch") else nullcontext():
+            yield
+        self.flush()
+
+    def catalog(self) -> DataFrame:
+        """The records as rows."""
+        schema = "name string, location string, imports array<string>, last_updated double, version_properties map<string,string>, namespace_map map<string,string>, prefixes map<string,string>, content_hash string"
+        return self.spark.createDataFrame([asdict(r) for r in self.records.values()], schema)
+
+    def catalog_quads(self) -> DataFrame:
+        """The records as triples of a graph of their own, for queries."""
+        rows = []
+        for r in self.records.values():
+            about = [(TYPE, ONTOLOGY), (iri(DCTERMS + "source"), literal(r.location)), (iri(DCTERMS + "identifier"), literal(r.content_hash))]
+            about += [(IMPORTS, iri(i)) for i in r.imports] + [(iri(p), v) for p, v in r.version_properties.items()]
+            rows += [("catalog", iri("urn:quadrille:catalog"), r.graph, p, o) for p, o in about]
+        rows += [("catalog", iri("urn:quadrille:catalog"), iri(a), iri(DCTERMS + "isReplacedBy"), iri(n)) for a, n in self.aliases.items()]
+        return self.spark.createDataFrame(rows, QUAD_SCHEMA)
 
     close = flush
 
@@ -290,7 +483,10 @@ class Environment:
 
         An import that cannot be read is remembered as failed, or raises if strict.
         """
-        self._writable()
+        with self._change():
+            return self._add(location, data, overwrite, fetch_imports, force, rename, format, max_depth)
+
+    def _add(self, location: str, data: bytes | None, overwrite: bool, fetch_imports: bool, force: bool, rename: str | None, format: str | None, max_depth: int | None) -> str:
         record = self._add_one(location, data, overwrite, force, rename, format)
         queue, seen = [(i, 1) for i in record.imports] if fetch_imports else [], {record.name}
         while queue:
@@ -328,26 +524,29 @@ class Environment:
 
     def update(self, location: str | None = None, force: bool = False, all: bool = False) -> list[str]:
         """Drop sources that have vanished, and read new and changed ones with their imports; returns the names read."""
-        self._writable()
         if location is not None:
             return [self.add(location, force=True)]
+        with self._change():
+            return self._update(force, all)
+
+    def _update(self, force: bool, all: bool) -> list[str]:
         self.failed.clear()
         for key in [k for k, r in self.records.items() if not re.match(r"[a-z]+://", r.location) and not r.location.startswith("memory:") and not os.path.exists(r.location)]:
             self._remove(key)
         read = []
-        for path in files.find_files(self.config.search_directories, self.config.includes, self.config.excludes):
+        for path in files.find_files([os.path.join(self.config.root, d) for d in self.config.search_directories], self.config.includes, self.config.excludes):
             with open(path, "rb") as file:
                 data = file.read()
             if force or all or self._fresh(path, data) is None:
                 try:
-                    read.append(self.add(path, data, force=force or all))
+                    read.append(self._add(path, data, True, True, force or all, None, None, None))
                 except ValueError:
                     if self.config.strict:
                         raise
         for record in list(self.records.values()):
             if re.match(r"https?://", record.location) and (force or self._fresh(record.location, None) is None):
                 try:
-                    read.append(self.add(record.location, force=True))
+                    read.append(self._add(record.location, None, True, True, True, None, None, None))
                 except (OSError, files.OfflineError) as e:
                     self.failed[record.location] = str(e)
         self._prune()
@@ -364,19 +563,22 @@ class Environment:
             for key in [k for k, r in self.records.items() if r.graph == name]:
                 del self.records[key]
             self.revisions.pop(name, None)
-        for name in (*out.added, *out.changed):
-            statements = [(None, r["s"], r["p"], r["o"]) for r in self.graphs.get_graph(name).toLocalIterator()]
-            record = record_of(Parsed(statements), name[1:-1])
-            old = next((k for k, r in self.records.items() if r.graph == name), None)
-            location = self.records.pop(old).location if old else f"store:{name[1:-1]}"
-            record.name, record.location = name[1:-1], location
-            self.records[record.name, location] = record
-            self.revisions[name] = now[name]
+        if changed := [*out.added, *out.changed]:
+            # records are worked out where the quads are; one row for each graph comes to the driver
+            found = catalog.describe(self.quads().where(F.col("graph").isin(*changed)))
+            for r in found.toLocalIterator():
+                name = r["graph"]
+                old = next((k for k, x in self.records.items() if x.graph == name), None)
+                location = self.records.pop(old).location if old else f"store:{name[1:-1]}"
+                self.records[name[1:-1], location] = Record(name[1:-1], location, [i[1:-1] for i in r["imports"]], time.time(), dict(r["version_properties"]), dict(r["namespace_map"]))
+                self.revisions[name] = now[name]
         return out
 
     # -- names
 
     def _choose(self, found: list[Record]) -> Record:
+        if self.config.policy in self.policies:
+            return self.policies[self.config.policy](sorted(found, key=lambda r: (r.name, r.location)))
         if self.config.policy == "latest":
             return min(found, key=lambda r: (-r.last_updated, r.name, r.location))
         if self.config.policy == "version":
@@ -384,6 +586,24 @@ class Environment:
             found = [r for r in found if [r.version_properties.get(p, "0") for p in VERSION_PROPERTIES] == best]
         return min(found, key=lambda r: (r.name, r.location))
 
+    def resolver(self) -> Callable[[str], Record | None]:
+        """``resolve`` for many names: the records are indexed once, and must not change meanwhile."""
+        by_name: dict[str, list[Record]] = {}
+        by_location: dict[str, list[Record]] = {}
+        for r in self.records.values():
+            by_name.setdefault(normal_name(r.name), []).append(r)
+            by_location.setdefault(r.location, []).append(r)
+        chosen: dict[str, Record | None] = {}
+
+        def resolve(name: str) -> Record | None:
+            if name not in chosen:
+                wanted = normal_name(name)
+                found = by_name.get(normal_name(self.aliases.get(wanted, wanted))) or by_location.get(name)
+                chosen[name] = self._choose(found) if found else None
+            return chosen[name]
+
+        return resolve
+
     def resolve(self, name: str) -> Record | None:
         """The record of a name or location: aliases first, then names, by the policy."""
         wanted = normal_name(name)
@@ -418,52 +638,73 @@ class Environment:
 
     def rename_graph_iri(self, name: str, new: str) -> str:
         """Give a graph another name, inside its triples too."""
-        self._writable()
         record = self.get_ontology(name)
         if any(r.name == new for r in self.records.values()):
             raise ValueError(f"{new} is taken")
-        quads = union.rename(self.graphs.get_graph(record.graph), record.graph, iri(new)).withColumn("graph", F.lit(iri(new)))
-        quads = quads.persist()
-        quads.count()
-        self.graphs.add_graph(iri(new), quads)
-        self.graphs.remove_graph(record.graph)
-        del self.records[record.name, record.location]
-        self.aliases = {a: new if n == record.name else n for a, n in self.aliases.items()}
-        record.name = new
-        self.records[new, record.location] = record
+        with self._change():
+            quads = union.rename(self.graphs.get_graph(record.graph), record.graph, iri(new)).withColumn("graph", F.lit(iri(new)))
+            # a store of another kind may give the old graph only as long as it has it
+            self.graphs.add_graph(iri(new), quads if isinstance(self.graphs, (StoredGraphs, MemoryGraphs)) else checkpointed(quads))
+            self.graphs.remove_graph(record.graph)
+            del self.records[record.name, record.location]
+            self.aliases = {a: new if n == record.name else n for a, n in self.aliases.items()}
+            record.name = new
+            self.records[new, record.location] = record
         return new
 
     # -- imports
 
-    def list_closure(self, name: str, depth: int = -1) -> list[str]:
-        """The name, then what it imports, breadth first; siblings by name."""
-        root = self.get_ontology(name)
-        out, level, step = [root.name], [root], 0
+    def list_closure(self, name: str | DataFrame, depth: int = -1) -> list[str]:
+        """The name, then what it imports, breadth first; siblings by name.
+
+        Given triples instead of a name, what they import, without what does
+        not resolve; their own root stands first where they have one.
+        """
+        resolve = self.resolver()
+        if isinstance(name, DataFrame):
+            root = self._root(name)
+            level = [r for t in self._imports_of(name) if (r := resolve(t)) is not None] if depth else []
+            level = list({r.name: r for r in sorted(level, key=lambda r: r.name)}.values())
+            out, step = ([root[1:-1]] if root else []), 1
+            level = [r for r in level if r.name not in out]
+            out += [r.name for r in level]
+        else:
+            record = self.get_ontology(name)
+            out, level, step = [record.name], [record], 0
+        seen = set(out)
         while level and step != depth:
             step += 1
             found: dict[str, Record] = {}
             for record in level:
                 for target in record.imports:
-                    hit = self.resolve(target)
+                    hit = resolve(target)
                     if hit is None and self.config.strict:
                         raise UnresolvedImportError(target)
-                    if hit is not None and hit.name not in out:
+                    if hit is not None and hit.name not in seen:
                         found[hit.name] = hit
             level = [found[n] for n in sorted(found)]
             out += [r.name for r in level]
+            seen |= found.keys()
         return out
 
     def edges(self) -> list[tuple[str, str]]:
-        return sorted({(r.name, hit.name) for r in self.records.values() for i in r.imports if (hit := self.resolve(i)) is not None})
+        resolve = self.resolver()
+        return sorted({(r.name, hit.name) for r in self.records.values() for i in r.imports if (hit := resolve(i)) is not None})
 
     def get_importers(self, name: str) -> list[str]:
-        record = self.resolve(name)
+        resolve = self.resolver()
+        record = resolve(name)
         wanted = normal_name(record.name if record else name)
-        return sorted({r.name for r in self.records.values() for i in r.imports if normal_name(self.resolve(i).name if self.resolve(i) else i) == wanted})
+        return sorted({r.name for r in self.records.values() for i in r.imports if normal_name(hit.name if (hit := resolve(i)) else i) == wanted})
 
-    def missing_imports(self, name: str | None = None) -> list[str]:
-        names = self.list_closure(name) if name else self.get_ontology_names()
-        return sorted({i for r in self.records.values() if r.name in names for i in r.imports if self.resolve(i) is None} | (set(self.failed) if name is None else set()))
+    def missing_imports(self, name: str | DataFrame | None = None) -> list[str]:
+        """Imports without a source: of the closure of a name or of triples, or of all graphs, where failed ones count too."""
+        resolve = self.resolver()
+        names = set(self.list_closure(name) if name is not None else self.get_ontology_names())
+        targets = {i for r in self.records.values() if r.name in names for i in r.imports}
+        if isinstance(name, DataFrame):
+            targets |= set(self._imports_of(name))
+        return sorted({i for i in targets if resolve(i) is None} | (set(self.failed) if name is None else set()))
 
     def import_paths(self, name: str) -> list[list[str]]:
         """Simple paths from graphs that nothing imports to a graph; to its importers where it has no source."""
@@ -545,7 +786,7 @@ class Environment:
         return union.import_into(destination, self._chosen(self.quads()), [iri(n) for n in names], iri(names[0]))
 
     def _dependencies(self, triples: DataFrame, depth: int, fetch_missing: bool) -> list[str]:
-        targets = [r["o"][1:-1] for r in triples.where((F.col("p") == IMPORTS) & F.col("o").startswith("<")).select("o").distinct().orderBy("o").collect()]
+        targets = self._imports_of(triples)
         names: list[str] = []
         for target in targets:
             if self.resolve(target) is None and fetch_missing:
@@ -557,6 +798,10 @@ class Environment:
                 names += [n for n in self.list_closure(target, depth) if n not in names]
         return sorted(names)
 
+    @staticmethod
+    def _imports_of(triples: DataFrame) -> list[str]:
+        return [r["o"][1:-1] for r in triples.where((F.col("p") == IMPORTS) & F.col("o").startswith("<")).select("o").distinct().orderBy("o").collect()]
+
     @staticmethod
     def _root(triples: DataFrame) -> str | None:
         own = F.min(F.when(F.col("p") == IMPORTS, F.col("s"))), F.min(F.when((F.col("p") == TYPE) & (F.col("o") == ONTOLOGY), F.col("s")))
@@ -575,12 +820,15 @@ class Environment:
         return union.strip_imports(merged), names
 
     def get_dependencies(self, triples: DataFrame, graph_name: str | None = None, depth: int = -1, fetch_missing: bool = False) -> tuple[DataFrame, list[str]]:
-        """The closures of the imports without the triples themselves; under one declaration and its prefixes where a name is given."""
+        """The closures of the imports without the triples themselves: under one declaration and its prefixes where a name is given, and else with each member's own."""
         names = self._dependencies(triples, depth, fetch_missing)
         merged = union.strip_imports(self._chosen(self.quads()).where(F.col("graph").isin(*map(iri, names))).select("s", "p", "o").distinct())
         if graph_name is not None and names:
             root = iri(graph_name)
             merged = union.declare_root(union.collapse_declarations(union.consolidate_prefixes(merged, root), root), root)
+        elif names:
+            declared = self.spark.createDataFrame([(iri(n), TYPE, ONTOLOGY) for n in names], "s string, p string, o string")
+            merged = merged.unionByName(declared).distinct()
         return merged, names
 
     # -- reports
@@ -607,12 +855,13 @@ class Environment:
         for r in self.records.values():
             for p, n in r.namespace_map.items():
                 spaces.setdefault(p, set()).add(n)
+        problems += [x for check in self.checks for x in check(self)]
         return problems + [f"prefix {p} has several namespaces: {', '.join(sorted(n))}" for p, n in sorted(spaces.items()) if len(n) > 1]
 
     def status(self) -> dict[str, object]:
         return {
             "graphs": len(self.graphs.graph_ids()), "triples": self.quads().select("graph", "s", "p", "o").distinct().count(), "sources": len(self.records),
-            "last_updated": max((r.last_updated for r in self.records.values()), default=None), "missing_imports": self.missing_imports(), "store": self.store_path(),
+            "last_updated": max((r.last_updated for r in self.records.values()), default=None), "missing_imports": self.missing_imports(), "store": self.store_path(), "failed": dict(self.failed), "aliases": len(self.aliases),
         }
 
     def dump(self, contains: str | None = None) -> str:
@@ -620,7 +869,7 @@ class Environment:
         return "".join(rows)
 
     def store_path(self) -> str | None:
-        return os.path.join(self.path, "store") if self.path else None
+        return f"{self.path}/store" if self.path else None
 
     def __len__(self) -> int:
         return len(self.records)

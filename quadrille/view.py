@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .operators import closure, scan
+from .plans.lineage import checkpointed
 from .sources import jsonld, rdfxml, turtle
 from .sources.ntriples import to_text
 from .sparql.compiler import query
@@ -74,6 +75,16 @@ class View:
     def prefix(self, namespace: str) -> str | None:
         return next((p for p, n in self.prefixes.items() if n == namespace), None)
 
+    def refresh_from_env(self, env, mode: str = "auto") -> None:
+        """The quads of an environment as they are now: ``store`` reads its store, ``copy`` takes a copy of its own, ``auto`` the store where there is one."""
+        if mode not in ("auto", "store", "copy"):
+            raise ValueError(f"unknown mode {mode!r}")
+        if mode == "store" and env.store_path() is None:
+            raise ValueError("the environment has no store")
+        quads = env.quads()
+        self.quads = checkpointed(quads) if mode == "copy" or mode == "auto" and env.store_path() is None else quads
+        self.root = None
+
     def add(self, *_: object) -> None:
         raise ValueError("a view cannot be changed")
 

@@ -8,12 +8,13 @@ import pytest
 from row_tools import rows
 
 from quadrille import cli
-from quadrille.env import CapabilityError, Config, Environment, MemoryGraphs, UnresolvedImportError
+from quadrille.env import CapabilityError, Config, Environment, MemoryGraphs, RecoveryNeededError, StoreChangedError, StoredGraphs, UnresolvedImportError
 from quadrille.operators import catalog, sync
 from quadrille.sources import files, jsonld, ntriples, rdfxml, turtle
 from quadrille.sources.store import ReadOnlyError, Store, StoreConflict
+from quadrille.sparql.compiler import query
 from quadrille.streaming import watch
-from quadrille.terms import IMPORTS, QUAD_SCHEMA, TYPE, iri, literal
+from quadrille.terms import DCTERMS, IMPORTS, ONTOLOGY, QUAD_SCHEMA, RDFS, TYPE, VAEM, iri, literal
 
 TTL = """@prefix : <http://x/> . @prefix owl: <http://www.w3.org/2002/07/owl#> .
 <http://x/o> a owl:Ontology ; owl:imports <http://y/> ; :n 1, 2.5, 1e3, true ; :l "a\\"b\\nc\\\\d"@en-GB, \"\"\"long "q" x\"\"\"^^:dt ; :c (1 [ :p "z\\u00e9" ]) .
@@ -226,6 +227,86 @@ def test_environment_on_disk(spark, tmp_path):
     assert cli.main(["--env", path, "doctor"], spark) == ""
 
 
+def test_lifecycle_and_recovery(spark, tmp_path):
+    path, config = str(tmp_path / "env"), six(tmp_path)
+    with pytest.raises(FileNotFoundError):
+        Environment.connect(spark, path, read_only=True)
+    env = Environment.open_or_init(spark, path, config)
+    # all sources are one version of the store, and their records can be queried
+    assert env.graphs.store.version() == 1 and len(env) == 6
+    assert env.catalog().count() == 6
+    found = query(env.catalog_quads(), f"SELECT ?g {{ ?g {IMPORTS} <urn:o3> }}")
+    assert {r["g"] for r in found.collect()} == {"<urn:o5>", "<urn:o6>"}
+    again = Environment.open(spark, path, overrides={"strict": True, "policy": "latest"})
+    assert again.config.strict and Environment.open(spark, path).config.policy == "latest"
+    with pytest.raises(ValueError):
+        again.config.override(nothing=1)
+    # someone else changes the store
+    other = Store(spark, path + "/store")
+    other.remove_graph(iri("urn:o6"))
+    with pytest.raises(StoreChangedError):
+        again.add("memory:x", b"<urn:x> <urn:p> <urn:y> .")
+    # that change was broken off after its mark
+    with pytest.raises(RecoveryNeededError):
+        Environment.open(spark, path)
+    whole = Environment.recover(spark, path)
+    assert whole.get_ontology_names() == [f"urn:o{k}" for k in range(1, 6)] and whole.config.strict
+    assert {r.location for r in whole.records.values()} == {str(tmp_path / f"o{k}.ttl") for k in range(1, 6)}
+    other.remove_graph(iri("urn:o5"))
+    assert Environment.connect(spark, path, sync="catalog").get_ontology_names()[-1] == "urn:o5"
+    assert Environment.connect(spark, path).get_ontology_names()[-1] == "urn:o4"
+    assert cli.main(["--env", path, "recover"], spark) == "4 graphs"
+    fresh = str(tmp_path / "fresh")
+    adopted = Environment.adopt(spark, fresh, StoredGraphs(other))
+    adopted.flush()
+    assert len(adopted) == 4 and adopted.resolve("urn:o4").imports == ["urn:o1"]
+    with pytest.raises(FileExistsError):
+        Environment.adopt(spark, fresh, StoredGraphs(other))
+
+
+def test_closures_of_a_callers_graph(spark, tmp_path):
+    env = Environment(spark, config=six(tmp_path))
+    env.update()
+    mine = spark.createDataFrame([(iri("urn:m"), TYPE, ONTOLOGY), (iri("urn:m"), IMPORTS, iri("urn:o3")), (iri("urn:m"), IMPORTS, iri("urn:none")), (iri("urn:m"), IMPORTS, literal("text"))], "s string, p string, o string")
+    assert env.list_closure(mine) == ["urn:m", "urn:o3", "urn:o1", "urn:o2"]
+    assert env.list_closure(mine, 0) == ["urn:m"] and env.list_closure(mine, 1) == ["urn:m", "urn:o3"]
+    assert env.list_closure(mine.where("s = 'none'")) == []
+    assert env.missing_imports(mine) == ["urn:none"] and env.missing_imports("urn:o3") == []
+    alone, names = env.get_dependencies(mine)
+    assert names == ["urn:o1", "urn:o2", "urn:o3"]
+    assert {r["s"] for r in alone.where(alone["o"] == ONTOLOGY).collect()} == {iri(n) for n in names}
+
+
+def test_policies_and_checks_from_outside(spark):
+    env = Environment(spark, config=Config(policy="last"), policies={"last": lambda found: found[-1]}, checks=[lambda e: [f"{len(e)} sources"]])
+    for k in (1, 2):
+        env.add(f"memory:{k}", (OWL + f'<urn:o> a owl:Ontology ; <urn:l> "{k}" .').encode())
+    assert env.resolve("urn:o").location == "memory:2" and '"2"' in [r["o"] for r in env.copy_graph("urn:o").collect()]
+    assert "2 sources" in env.doctor()
+    view = env.get_dataset()
+    env.add("memory:3", b"<urn:x> <urn:p> <urn:y> .")
+    before = len(view)
+    view.refresh_from_env(env)
+    assert len(view) == before + 1
+    with pytest.raises(ValueError):
+        view.refresh_from_env(env, "store")
+
+
+def test_version_properties_decide(spark):
+    """Created, label and see-also tell versions, and metadata goes before the ontology's own."""
+    quads = []
+    for k, (created, label, meta) in enumerate([("2020", "a", None), ("2021", "a", None), ("2021", "b", None), ("2019", "z", "2022")]):
+        g, s = iri(f"urn:g{k}"), iri("urn:o")
+        quads += [("d", g, s, TYPE, ONTOLOGY), ("d", g, s, iri(DCTERMS + "created"), literal(created)), ("d", g, s, iri(RDFS + "label"), literal(label)), ("d", g, s, iri(DCTERMS + "issued"), literal("9999"))]
+        if meta:
+            quads += [("d", g, s, iri(VAEM + "hasGraphMetadata"), iri("urn:m")), ("d", g, iri("urn:m"), iri(DCTERMS + "created"), literal(meta))]
+    found = catalog.describe(spark.createDataFrame(quads, QUAD_SCHEMA))
+    assert {r["graph"]: sorted(r["version_properties"]) for r in found.collect()}["<urn:g0>"] == [DCTERMS + "created", RDFS + "label"]
+    records = found.select("name", found["graph"].alias("location"), catalog.version_vector(found["version_properties"]).alias("version"))
+    assert [r["location"] for r in catalog.choose(records, "version").collect()] == ["<urn:g3>"]
+    assert [r["location"] for r in catalog.choose(records.where("location <> '<urn:g3>'"), "version").collect()] == ["<urn:g2>"]
+
+
 def test_names_aliases_renames_and_failures(spark):
     env = Environment(spark, config=Config(policy="latest"))
     web = {"http://h/one#": "<urn:one> a owl:Ontology ; owl:imports <http://h/two>, <http://h/none>, <urn:one> .", "http://h/two": "<urn:two> a owl:Ontology ; owl:versionIRI <urn:two> ."}
