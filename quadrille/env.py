@@ -126,16 +126,21 @@ def record_of(parsed: Parsed, location: str, require_name: bool = False) -> Reco
 
 
 class MemoryGraphs:
-    """Graphs by name, as local DataFrames."""
+    """Graphs by name, as local DataFrames.  All of them together are written once after a change, so that queries read one table."""
+
+    #: Graphs up to which they are just put together.
+    FEW = 4
 
     def __init__(self, spark: SparkSession):
         self.spark, self.frames = spark, {}
+        self._all: DataFrame | None = None
 
     def add_graph(self, name: str, quads: DataFrame) -> None:
-        self.frames[name] = quads
+        self.frames[name], self._all = quads, None
 
     def remove_graph(self, name: str) -> None:
         self.frames.pop(name, None)
+        self._all = None
 
     def graph_ids(self) -> list[str]:
         return sorted(self.frames)
@@ -144,10 +149,12 @@ class MemoryGraphs:
         return self.frames.get(name, self.spark.createDataFrame([], QUAD_SCHEMA))
 
     def quads(self) -> DataFrame:
-        out = self.spark.createDataFrame([], QUAD_SCHEMA)
-        for frame in self.frames.values():
-            out = out.unionByName(frame)
-        return out
+        if self._all is None:
+            out = self.spark.createDataFrame([], QUAD_SCHEMA)
+            for frame in self.frames.values():
+                out = out.unionByName(frame)
+            self._all = checkpointed(out.coalesce(8)) if len(self.frames) > self.FEW else out
+        return self._all
 
 
 class StoredGraphs:

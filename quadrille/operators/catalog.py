@@ -102,12 +102,13 @@ def _by_policy(policy: str) -> list[Column]:
     raise ValueError(f"unknown policy {policy!r}")
 
 
-def choose(records: DataFrame, policy: str = "default") -> DataFrame:
-    """One record of each name: the first by (name, location), the latest, or the greatest version; ties go by (name, location)."""
-    return records.withColumn("_k", F.row_number().over(W.partitionBy("name").orderBy(*_by_policy(policy)))).where("_k = 1").drop("_k")
+def choose(records: DataFrame, policy: str | list[Column] = "default") -> DataFrame:
+    """One record of each name: the first by (name, location), the latest, the greatest version, or the first in an order of columns; ties go by (name, location)."""
+    order = _by_policy(policy) if isinstance(policy, str) else [*policy, *map(F.col, KEYS)]
+    return records.withColumn("_k", F.row_number().over(W.partitionBy("name").orderBy(*order))).where("_k = 1").drop("_k")
 
 
-def resolve_names(asked: DataFrame, column: str, records: DataFrame, aliases: DataFrame | None = None, policy: str = "default") -> DataFrame:
+def resolve_names(asked: DataFrame, column: str, records: DataFrame, aliases: DataFrame | None = None, policy: str | list[Column] = "default") -> DataFrame:
     """The asked rows with ``name`` and ``location`` of the record that aliases (alias, name), or else names, give; null where none does."""
     known = choose(records, policy).select("name", "location").withColumn("_n", normal_name(F.col("name")))
     rows = asked.withColumn("_asked", normal_name(F.col(column)))
@@ -128,7 +129,7 @@ def conflicting_prefixes(records: DataFrame) -> DataFrame:
     return pairs.groupBy("prefix").agg(F.sort_array(F.collect_set("namespace")).alias("namespaces")).where(F.size("namespaces") > 1)
 
 
-def dependency_edges(records: DataFrame, aliases: DataFrame | None = None, policy: str = "default") -> tuple[DataFrame, DataFrame]:
+def dependency_edges(records: DataFrame, aliases: DataFrame | None = None, policy: str | list[Column] = "default") -> tuple[DataFrame, DataFrame]:
     """Edges (src, dst) of the imports that resolve, and the targets (target) of those that don't."""
     imports = records.select(F.col("name").alias("src"), F.explode("imports").alias("target"))
     found = resolve_names(imports, "target", records.withColumn("location", F.coalesce("location", F.lit(""))), aliases, policy)

@@ -22,7 +22,7 @@ MAPS = {
     "customer": TableMap("customer", ("c_custkey",), ("c_name", "c_mktsegment"), {"c_nationkey": "nation"}),
     "part": TableMap("part", ("p_partkey",), ("p_name", "p_brand", "p_type", "p_size")),
     "orders": TableMap("orders", ("o_orderkey",), ("o_orderstatus", "o_orderpriority", "o_orderdate"), {"o_custkey": "customer"}),
-    "lineitem": TableMap("lineitem", ("l_orderkey", "l_linenumber"), ("l_linenumber", "l_returnflag", "l_linestatus"), {"l_orderkey": "orders", "l_partkey": "part", "l_suppkey": "supplier"}),
+    "lineitem": TableMap("lineitem", ("l_orderkey", "l_linenumber"), ("l_linenumber", "l_returnflag", "l_linestatus"), {"l_orderkey": "orders", "l_partkey": "part", "l_suppkey": "supplier"}, unique=False),
 }
 TABLES_OF_WORLD = ("nation", "region", "supplier")
 PREFIX_MAP = {"c": "urn:c:", "p": "urn:p:", "g": "urn:g:", "xsd": XSD}
@@ -453,7 +453,7 @@ def _sparql(name: str, tables: tuple[str, ...], text: str, sql: str, finish: Cal
 
 
 #: Queries that are run over repeated quads as well.
-AS_SETS = {"sparql_bgp_join", "sparql_optional", "sparql_union", "sparql_exists", "sparql_minus", "sparql_values", "sparql_graph_var", "sparql_subselect", "sparql_construct", "sparql_count_types", "agg_count_distinct", "agg_sum_avg", "fn_term"}
+AS_SETS = {"sparql_bgp_join", "sparql_optional", "sparql_union", "sparql_exists", "sparql_minus_some", "sparql_values", "sparql_graph_var", "sparql_subselect", "sparql_construct", "sparql_count_types", "agg_count_distinct", "agg_sum_avg", "fn_term"}
 
 
 def integers(*columns: str) -> Callable[[DataFrame], DataFrame]:
@@ -475,29 +475,29 @@ _sparql("sparql_bgp_join", ("customer", "nation", "region"), 'SELECT ?c ?n { ?c
         f"SELECT {_C} AS c, {T('n_name')} AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_mktsegment = 'BUILDING' AND r_name = 'ASIA'")
 _sparql("sparql_optional", ("customer", "orders"), 'SELECT ?c ?o { ?c a c:customer OPTIONAL { ?o p:o_custkey ?c ; p:o_orderstatus "P" } }',
         f"SELECT {_C} AS c, {_O} AS o FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P'")
-_sparql("sparql_optional_filter", ("nation", "region"), "SELECT ?n ?r { ?n a c:nation ; p:n_name ?l OPTIONAL { ?n p:n_regionkey ?r FILTER(?l > 'J') } }",
-        f"SELECT {_N} AS n, CASE WHEN n_name > 'J' THEN {sql_subject('region', key=('n_regionkey',))} END AS r FROM nation")
+_sparql("sparql_optional_filter", ("nation", "region"), "SELECT ?n ?r { ?n a c:nation ; p:n_name ?l OPTIONAL { ?n p:n_regionkey ?r FILTER(?l > 'NATION_17') } }",
+        f"SELECT {_N} AS n, CASE WHEN n_name > 'NATION_17' THEN {sql_subject('region', key=('n_regionkey',))} END AS r FROM nation")
 _sparql("sparql_union", ("nation", "region"), "SELECT ?x ?n ?r { { ?x p:n_name ?n } UNION { ?x p:r_name ?r } }",
         f"SELECT {_N} AS x, {T('n_name')} AS n, NULL AS r FROM nation UNION ALL SELECT {sql_subject('region')}, NULL, {T('r_name')} FROM region")
 _sparql("sparql_minus", ("customer", "orders"), "SELECT ?c { ?c a c:customer MINUS { ?o p:o_custkey ?c } }", f"SELECT {_C} AS c FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 _sparql("sparql_exists", ("customer", "orders"), 'SELECT ?c { ?c a c:customer FILTER EXISTS { ?o p:o_custkey ?c ; p:o_orderstatus "F" } }',
         f"SELECT {_C} AS c FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
 _sparql("sparql_not_exists", ("customer", "orders"), "SELECT ?c { ?c a c:customer FILTER NOT EXISTS { ?o p:o_custkey ?c } }", f"SELECT {_C} AS c FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
-_sparql("sparql_values", ("nation",), 'SELECT ?n ?tag { VALUES (?l ?tag) { ("FRANCE" 1) ("PERU" 2) (UNDEF 3) } ?n p:n_name ?l }',
-        f"SELECT {_N} AS n, '\"' || CAST(t AS VARCHAR) || '\"^^<{XSD}integer>' AS tag FROM nation JOIN (VALUES ('FRANCE', 1), ('PERU', 2), (NULL, 3)) v(l, t) ON v.l IS NULL OR v.l = n_name")
+_sparql("sparql_values", ("nation",), 'SELECT ?n ?tag { VALUES (?l ?tag) { ("NATION_3" 1) ("NATION_9" 2) (UNDEF 3) } ?n p:n_name ?l }',
+        f"SELECT {_N} AS n, '\"' || CAST(t AS VARCHAR) || '\"^^<{XSD}integer>' AS tag FROM nation JOIN (VALUES ('NATION_3', 1), ('NATION_9', 2), (NULL, 3)) v(l, t) ON v.l IS NULL OR v.l = n_name")
 _sparql("sparql_bind", ("part",), "SELECT ?p ?twice { ?p p:p_size ?s BIND(?s * 2 + 1 AS ?twice) FILTER(?twice > 60) }", f"SELECT {_P} AS p, CAST(p_size * 2 + 1 AS BIGINT) AS twice FROM part WHERE p_size * 2 + 1 > 60", integers("twice"))
 _sparql("sparql_graph_var", TABLES_OF_WORLD, "SELECT ?g ?s { GRAPH ?g { ?s a ?t . ?s p:s_nationkey <urn:nation/3> } }", f"SELECT '<urn:g:supplier>' AS g, {sql_subject('supplier')} AS s FROM supplier WHERE s_nationkey = 3")
 _sparql("sparql_graph_iri", TABLES_OF_WORLD, "SELECT ?s { GRAPH g:nation { ?s a ?t } }", f"SELECT {_N} AS s FROM nation")
 _sparql("sparql_from", TABLES_OF_WORLD, "SELECT ?s FROM g:region { ?s a ?t }", f"SELECT {sql_subject('region')} AS s FROM region")
 _sparql("sparql_subselect", ("nation", "customer"), "SELECT ?n ?k { ?n p:n_name ?l { SELECT ?n (COUNT(?c) AS ?k) { ?c p:c_nationkey ?n } GROUP BY ?n } }",
         f"SELECT {_N} AS n, count(*) AS k FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey", integers("k"))
-_sparql("sparql_ask", ("nation",), 'ASK { ?s p:n_name "FRANCE" }', "SELECT count(*) > 0 AS ask FROM nation WHERE n_name = 'FRANCE'")
+_sparql("sparql_ask", ("nation",), 'ASK { ?s p:n_name "NATION_3" }', "SELECT count(*) > 0 AS ask FROM nation WHERE n_name = 'NATION_3'")
 _sparql("sparql_construct", ("nation",), "CONSTRUCT { ?r <urn:has> ?n . ?l <urn:bad> ?n } { ?n p:n_regionkey ?r ; p:n_name ?l }",
         f"SELECT {sql_subject('region', key=('n_regionkey',))} AS s, '<urn:has>' AS p, {_N} AS o FROM nation")
 _sparql("sparql_describe", ("nation",), "DESCRIBE <urn:nation/3>", f"WITH q AS ({sql_quads('nation')}) SELECT s, p, o FROM q WHERE s = '<urn:nation/3>'")
 _sparql("sparql_bindings", ("nation",), "SELECT ?n { ?n p:n_regionkey ?r }", f"SELECT {_N} AS n FROM nation WHERE n_regionkey = 2", bindings={"r": "<urn:region/2>"})
 _sparql("sparql_count_types", ("orders", "lineitem"), "SELECT ?t (COUNT(*) AS ?n) { ?s a ?t } GROUP BY ?t",
-        "SELECT '<urn:c:orders>' AS t, count(*) AS n FROM orders UNION ALL SELECT '<urn:c:lineitem>', count(*) FROM lineitem", integers("n"))
+        "SELECT '<urn:c:orders>' AS t, count(*) AS n FROM orders UNION ALL SELECT '<urn:c:lineitem>', count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)", integers("n"))
 
 # -- SPARQL: aggregates, order, functions
 
@@ -532,6 +532,44 @@ _sparql("fn_term", ("nation",), "SELECT ?n (STR(?n) AS ?i) (DATATYPE(?l) AS ?d)
         f"""SELECT {_N} AS n, '"urn:nation/' || CAST(n_nationkey AS VARCHAR) || '"' AS i, '<{XSD}string>' AS d, '"iri"' AS k, {T('n_name')} AS v, '"false"^^<{XSD}boolean>' AS b, {T('n_name')} || '@en' AS e, CAST(n_nationkey AS BIGINT) AS key FROM nation""", integers("key"))
 
 
+# -- SPARQL: what the queries above leave out
+
+_STATUS = "SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'"
+_sparql("sparql_minus_some", ("customer", "orders"), 'SELECT ?c { ?c a c:customer MINUS { ?o p:o_custkey ?c ; p:o_orderstatus "P" } }', f"SELECT {_C} AS c FROM customer WHERE c_custkey NOT IN ({_STATUS})")
+_sparql("sparql_not_exists_some", ("customer", "orders"), 'SELECT ?c { ?c a c:customer FILTER NOT EXISTS { ?o p:o_custkey ?c ; p:o_orderstatus "P" } }', f"SELECT {_C} AS c FROM customer WHERE c_custkey NOT IN ({_STATUS})")
+_sparql("sparql_minus_unbound", ("nation", "region"), "SELECT ?n { ?n a c:nation OPTIONAL { ?n p:n_regionkey ?r . ?r p:r_name ?l FILTER(?l < 'B') } MINUS { ?r p:r_name 'AMERICA' } }",
+        f"SELECT {_N} AS n FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'AMERICA'")
+_sparql("sparql_join_unbound", ("nation", "region"), "SELECT ?n ?r ?l { { ?n a c:nation OPTIONAL { ?n p:n_regionkey ?r FILTER(?n = <urn:nation/1>) } } { ?n p:n_name ?x . ?r p:r_name ?l FILTER(?x < 'NATION_2') } }",
+        f"SELECT {_N} AS n, {sql_subject('region')} AS r, {T('r_name')} AS l FROM nation CROSS JOIN region WHERE n_name < 'NATION_2' AND (n_nationkey <> 1 OR n_regionkey = r_regionkey)")
+_sparql("sparql_optional_exists", ("nation", "supplier"), "SELECT ?n ?l { ?n a c:nation OPTIONAL { ?n p:n_name ?l FILTER EXISTS { ?s p:s_nationkey ?n } } }",
+        f"SELECT {_N} AS n, CASE WHEN n_nationkey IN (SELECT s_nationkey FROM supplier) THEN {T('n_name')} END AS l FROM nation")
+_sparql("sparql_exists_or", ("nation", "supplier"), "SELECT ?n { ?n p:n_name ?l FILTER(EXISTS { ?s p:s_nationkey ?n } || ?l < 'NATION_15') }", f"SELECT {_N} AS n FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier) OR n_name < 'NATION_15'")
+_sparql("sparql_from_named", TABLES_OF_WORLD, "SELECT ?g ?s FROM NAMED g:region FROM NAMED g:nation { GRAPH ?g { ?s a ?t } }", f"SELECT '<urn:g:nation>' AS g, {_N} AS s FROM nation UNION ALL SELECT '<urn:g:region>', {sql_subject('region')} FROM region")
+_sparql("sparql_dataset_selection", TABLES_OF_WORLD, "SELECT ?s ?t { ?s a ?t }", f"SELECT {sql_subject('region')} AS s, '<urn:c:region>' AS t FROM region", default_graphs=["<urn:g:region>"], named_graphs=["<urn:g:region>"])
+_sparql("sparql_service_silent", ("region",), "SELECT ?s { ?s a c:region SERVICE SILENT <urn:elsewhere> { ?s ?p ?o } }", f"SELECT {sql_subject('region')} AS s FROM region")
+_sparql("sparql_custom_function", ("region",), "SELECT ?s (<urn:f:shout>(?l) AS ?x) { ?s p:r_name ?l }", f"SELECT {sql_subject('region')} AS s, '\"' || r_name || '!\"' AS x FROM region", functions={"<urn:f:shout>": lambda term: F.concat(F.substring(term, F.lit(1), F.length(term) - 1), F.lit('!"'))})
+_sparql("agg_group_concat_distinct", ("part",), "SELECT ?s (GROUP_CONCAT(DISTINCT ?b; SEPARATOR=',') AS ?all) { ?p p:p_size ?s ; p:p_brand ?b } GROUP BY ?s", f"SELECT {T('p_size')} AS s, '\"' || string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) || '\"' AS all FROM part GROUP BY p_size")
+_YES, _NO = (f"'\"{x}\"^^<{XSD}boolean>'" for x in ("true", "false"))
+_sparql("fn_tests", ("nation",), "SELECT ?n (?l NOT IN ('NATION_3', 'NATION_9') AS ?a) (SAMETERM(?l, 'NATION_9') AS ?b) (ISBLANK(?n) AS ?c) (ISLITERAL(?l) AS ?d) (ISNUMERIC(?l) AS ?e) (ISNUMERIC(1.5) AS ?f) (LANG(STRLANG(?l, 'en')) AS ?g) (LANGMATCHES('en-GB', 'en') AS ?h) { ?n p:n_name ?l }",
+        f"SELECT {_N} AS n, CASE WHEN n_name NOT IN ('NATION_3', 'NATION_9') THEN {_YES} ELSE {_NO} END AS a, CASE WHEN n_name = 'NATION_9' THEN {_YES} ELSE {_NO} END AS b, {_NO} AS c, {_YES} AS d, {_NO} AS e, {_YES} AS f, '\"en\"' AS g, {_YES} AS h FROM nation")
+_sparql("fn_constructors", ("nation",), "SELECT ?n (IRI(CONCAT('urn:x/', ?l)) AS ?i) (STRDT('5', xsd:integer) AS ?d) (ISBLANK(BNODE()) AS ?b) (STRLEN(STRUUID()) AS ?u) (STRSTARTS(STR(UUID()), 'urn:uuid:') AS ?v) (RAND() >= 0 && RAND() < 1 AS ?r) (NOW() = NOW() AS ?t) { ?n p:n_name ?l FILTER(!CONTAINS(?l, ' ')) }",
+        f"SELECT {_N} AS n, '<urn:x/' || n_name || '>' AS i, '\"5\"^^<{XSD}integer>' AS d, {_YES} AS b, 36::BIGINT AS u, {_YES} AS v, {_YES} AS r, {_YES} AS t FROM nation WHERE n_name NOT LIKE '% %'", integers("u"))
+_sparql("fn_encode", ("part",), "SELECT ?p (ENCODE_FOR_URI(CONCAT(?t, '*~é')) AS ?e) { ?p p:p_type ?t }", f"SELECT {_P} AS p, '\"' || replace(p_type, ' ', '%20') || '%2A~%C3%A9\"' AS e FROM part")
+_sparql("fn_time_zone", ("nation",), "SELECT ?n (SECONDS(?d) AS ?s) (MINUTES(?d) AS ?m) (TZ(?d) AS ?z) (TIMEZONE(?d) AS ?o) (HOURS(?d) AS ?h) { ?n a c:nation BIND('2020-02-03T04:05:06+02:00'^^xsd:dateTime AS ?d) }",
+        f"SELECT {_N} AS n, 6::BIGINT AS s, 5::BIGINT AS m, '\"+02:00\"' AS z, '\"PT2H\"^^<{XSD}dayTimeDuration>' AS o, 4::BIGINT AS h FROM nation", integers("s", "m", "h"))
+_sparql("fn_hash_lengths", ("nation",), "SELECT ?n (STRLEN(SHA1(?l)) AS ?a) (STRLEN(SHA384(?l)) AS ?b) (STRLEN(SHA512(?l)) AS ?c) { ?n p:n_name ?l }", f"SELECT {_N} AS n, 40::BIGINT AS a, 96::BIGINT AS b, 128::BIGINT AS c FROM nation", integers("a", "b", "c"))
+_sparql("fn_casts", ("part",), "SELECT ?p (xsd:string(?s) AS ?t) (xsd:double(STR(?s)) AS ?d) (xsd:decimal(?s) / 2 AS ?h) (xsd:boolean('true') AS ?b) (xsd:integer('x') AS ?bad) { ?p p:p_size ?s FILTER(?s - 1) }",
+        f"SELECT {_P} AS p, '\"' || CAST(p_size AS VARCHAR) || '\"' AS t, CAST(p_size AS DOUBLE) AS d, CAST(p_size AS DOUBLE) / 2 AS h, {_YES} AS b, NULL AS bad FROM part WHERE p_size <> 1", doubles("d", "h"))
+
+
+@register(f"WITH RECURSIVE {TREE}, r(x) AS (SELECT 100 UNION SELECT t.dst FROM r JOIN t ON t.src = r.x) SELECT count(*) > 0 AS up, FALSE AS down FROM r WHERE x = 3")
+def path_both_constant(spark, sf_dir):
+    """Whether one part lies below another, by asking for a path between two constants."""
+    tree = part_tree(spark, sf_dir)
+    one = lambda a, b: sparql(tree, f"ASK {{ <urn:part/{a}> {SUBCLASS}+ <urn:part/{b}> }}", unique=True)
+    return one(100, 3).select(F.col("ask").alias("up")).crossJoin(one(3, 100).select(F.col("ask").alias("down")))
+
+
 # -- catalog and sync
 
 
@@ -577,12 +615,6 @@ def alias_resolution(spark, sf_dir):
     return catalog.resolve_names(asked, "asked", records(spark, sf_dir), aliases).where("name IS NOT NULL").select("asked", "name")
 
 
-@register(f"WITH q AS ({sql_quads('nation')}) SELECT graph, count(*) AS n FROM q WHERE s = '<urn:none>' GROUP BY graph")
-def doctor_declarations(spark, sf_dir):
-    """Graphs with several declarations: none of the mapped ones."""
-    return catalog.declaration_counts(quads_of(spark, sf_dir, "nation")).where("n > 1").select("graph", "n")
-
-
 @register("""SELECT '<urn:nation/' || CAST(n_nationkey AS VARCHAR) || '>' AS name, '<urn:nation/' || CAST((n_nationkey + 1) % 25 AS VARCHAR) || '>' AS imports,
   'r' || CAST(n_regionkey AS VARCHAR) || '=urn:r' || CAST(n_regionkey AS VARCHAR) AS namespaces FROM nation""")
 def catalog_records(spark, sf_dir):
@@ -617,8 +649,12 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import queries_sources  # noqa: F401  (registers its own)
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import queries_sources  # noqa: F401
+
     return dict(ORACLES)

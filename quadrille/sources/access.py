@@ -52,14 +52,14 @@ class Stored:
 class Tables:
     """Tables mapped to quads.  A bound predicate reads the key and one column of the tables that have it.
 
-    Keys are taken to be unique, as declared, and a table to be mapped once:
-    then no triple stands in two rows.
+    No triple stands in two rows where all keys are unique, as declared, and
+    each table is mapped once.
     """
 
-    unique = merged = True
-
     def __init__(self, tables: Sequence[tuple[DataFrame, TableMap]], dataset: str = "db"):
         self.tables, self.dataset, self.spark = list(tables), dataset, tables[0][0].sparkSession
+        maps = [m for _, m in self.tables]
+        self.unique = self.merged = all(m.unique for m in maps) and len({m.table for m in maps}) == len(maps)
 
     def scan(self, s: str | None = None, p: str | None = None, o: str | None = None) -> DataFrame:
         if p is None:

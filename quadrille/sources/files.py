@@ -7,13 +7,16 @@ import hashlib
 import os
 import re
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.lineage import file_system
-from ..terms import iri
+from ..plans.workers import ship_code
+from ..terms import QUAD_COLUMNS, iri
 from . import jsonld, ntriples, rdfxml, turtle
 from .turtle import Parsed, RdfSyntaxError
 
@@ -88,6 +91,18 @@ def is_included(path: str, includes: Sequence[str] = (), excludes: Sequence[str]
     return not hits(excludes) and (not includes or hits(includes))
 
 
+def _glob(pattern: str) -> str:
+    """A pattern for a whole path: by the path, by its last part, or as a folder above it."""
+    folder = pattern.rstrip("/") + "/*"
+    return "|".join(f"^(?:{fnmatch.translate(p)})" for p in (pattern, "*/" + pattern, folder, "*/" + folder)).replace("\\Z", "$").replace("\\z", "$")
+
+
+def included(path: Column, includes: Sequence[str] = (), excludes: Sequence[str] = ()) -> Column:
+    """``is_included`` of a column of paths."""
+    hits = lambda patterns: reduce(lambda a, b: a | b, (path.rlike(_glob(p)) for p in patterns), F.lit(False))
+    return ~hits(excludes) & (hits(includes) if includes else F.lit(True))
+
+
 def find_files(locations: Sequence[str], includes: Sequence[str] = DEFAULT_INCLUDES, excludes: Sequence[str] = ()) -> list[str]:
     """Files below the locations that the patterns take, sorted; a location that is a file is taken as it is."""
     found = set()
@@ -129,6 +144,7 @@ def _takes(path: Column, patterns: Sequence[str]) -> Column:
 
 def parse_files(spark: SparkSession, paths: str | Sequence[str], includes: Sequence[str] = (), named_graphs: bool = False, excludes: Sequence[str] = ()) -> DataFrame:
     """``location, graph, s, p, o, error`` of files, each parsed whole by one task; a file that does not parse gives one row with its error."""
+    ship_code(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths if isinstance(paths, str) else list(paths))
     files = files.where(_takes(F.col("path"), includes))
     if excludes:
@@ -191,7 +207,9 @@ def read_quads(spark: SparkSession, paths: str | Sequence[str], includes: Sequen
 def to_frame(spark: SparkSession, parsed: Parsed, graph: str, dataset: str = "memory") -> DataFrame:
     """Parsed statements as quads of a graph."""
     rows = sorted({(dataset, g or graph, s, p, o) for g, s, p, o in parsed.statements})
-    return spark.createDataFrame(rows, "dataset string, graph string, s string, p string, o string")
+    # from Arrow it is a local relation, whose size the optimizer knows
+    columns = {name: pa.array([r[k] for r in rows], pa.string()) for k, name in enumerate(QUAD_COLUMNS)}
+    return spark.createDataFrame(pa.table(columns))
 
 
 #: Media types of the formats, most welcome first.

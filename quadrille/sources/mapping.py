@@ -19,10 +19,13 @@ from ..terms import TYPE, XSD, iri, iri_of, literal_of
 
 @dataclass(frozen=True)
 class TableMap:
+    """``unique``: whether no two rows of the table have one key."""
+
     table: str
     key: tuple[str, ...]
     values: tuple[str, ...] = ()
     refers: dict[str, str] = field(default_factory=dict)
+    unique: bool = True
 
 
 def subject(table: str, *key: Column) -> Column:

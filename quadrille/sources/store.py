@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import scan as scans
-from ..terms import QUAD_COLUMNS, QUAD_SCHEMA
+from ..terms import ONTOLOGY, QUAD_COLUMNS, QUAD_SCHEMA, TYPE
 
 POINTER = "version-"
 ORDERS = (("s", "p", "o"), ("p", "o", "s"))
@@ -205,6 +205,15 @@ class Store:
         old = self._quads(manifest, "".join(manifest["orders"][0]), touched)
         self._publish(old.where(~F.col("graph").isin(*names)).unionByName(rows), manifest, touched)
 
+    def write_graph(self, triples: DataFrame, name: str | None = None, dataset: str = "graph") -> str:
+        """Store triples as one graph, named as given or by the least ontology that they declare; returns the name."""
+        if name is None:
+            name = triples.where((F.col("p") == TYPE) & (F.col("o") == ONTOLOGY)).agg(F.min("s")).first()[0]
+            if name is None:
+                raise ValueError("the triples declare no ontology, so the graph needs a name")
+        self.replace_graphs(triples.select(F.lit(dataset).alias("dataset"), F.lit(name).alias("graph"), "s", "p", "o"), [name])
+        return name
+
     def remove_graph(self, name: str) -> None:
         self.replace_graphs(self.spark.createDataFrame([], QUAD_SCHEMA), [name])
 

@@ -111,7 +111,8 @@ class Compiler:
     def graph_names(self) -> DataFrame:
         return self.read(A.Var("g"))[0].select("graph").distinct()
 
-    def scan(self, t: A.Triple, graph: A.Node | None) -> Rel:
+    def scan(self, t: A.Triple, graph: A.Node | None, by: str | None = None) -> Rel:
+        """Solutions of a pattern.  ``by``: the variable that they are joined by next; where they must be made distinct, one shuffle by it serves both."""
         places = list(zip(["s", "p", "o"], (t.s, t.p, t.o), strict=True))
         df, extra, repeats = self.read(graph, **{place: node for place, node in places if isinstance(node, str)})
         if extra:
@@ -127,7 +128,7 @@ class Compiler:
                 seen[node.name] = place
         df = df.select(*(F.col(place).alias(column_of(name)) for name, place in seen.items()))
         if repeats:
-            df = df.distinct() if seen else df.limit(1)
+            df = (df.repartition(column_of(by)) if by in seen else df).distinct() if seen else df.limit(1)
         return Rel(df, dict.fromkeys(seen, False))
 
     def one(self) -> Rel:
@@ -143,11 +144,14 @@ class Compiler:
         left = list(triples)
         names = lambda t: {n.name for n in (t.s, t.p, t.o) if isinstance(n, A.Var)}
         weight = lambda t: sum(w for w, n in ((4, t.s), (1, t.p), (3, t.o)) if isinstance(n, str))
+        # several patterns about one subject meet by it
+        subjects = [t.s.name for t in triples if isinstance(t.s, A.Var)]
+        star = lambda t: t.s.name if isinstance(t.s, A.Var) and subjects.count(t.s.name) > 1 else None
         out, bound = None, set()
         while left:
             best = max(left, key=lambda t: (bool(names(t) & bound), weight(t)))
             left.remove(best)
-            rel = self.scan(best, graph)
+            rel = self.scan(best, graph, star(best))
             out = rel if out is None else self.join(out, rel)
             bound |= names(best)
         return out

@@ -14,6 +14,8 @@ from .sources.ntriples import to_text
 from .sparql.compiler import query
 
 SPO = ["s", "p", "o"]
+#: The context that stands for triples outside of all named graphs, of which a view has none.
+DEFAULT_GRAPH = "default"
 
 
 class View:
@@ -31,8 +33,11 @@ class View:
             return self.quads.select("graph", *SPO).distinct().select(*SPO)
         return scan.matching(self.quads, s, p, o).select(*SPO).distinct()
 
-    def grouped(self, s: str | None = None, p: str | None = None, o: str | None = None) -> DataFrame:
-        return scan.grouped_scan(self.quads, s, p, o)
+    def grouped(self, s: str | None = None, p: str | None = None, o: str | None = None, context: str | None = None) -> DataFrame:
+        """``s, p, o, graphs``: matches with the graphs that hold them, of all graphs or of one; the default graph holds nothing of its own."""
+        if context == DEFAULT_GRAPH:
+            return scan.grouped_scan(self.quads.limit(0), s, p, o)
+        return scan.grouped_scan(self.quads, s, p, o, None if context is None else [context])
 
     def contexts(self, triple: tuple[str | None, str | None, str | None] | None = None) -> DataFrame:
         return scan.contexts(self.quads, triple)
