@@ -228,7 +228,7 @@ def held_out_fold(id_column: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def keep_known(docs: DataFrame, min_lead: float = 0.1, min_chars: int = 200, min_sample: int = 2048) -> DataFrame:
+def keep_known(docs: DataFrame, min_lead: float = 0.4, min_chars: int = 200, min_sample: int = 2048) -> DataFrame:
     """The rows, with all their columns, less those whose language is unknown or wrongly given.
 
     A text that is null or without letters goes.  Where a row's ``lang`` is a

@@ -6,6 +6,11 @@ line that stands in more than ``min_docs`` documents and in more than
 ``max_percent`` per cent of its host's documents is boilerplate: it is removed
 from all of them, and a document left with too small a share of its characters
 is rejected.  Both limits are alike at every size of the table.
+
+Frequent lines are few, since each takes a share of its host's documents.  Up to
+``FEW`` of them each host's are broadcast, and documents are judged where they
+are read; beyond, the lines of documents meet them in a shuffle, and documents
+those of their lines that are frequent.
 """
 
 from __future__ import annotations
@@ -23,6 +28,8 @@ WINDOW = 8
 #: Limits of the rules: see ``judge``.
 MIN_DOCS, MAX_PERCENT = 5, 8
 MIN_WORDS, MAX_REPEAT_PERCENT, MIN_LEFT_PERCENT = 20, 30, 20
+#: Frequent lines up to which they are broadcast, as 64-bit hashes.
+FEW = 1 << 17
 #: A line is hot where its documents are more than this part of what a task gets on average.
 HOT = 0.25
 
@@ -77,20 +84,24 @@ def features(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """The rows with ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words``."""
     text = F.coalesce(F.col(text_column), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, BLANKS, "")) > 0)
+    words, hashes = F.col(f"{INTERNAL}words"), F.col(f"{INTERNAL}lines")
     first = docs.withColumns({f"{INTERNAL}words": words_of(text), f"{INTERNAL}lines": F.transform(lines, lambda x: F.xxhash64(x))})
-    words = F.col(f"{INTERNAL}words")
     second = first.withColumns(
         {
             "n_words": F.size(words).cast("long"),
-            "word_chars": F.length(F.translate(text, BLANKS, "")).cast("long"),
+            "word_chars": word_chars(text),
             "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
-            "n_dup_lines": let(F.col(f"{INTERNAL}lines"), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
+            "n_dup_lines": let(hashes, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
             "n_repeat_words": let(words, lambda w: repeat_words(window_hashes(w))),
         }
     )
     return second.drop(f"{INTERNAL}words", f"{INTERNAL}lines")
 
 
+def word_chars(text: Column) -> Column:
+    return F.length(F.translate(text, BLANKS, "")).cast("long")
+
+
 def normal_line(line: Column) -> Column:
     """A line without its blanks, in lower case."""
     return F.lower(F.translate(line, BLANKS.replace("\n", ""), ""))
@@ -114,7 +125,7 @@ def host_lines(docs: DataFrame, id_column: str, text_column: str, host_column: s
 
 
 def frequent_lines(lines: DataFrame, docs_of_host: DataFrame, min_docs: int, max_percent: float) -> DataFrame:
-    """``line, n_docs`` of the lines above the limits.
+    """``host, line, n_docs`` of the lines above the limits.
 
     Documents are told apart by their ids; all rows without an id count as one
     document.  The pairs of line and document are made distinct first, so no
@@ -122,45 +133,62 @@ def frequent_lines(lines: DataFrame, docs_of_host: DataFrame, min_docs: int, max
     """
     pairs = lines.groupBy("line", "doc_id").agg(F.min("host").alias("host"))
     counted = pairs.groupBy("line").agg(F.count(F.lit(1)).alias("n_docs"), F.min("host").alias("host")).where(F.col("n_docs") > min_docs)
-    return counted.join(docs_of_host, "host").where(100 * F.col("n_docs") > max_percent * F.col("host_docs")).select("line", "n_docs")
+    return counted.join(docs_of_host, "host").where(100 * F.col("n_docs") > max_percent * F.col("host_docs")).select("host", "line", "n_docs")
 
 
-def lost_lines(docs: DataFrame, id_column: str, text_column: str, host_column: str, min_docs: int, max_percent: float) -> DataFrame:
-    """``doc_id, row, removed_chars, gone`` of the documents that hold frequent lines; ``gone`` are the hashes of these.
+def lines_of_rows(lines: DataFrame, frequent: DataFrame) -> DataFrame:
+    """``doc_id, row, gone`` of the documents that hold frequent lines; ``gone`` are the hashes of these.
 
     Rows that hold a hot line, of which there are few by their definition, are
     dealt over as many copies of it as its documents fill tasks; the others
-    meet theirs by a plain join.  The table is written.
+    meet theirs by a plain join.
     """
-    spark = docs.sparkSession
-    lines = written(host_lines(docs, id_column, text_column, host_column), "lines")
-    of_host = docs.select(F.xxhash64(F.col(host_column)).alias("host"), F.col(id_column).alias("doc_id")).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
-    frequent = written(frequent_lines(lines, of_host, min_docs, max_percent), "frequent")
-    most, total = frequent.agg(F.max("n_docs"), F.lit(0)).first()[0] or 0, lines.count()
+    spark = lines.sparkSession
+    most, total = frequent.agg(F.max("n_docs")).first()[0] or 0, lines.count()
     per_task = max(1, int(HOT * total / int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    hit = lines.join(frequent.where(F.col("n_docs") <= per_task).select("line"), "line").select(*lines.columns)
+    columns = ["doc_id", "row", "line"]
+    hit = lines.join(frequent.where(F.col("n_docs") <= per_task).select("line"), "line").select(*columns)
     if most > per_task:
         salts = -(-most // per_task)
         hot = frequent.where(F.col("n_docs") > per_task).select("line", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
         salted = lines.withColumn("salt", F.pmod(F.xxhash64("doc_id", "row", "pos"), F.lit(salts)).cast("int"))
-        hit = hit.unionByName(salted.join(hot, ["line", "salt"]).select(*lines.columns))
-    # rows that repeat an id with its text count once
-    once = hit.groupBy("doc_id", "row", "pos").agg(F.max("chars").alias("chars"), F.max("line").alias("line"))
-    lost = written(once.groupBy("doc_id", "row").agg(F.sum("chars").cast("long").alias("removed_chars"), F.collect_set("line").alias("gone")), "lost")
+        hit = hit.unionByName(salted.join(hot, ["line", "salt"]).select(*columns))
+    return hit.groupBy("doc_id", "row").agg(F.collect_set("line").alias("gone"))
+
+
+GONE = f"{INTERNAL}gone"
+
+
+def with_frequent(docs: DataFrame, id_column: str, text_column: str, host_column: str, min_docs: int, max_percent: float) -> DataFrame:
+    """The rows with the hashes of frequent lines, of their host or of their own, or null."""
+    lines = written(host_lines(docs, id_column, text_column, host_column), "lines")
+    host = F.xxhash64(F.col(host_column))
+    of_host = docs.select(host.alias("host"), F.col(id_column).alias("doc_id")).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
+    frequent = written(frequent_lines(lines, of_host, min_docs, max_percent), "frequent")
+    at, key = f"{INTERNAL}host", f"{INTERNAL}row"
+    if frequent.count() <= FEW:
+        by_host = written(frequent.groupBy(F.col("host").alias(at)).agg(F.collect_set("line").alias(GONE)), "by-host")
+        out = docs.join(F.broadcast(by_host), host == F.col(at), "left").drop(at)
+    else:
+        own = written(lines_of_rows(lines, frequent).select(F.col("doc_id").alias(at), F.col("row").alias(key), F.col("gone").alias(GONE)), "gone")
+        out = docs.join(own, F.col(id_column).eqNullSafe(F.col(at)) & (row_hash(text_column, host_column) == F.col(key)), "left").drop(at, key)
     drop_written(lines, frequent)
-    return lost
+    return out
 
 
-def without_lines(text: Column, host: Column, gone: Column) -> Column:
-    """The text less the lines whose hashes are ``gone``."""
-    left = lambda x: (F.length(F.translate(x, BLANKS, "")) == 0) | ~F.array_contains(gone, line_hash(host, x))
-    return F.array_join(F.filter(F.split(text, "\n"), left), "\n")
+def removed_chars(text: Column, host: Column) -> Column:
+    """Code points in words of the lines that go."""
+    lines = F.split(F.translate(text, BLANKS.replace("\n", ""), ""), "\n")
+    gone = F.filter(lines, lambda x: F.array_contains(F.col(GONE), line_hash(host, x)))
+    return F.when(F.col(GONE).isNull() | text.isNull(), F.lit(0)).otherwise(F.aggregate(gone, F.lit(0), lambda n, x: n + F.length(x))).cast("long")
 
 
-def verdict(removed: Column, min_words: int, max_repeat_percent: int, min_left_percent: int) -> tuple[Column, Column]:
-    """Whether the base rules fail, and whether too little is left, from the features and the removed code points."""
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    return failed, 100 * (F.col("word_chars") - removed) < min_left_percent * F.col("word_chars")
+def without_lines(text: Column, host: Column) -> Column:
+    """The text less the lines that go."""
+    left = lambda x: (F.length(F.translate(x, BLANKS, "")) == 0) | ~F.array_contains(F.col(GONE), line_hash(host, x))
+    lines = F.split(text, "\n")
+    # a text that keeps all its lines is handed on as it is
+    return F.when(F.col(GONE).isNull(), text).otherwise(let(lines, lambda x: F.array_join(F.filter(x, left), "\n")))
 
 
 def judge(
@@ -192,15 +220,12 @@ def judge(
     but those named like a result are replaced.  An empty table gives no rows.
     """
     results = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_chars", "base_failed", "kept", "clean_text"]
-    base = features(docs.drop(*(c for c in results if c in docs.columns)), text_column).withColumn(f"{INTERNAL}row", row_hash(text_column, host_column))
-    lost = lost_lines(docs, id_column, text_column, host_column, min_docs, max_percent).select(F.col("doc_id").alias(f"{INTERNAL}lost_id"), F.col("row").alias(f"{INTERNAL}lost_row"), "removed_chars", F.col("gone").alias(f"{INTERNAL}gone"))
-    joined = base.join(lost, F.col(id_column).eqNullSafe(F.col(f"{INTERNAL}lost_id")) & (F.col(f"{INTERNAL}row") == F.col(f"{INTERNAL}lost_row")), "left")
-    removed = F.coalesce(F.col("removed_chars"), F.lit(0)).cast("long")
-    failed, depleted = verdict(removed, min_words, max_repeat_percent, min_left_percent)
-    gone, text = F.col(f"{INTERNAL}gone"), F.col(text_column)
-    clean = F.when(gone.isNull(), text).otherwise(without_lines(text, F.col(host_column), gone))
-    out = joined.withColumns({"removed_chars": removed, "base_failed": failed, "kept": ~failed & ~depleted, "clean_text": clean})
-    return out.drop(f"{INTERNAL}row", f"{INTERNAL}lost_id", f"{INTERNAL}lost_row", f"{INTERNAL}gone")
+    rows = with_frequent(docs.drop(*(c for c in results if c in docs.columns)), id_column, text_column, host_column, min_docs, max_percent)
+    text, host = F.col(text_column), F.col(host_column)
+    base = features(rows, text_column).withColumn("removed_chars", removed_chars(text, host))
+    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
+    depleted = 100 * (F.col("word_chars") - F.col("removed_chars")) < min_left_percent * F.col("word_chars")
+    return base.withColumns({"base_failed": failed, "kept": ~failed & ~depleted, "clean_text": without_lines(text, host)}).drop(GONE)
 
 
 def keep_good(
@@ -210,21 +235,15 @@ def keep_good(
     """The rows that ``judge`` keeps, with all their columns, frequent lines of their host removed from the text.
 
     ``chars_column``, where there is one, holds the length of the text and
-    follows it.  Verdicts are written without the texts, for those rows alone
-    that go or lose lines, before they meet the rows: a filter on them would
-    otherwise be pushed below the features and repeat them.
+    follows it.  The verdict is one expression that cuts a text into words
+    once, wherever the optimizer evaluates it.
     """
-    kept, row, gone, lost_id, lost_row = (f"{INTERNAL}{c}" for c in ("kept", "row", "gone", "judged_id", "judged_row"))
-    inner = docs.select(id_column, text_column, host_column)
-    judged = features(inner, text_column).select(F.col(id_column).alias(lost_id), row_hash(text_column, host_column).alias(lost_row), "n_words", "word_chars", "n_repeat_words")
-    lost = lost_lines(inner, id_column, text_column, host_column, min_docs, max_percent)
-    joined = judged.join(lost, F.col("doc_id").eqNullSafe(F.col(lost_id)) & (F.col("row") == F.col(lost_row)), "left")
-    failed, depleted = verdict(F.coalesce("removed_chars", F.lit(0)), min_words, max_repeat_percent, min_left_percent)
-    verdicts = written(joined.groupBy(lost_id, lost_row).agg(F.first(~failed & ~depleted).alias(kept), F.first("gone").alias(gone)).where(~F.col(kept) | F.col(gone).isNotNull()), "verdicts")
-    drop_written(lost)
-    met = docs.withColumn(row, row_hash(text_column, host_column)).join(verdicts, F.col(id_column).eqNullSafe(F.col(lost_id)) & (F.col(row) == F.col(lost_row)), "left")
-    left = met.where(F.coalesce(kept, F.lit(True)))
-    changed = {text_column: F.when(F.col(gone).isNull(), F.col(text_column)).otherwise(without_lines(F.col(text_column), F.col(host_column), F.col(gone)))}
+    rows = with_frequent(docs, id_column, text_column, host_column, min_docs, max_percent)
+    text, host = F.coalesce(F.col(text_column), F.lit("")), F.col(host_column)
+    failed = let(words_of(text), lambda w: (F.size(w) < min_words) | (100 * repeat_words(window_hashes(w)) > max_repeat_percent * F.size(w)))
+    depleted = F.col(GONE).isNotNull() & let(word_chars(text), lambda n: 100 * (n - removed_chars(F.col(text_column), host)) < min_left_percent * n)
+    changed = {text_column: without_lines(F.col(text_column), host)}
     if chars_column:
-        changed[chars_column] = F.when(F.col(gone).isNull(), F.col(chars_column)).otherwise(F.length(changed[text_column])).cast(docs.schema[chars_column].dataType)
-    return left.withColumns(changed).select(*docs.columns)
+        length = F.length(changed[text_column]).cast(docs.schema[chars_column].dataType)
+        changed[chars_column] = F.when(F.col(GONE).isNull() | (length == F.length(F.col(text_column))), F.col(chars_column)).otherwise(length)
+    return rows.where(~failed & ~depleted).withColumns(changed).select(*docs.columns)

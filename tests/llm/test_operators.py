@@ -560,15 +560,20 @@ def test_frequent_lines_go_from_all_documents_of_the_host(spark):
     assert quality_rules.judge(table, max_percent=10).where("removed_chars > 0").count() == 8
 
 
-def test_hot_lines_are_dealt_over_tasks(spark, monkeypatch):
-    """The removed characters are the same whether a line is hot or not."""
+def test_frequent_lines_by_broadcast_and_by_shuffle(spark, odd, monkeypatch):
+    """The result is the same whether hosts' lines are broadcast or met in a shuffle, and there whether a line is hot or not."""
     rows = [(k, "one common line\n" + ("second line here\n" if k % 3 == 0 else "") + " ".join(f"w{k}_{j}" for j in range(25)), "h") for k in range(200)]
+    rows += [(7, rows[7][1], "h"), (None, rows[9][1], "h"), (300, rows[0][1], "other"), (301, None, "h")]
     table = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    plain = found(quality_rules.judge(table), "doc_id", "removed_chars")
-    assert sorted({n for _, n in plain}) == [13, 27]
-    for part in (1e-9, 1e9):
+    judged = lambda: found(quality_rules.judge(table), "doc_id", "removed_chars", "clean_text", "kept")
+    kept = lambda: found(quality_rules.keep_good(table), "doc_id", "text")
+    plain = judged(), kept()
+    assert sorted({k[1] for k in plain[0]}) == [0, 13, 27]
+    monkeypatch.setattr(quality_rules, "FEW", -1)
+    for part in (1e-9, 0.25, 1e9):
         monkeypatch.setattr(quality_rules, "HOT", part)
-        assert found(quality_rules.judge(table), "doc_id", "removed_chars") == plain
+        assert (judged(), kept()) == plain
+    assert quality_rules.keep_good(odd).columns == odd.columns
 
 
 def test_frequent_lines_stand_in_the_small_table(small):
