@@ -22,6 +22,7 @@ from . import terms
 from .operators import catalog, sync, union
 from .operators.catalog import VERSION_PROPERTIES
 from .plans.lineage import checkpointed, file_system
+from .plans.local import local_frame
 from .sources import files
 from .sources.store import ReadOnlyError, Store, StoreConflict
 from .sources.turtle import Parsed
@@ -146,11 +147,11 @@ class MemoryGraphs:
         return sorted(self.frames)
 
     def get_graph(self, name: str) -> DataFrame:
-        return self.frames.get(name, self.spark.createDataFrame([], QUAD_SCHEMA))
+        return self.frames.get(name, local_frame(self.spark, [], QUAD_SCHEMA))
 
     def quads(self) -> DataFrame:
         if self._all is None:
-            out = self.spark.createDataFrame([], QUAD_SCHEMA)
+            out = local_frame(self.spark, [], QUAD_SCHEMA)
             for frame in self.frames.values():
                 out = out.unionByName(frame)
             self._all = checkpointed(out.coalesce(8)) if len(self.frames) > self.FEW else out
@@ -179,7 +180,7 @@ class StoredGraphs:
                 self._publish(waiting)
 
     def _publish(self, changes: dict[str, DataFrame]) -> None:
-        quads = self.store.spark.createDataFrame([], QUAD_SCHEMA)
+        quads = local_frame(self.store.spark, [], QUAD_SCHEMA)
         for frame in changes.values():
             quads = quads.unionByName(frame)
         try:
@@ -195,7 +196,7 @@ class StoredGraphs:
             self._publish({name: quads})
 
     def remove_graph(self, name: str) -> None:
-        self.add_graph(name, self.store.spark.createDataFrame([], QUAD_SCHEMA))
+        self.add_graph(name, local_frame(self.store.spark, [], QUAD_SCHEMA))
 
     def graph_ids(self) -> list[str]:
         names = {r["graph"] for r in self.store.graphs().select("graph").distinct().collect()}
@@ -419,7 +420,7 @@ class Environment:
             about += [(IMPORTS, iri(i)) for i in r.imports] + [(iri(p), v) for p, v in r.version_properties.items()]
             rows += [("catalog", iri("urn:quadrille:catalog"), r.graph, p, o) for p, o in about]
         rows += [("catalog", iri("urn:quadrille:catalog"), iri(a), iri(DCTERMS + "isReplacedBy"), iri(n)) for a, n in self.aliases.items()]
-        return self.spark.createDataFrame(rows, QUAD_SCHEMA)
+        return local_frame(self.spark, rows, QUAD_SCHEMA)
 
     close = flush
 
@@ -564,7 +565,7 @@ class Environment:
         if not hasattr(self.graphs, "graph_revisions"):
             raise CapabilityError("the graph store gives no revisions")
         now = self.graphs.graph_revisions()
-        frame = lambda d: self.spark.createDataFrame(list(d.items()), "graph string, revision string")
+        frame = lambda d: local_frame(self.spark, list(d.items()), "graph string, revision string")
         out = sync.report(frame(self.revisions), frame(now), graphs, full)
         for name in out.removed:
             for key in [k for k, r in self.records.items() if r.graph == name]:
@@ -834,7 +835,7 @@ class Environment:
             root = iri(graph_name)
             merged = union.declare_root(union.collapse_declarations(union.consolidate_prefixes(merged, root), root), root)
         elif names:
-            declared = self.spark.createDataFrame([(iri(n), TYPE, ONTOLOGY) for n in names], "s string, p string, o string")
+            declared = local_frame(self.spark, [(iri(n), TYPE, ONTOLOGY) for n in names], "s string, p string, o string")
             merged = merged.unionByName(declared).distinct()
         return merged, names
 

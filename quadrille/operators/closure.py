@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import checkpointed
+from ..plans.local import local_frame
 from ..terms import IMPORTS, is_iri
 
 #: Rows of a frontier, and of all found, up to which the driver holds them, and the round from which on edges are read from a copy of their columns.
@@ -53,11 +54,11 @@ def reachable(edges: DataFrame, seeds: DataFrame, depth: int = -1, keys: Sequenc
     live, step = list(held), 0
     while len(live) <= FRONTIER and len(held) <= FOUND:
         if not live or step == depth:
-            return spark.createDataFrame([(*row, d) for row, d in held.items()], schema + ", depth int")
+            return local_frame(spark, [(*row, d) for row, d in held.items()], schema + ", depth int")
         step += 1
         if step == COPY_FROM:
             edges = checkpointed(edges)
-        new = _step(edges, spark.createDataFrame(live, schema), keys, small=True).limit(FRONTIER + FOUND + 1).collect()
+        new = _step(edges, local_frame(spark, live, schema), keys, small=True).limit(FRONTIER + FOUND + 1).collect()
         live = [tuple(r) for r in new if tuple(r) not in held]
         if len(new) > FRONTIER + FOUND:
             # too many to tell the new ones apart here: the round is done again, distributed
@@ -69,8 +70,8 @@ def reachable(edges: DataFrame, seeds: DataFrame, depth: int = -1, keys: Sequenc
         found = checkpointed(seeds.select(*keys, "seed").distinct().withColumns({"node": F.col("seed"), "depth": F.lit(0)}))
         frontier = found
     else:
-        found = spark.createDataFrame([(*row, d) for row, d in held.items()], schema + ", depth int")
-        frontier = spark.createDataFrame([(*row, step) for row in live], schema + ", depth int")
+        found = local_frame(spark, [(*row, d) for row, d in held.items()], schema + ", depth int")
+        frontier = local_frame(spark, [(*row, step) for row in live], schema + ", depth int")
     edges = checkpointed(edges.distinct())
     while step != depth and not frontier.isEmpty():
         step += 1
@@ -112,7 +113,7 @@ def declared_imports(quads: DataFrame) -> DataFrame:
 def import_closure(edges: DataFrame, root: str, depth: int = -1) -> DataFrame:
     """``node, depth``: the root first, then what it imports; siblings in order of name."""
     spark = edges.sparkSession
-    seeds = spark.createDataFrame([(root,)], "seed string")
+    seeds = local_frame(spark, [(root,)], "seed string")
     return reachable(edges, seeds, depth).select("node", "depth").orderBy("depth", "node")
 
 
@@ -137,7 +138,7 @@ def import_paths(edges: DataFrame, target: str, present: bool = True) -> DataFra
     """
     edges = checkpointed(edges.select("src", "dst").distinct())
     if present:
-        live = edges.sparkSession.createDataFrame([([target],)], "path array<string>")
+        live = local_frame(edges.sparkSession, [([target],)], "path array<string>")
     else:
         live = importers(edges, target).select(F.array("node").alias("path"))
         edges = checkpointed(edges.where(F.col("dst") != target))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.local import local_frame
 from ..terms import DECLARE, IMPORTS, NAMESPACE, ONTOLOGY, PREFIX, PREFIXES, TYPE, VERSION_IRI, is_iri, is_literal, text_of
 
 SPO = ["s", "p", "o"]
@@ -36,7 +37,7 @@ def collapse_declarations(triples: DataFrame, root: str) -> DataFrame:
 
 
 def declare_root(triples: DataFrame, root: str) -> DataFrame:
-    row = triples.sparkSession.createDataFrame([(root, TYPE, ONTOLOGY)], "s string, p string, o string")
+    row = local_frame(triples.sparkSession, [(root, TYPE, ONTOLOGY)], "s string, p string, o string")
     return triples.select(*SPO).unionByName(row).distinct()
 
 
@@ -110,7 +111,7 @@ def import_graph(quads: DataFrame, members: Sequence[str], root: str) -> DataFra
     others = [m for m in members if m != root]
     if not others:
         return flat.distinct()
-    imports = quads.sparkSession.createDataFrame([(root, IMPORTS, m) for m in others], "s string, p string, o string")
+    imports = local_frame(quads.sparkSession, [(root, IMPORTS, m) for m in others], "s string, p string, o string")
     return flat.unionByName(imports).distinct()
 
 
@@ -121,7 +122,7 @@ def import_into(destination: DataFrame, quads: DataFrame, members: Sequence[str]
     declared = destination.where((F.col("p") == IMPORTS) & is_iri(F.col("o"))).select("o")
     merged = destination.select(*SPO).unionByName(import_graph(quads, members, root)).distinct()
     flat = collapse_declarations(strip_imports(consolidate_prefixes(merged, root)), root)
-    targets = declared.unionByName(quads.sparkSession.createDataFrame([(m,) for m in members], "o string")).where(F.col("o") != root).distinct()
+    targets = declared.unionByName(local_frame(quads.sparkSession, [(m,) for m in members], "o string")).where(F.col("o") != root).distinct()
     return flat.unionByName(targets.select(F.lit(root).alias("s"), F.lit(IMPORTS).alias("p"), "o")).distinct()
 
 

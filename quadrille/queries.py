@@ -186,8 +186,9 @@ def enumerate_graphs(spark, sf_dir):
 
 def sales_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders to customers to nations to regions."""
-    quads = quads_of(spark, sf_dir, "orders", "customer", "nation")
-    return quads.where(F.col("p").isin("<urn:p:o_custkey>", "<urn:p:c_nationkey>", "<urn:p:n_regionkey>")).select(F.col("s").alias("src"), F.col("o").alias("dst"))
+    source = tables_of(spark, sf_dir, "orders", "customer", "nation")
+    quads = reduce(DataFrame.unionByName, (source.scan(p=f"<urn:p:{c}>") for c in ("o_custkey", "c_nationkey", "n_regionkey")))
+    return quads.select(F.col("s").alias("src"), F.col("o").alias("dst"))
 
 
 SALES = f"""e(src, dst) AS (

@@ -14,6 +14,7 @@ from typing import Protocol
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.scan import matching
+from ..plans.local import local_frame
 from ..terms import QUAD_SCHEMA
 from .mapping import TableMap, predicates_of, to_quads, triples_of
 from .store import Store
@@ -67,7 +68,7 @@ class Tables:
         else:
             found = [triples_of(df, m, p, self.dataset) for df, m in self.tables if p in predicates_of(m)]
         if not found:
-            return self.spark.createDataFrame([], QUAD_SCHEMA)
+            return local_frame(self.spark, [], QUAD_SCHEMA)
         return matching(reduce(DataFrame.unionByName, found), s, None, o)
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.lineage import file_system
+from ..plans.local import local_frame
 from ..plans.workers import ship_code
 from ..terms import QUAD_COLUMNS, iri
 from . import jsonld, ntriples, rdfxml, turtle
@@ -128,7 +129,7 @@ def list_files(spark: SparkSession, locations: Sequence[str], includes: Sequence
             path = status.getPath().toString()
             if single or is_included(path.removeprefix("file:"), includes, excludes):
                 found[path] = (path, status.getModificationTime(), status.getLen())
-    return spark.createDataFrame(sorted(found.values()), "location string, modified long, size long")
+    return local_frame(spark, sorted(found.values()), "location string, modified long, size long")
 
 
 STATEMENTS = "location string, graph string, s string, p string, o string, error string"

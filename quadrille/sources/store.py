@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import scan as scans
+from ..plans.local import local_frame
 from ..terms import ONTOLOGY, QUAD_COLUMNS, QUAD_SCHEMA, TYPE
 
 POINTER = "version-"
@@ -119,12 +120,12 @@ class Store:
         return F.pmod(F.xxhash64(graph), F.lit(buckets)).cast("int")
 
     def _buckets_of(self, names: Sequence[str], buckets: int) -> set[str]:
-        rows = self.spark.createDataFrame([(n,) for n in names], "graph string").select(self._bucket(F.col("graph"), buckets).alias("b")).distinct().collect()
+        rows = local_frame(self.spark, [(n,) for n in names], "graph string").select(self._bucket(F.col("graph"), buckets).alias("b")).distinct().collect()
         return {str(r["b"]) for r in rows}
 
     def _table(self, schema: str, folders: list[str]) -> DataFrame:
         if not folders:
-            return self.spark.createDataFrame([], schema)
+            return local_frame(self.spark, [], schema)
         return self.spark.read.schema(schema).parquet(*(f"{self.path}/{f}" for f in folders))
 
     def _quads(self, manifest: dict, order: str, buckets: set[str] | None = None) -> DataFrame:
@@ -215,7 +216,7 @@ class Store:
         return name
 
     def remove_graph(self, name: str) -> None:
-        self.replace_graphs(self.spark.createDataFrame([], QUAD_SCHEMA), [name])
+        self.replace_graphs(local_frame(self.spark, [], QUAD_SCHEMA), [name])
 
     def graphs(self) -> DataFrame:
         """``dataset, graph, n_triples, revision``, as stored with the quads: the revision is a hash of the triples, whatever their order."""

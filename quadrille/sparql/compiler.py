@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from ..functions.builtins import BUILTINS, cast, is_in
 from ..functions.values import DECIMAL, EXACT, INTEGER, Number, Term, Text, Truth, Value, arithmetic, compare, fixed, integer, let, number, number_of, order_key, term_of, text, text_value, truth_of
 from ..operators import closure
+from ..plans.local import local_frame
 from ..sources.access import Source, source_of
 from ..terms import XSD, is_blank, is_iri, is_literal
 from . import algebra as A
@@ -220,7 +221,7 @@ class Compiler:
         first = edges.where(F.col("src") == term).select(F.col("dst").alias("seed")).distinct()
         found = closure.reachable(edges, first).select("node").distinct() if path.many else first.select(F.col("seed").alias("node"))
         if path.zero:
-            found = found.unionByName(self.spark.createDataFrame([(term,)], "node string")).distinct()
+            found = found.unionByName(local_frame(self.spark, [(term,)], "node string")).distinct()
         other = "dst" if end == "src" else "src"
         return found.select(F.lit(term).alias(end), F.col("node").alias(other)).select("src", "dst")
 
@@ -553,7 +554,7 @@ class Compiler:
             return Rel(self.spark.range(len(p.rows)).select(), {})
         schema = ", ".join(f"`{column_of(n)}` string" for n in p.names)
         names = {n: any(row[k] is None for row in p.rows) for k, n in enumerate(p.names)}
-        return Rel(self.spark.createDataFrame([tuple(r) for r in p.rows], schema), names)
+        return Rel(local_frame(self.spark, [tuple(r) for r in p.rows], schema), names)
 
     # -- query forms
 
@@ -576,7 +577,7 @@ class Compiler:
     def describe(self, nodes: Sequence[A.Node], rel: Rel) -> DataFrame:
         """All triples of the resources, and of the blank nodes that these lead to."""
         fixed = [n for n in nodes if isinstance(n, str)]
-        found = self.spark.createDataFrame([(n,) for n in fixed], "seed string")
+        found = local_frame(self.spark, [(n,) for n in fixed], "seed string")
         for n in nodes:
             if isinstance(n, A.Var):
                 found = found.unionByName(rel.df.select(rel.column(n.name).alias("seed")))
