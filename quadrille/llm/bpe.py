@@ -3,17 +3,20 @@
 A byte-pair tokenizer first cuts a text into pre-tokens and merges within each
 of them, so the tokens of a text are those of its pre-tokens one after
 another.  Cutting is done here with a pattern of the standard library; it
-equals the tokenizer's own for texts made of the characters in ``PLAIN``.  Any
-other text, and any that holds the string of an added token, goes to the
-tokenizer whole.
+equals the tokenizer's own for texts made of the characters in ``PLAIN_RANGES``.
+Other texts are first cut before blanks that follow a visible ASCII character,
+where a pre-token ends in any case; the pieces with other characters go to the
+tokenizer, as does the whole of a text that holds the string of an added token.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 import struct
 import unicodedata
+from collections.abc import Iterator
 
 from tokenizers import Tokenizer
 
@@ -44,6 +47,10 @@ def word_cutter() -> re.Pattern:
     return re.compile(rf"[{letter}]+|[{digit}]|'(?:[stmd]|re|ve|ll)|[^{blank}{letter}{digit}]+")
 
 
+#: Before blanks that follow a visible ASCII character.
+_CUT = re.compile(r"(?<=[!-~])(?=[ \n])")
+
+
 class _Library:
     def __init__(self, source: str, ranges):
         self.tokenizer = Tokenizer.from_str(source)
@@ -53,10 +60,24 @@ class _Library:
         self.odd = _outside(ranges)
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
 
+    def is_special(self, text: str) -> bool:
+        return self.special is not None and self.special.search(text) is not None
+
+    def is_odd(self, text: str) -> bool:
+        return not text.isascii() and self.odd.search(text) is not None
+
     def plain(self, text: str) -> bool:
-        if not text.isascii() and self.odd.search(text):
-            return False
-        return not (self.special and self.special.search(text))
+        return not self.is_odd(text) and not self.is_special(text)
+
+    def pieces(self, text: str) -> Iterator[tuple[bool, str]]:
+        """Whether each piece is for the tokenizer, and the piece; one after the other they are the text."""
+        if self.is_special(text):
+            yield True, text
+        elif not self.is_odd(text):
+            yield False, text
+        else:
+            for odd, units in itertools.groupby(_CUT.split(text), self.is_odd):
+                yield odd, "".join(units)
 
     def ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -68,15 +89,17 @@ def pack_ids(ids: list[int]) -> bytes:
 
 
 class _Table(dict):
-    """Values by pre-token; the rest is merged when it comes up, and forgotten when it has grown large."""
+    """Values by pre-token; the rest is merged when it comes up, and forgotten when it has grown large.  Long pre-tokens are not kept."""
 
-    LIMIT = 400_000
+    LIMIT, LONG = 400_000, 64
 
     def __init__(self, proven, merge):
         super().__init__(proven)
         self.proven, self.merge = proven, merge
 
     def __missing__(self, token):
+        if len(token) > self.LONG:
+            return self.merge(token)
         if len(self) > len(self.proven) + self.LIMIT:
             self.clear()
             self.update(self.proven)
@@ -110,9 +133,7 @@ class Counter:
         self.table = _Table(dict.fromkeys(whole, 1), lambda token: len(self.library.ids(token)))
 
     def __call__(self, text: str) -> int:
-        if not self.library.plain(text):
-            return len(self.library.ids(text))
-        return sum(map(self.table.__getitem__, self.cutter.findall(text)))
+        return sum(len(self.library.ids(piece)) if odd else sum(map(self.table.__getitem__, self.cutter.findall(piece))) for odd, piece in self.library.pieces(text))
 
 
 class Encoder:
@@ -126,9 +147,7 @@ class Encoder:
         return pack_ids(self.library.ids(text))
 
     def __call__(self, text: str) -> bytes:
-        if not self.library.plain(text):
-            return self._pack(text)
-        return b"".join(map(self.table.__getitem__, self.cutter.findall(text.lower())))
+        return b"".join(self._pack(piece) if odd else b"".join(map(self.table.__getitem__, self.cutter.findall(piece.lower()))) for odd, piece in self.library.pieces(text))
 
 
 @functools.lru_cache(maxsize=2)

@@ -133,6 +133,26 @@ def test_pretokens_equal_the_library(file, ranges):
             assert np.frombuffer(encoder(text), "<u4").tolist() == ids, ascii(text)
 
 
+@pytest.mark.parametrize("file", [BYTES, WORDS])
+def test_texts_with_other_characters_are_cut_where_pretokens_end(file):
+    """Texts of several scripts, with combining marks, wide blanks and joined letters, against the library."""
+    rng = np.random.default_rng(9)
+    with open(file, encoding="utf-8") as f:
+        source = f.read()
+    library = Tokenizer.from_file(file)
+    counter, encoder = bpe.Counter(source, bpe.whole_tokens(source)) if file == BYTES else None, bpe.Encoder(source) if file == WORDS else None
+    words = ["plain", "words", "it's", "don't", "x1", "3.14", "日本語", "Σας", "ΟΔΟΣ", "e\u0301", "\u0301", "\u3000", "\u00a0", "😀", "a日", "日a", "İ", "ﬁ", "नमस्ते", "ไทย", "!", "\u200d", "\u2028", "\t"]
+    for _ in range(800):
+        text = "".join(rng.choice(words) + rng.choice([" ", "  ", "\n", " \n ", "", "\r\n", "\u3000 "]) for _ in range(rng.integers(1, 14)))
+        ids = library.encode(text, add_special_tokens=False).ids
+        if counter:
+            assert counter(text) == len(ids), ascii(text)
+        else:
+            assert np.frombuffer(encoder(text), "<u4").tolist() == ids, ascii(text)
+    library_only = (counter or encoder).library
+    assert [odd for odd, _ in library_only.pieces("plain words 日本 and more 日 x")] == [False, True, False, True]
+
+
 def test_packing(odd, small):
     library = Tokenizer.from_file(WORDS)
     for table, rows in both(odd, small):
