@@ -3,66 +3,26 @@
 from __future__ import annotations
 
 import os
-import re
-import tempfile
-import uuid
-import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.lineage import file_system, new_folder, shared_folder
+from ..plans.workers import ship_code
+
 #: Beginning of the names of columns that operators add to rows of others and take away again.
 INTERNAL = "_quadrille_"
 BATCH_ROWS, FEWER_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"
-_shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the Python workers this package, once for each application, and batches of texts that fit their memory.
+    """Give the Python workers this package, and batches of texts that fit their memory.
 
     Spark's own batch of 10,000 rows is meant for numbers; a session that has
     set a size, whichever, keeps it.
     """
     if BATCH_ROWS not in spark.conf.getAll:
         spark.conf.set(BATCH_ROWS, FEWER_ROWS)
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    name = os.path.basename(top)
-    archive = os.path.join(tempfile.mkdtemp(), f"{name}_workers.zip")
-    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
-        for folder, _, files in os.walk(top):
-            for file in files:
-                if file.endswith(".py"):
-                    path = os.path.join(folder, file)
-                    out.write(path, os.path.relpath(path, os.path.dirname(top)))
-    context.addPyFile(archive)
-    _shipped.add(context.applicationId)
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset, a temporary one becomes it, on one machine only."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="quadrille-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def _file_system(spark: SparkSession, path: str):
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
-
-
-def new_folder(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder, which is deleted when the application ends."""
-    path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
-    files, at = _file_system(spark, path)
-    files.mkdirs(at)
-    files.deleteOnExit(at)
-    return path
+    ship_code(spark)
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
@@ -79,5 +39,5 @@ def drop_written(*tables: DataFrame) -> None:
         spark = table.sparkSession
         for folder in {os.path.dirname(file) for file in table.inputFiles()}:
             if folder.rsplit("/", 1)[0].removeprefix("file:").strip("/") == shared_folder(spark).removeprefix("file:").strip("/"):
-                files, at = _file_system(spark, folder)
+                files, at = file_system(spark, folder)
                 files.delete(at, True)
