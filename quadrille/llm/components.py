@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .session import drop_written, written
@@ -18,8 +18,11 @@ def _round(edges: DataFrame) -> DataFrame:
     return rest.unionByName(root.select("u", F.col("m").alias("v"))).distinct()
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges written, and their number and a sum of their hashes, which are taken as they are written."""
+    seen = Observation()
+    out = written(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), "edges")
+    return out, (seen.get["n"], seen.get["h"])
 
 
 def connect(edges: DataFrame) -> DataFrame:
@@ -29,11 +32,9 @@ def connect(edges: DataFrame) -> DataFrame:
     shared folder; the number of rounds grows with the logarithm of the
     longest path.
     """
-    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    state = _state(now)
+    now, state = _written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     while state[0]:
-        after = written(_round(now), "edges")
-        new = _state(after)
+        after, new = _written(_round(now))
         drop_written(now)
         now = after
         if new == state:
