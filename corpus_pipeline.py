@@ -54,8 +54,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
+    for k, (name, stage) in enumerate(STAGES):
         read, docs = docs, written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-        # the stage before is read no more
-        drop_written(read)
+        if k:
+            # what the stage before has written is read no more
+            drop_written(read)
     return docs
