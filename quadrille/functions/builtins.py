@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..terms import XSD, datatype_of, is_blank, is_iri, is_literal, lang_of, text_of
-from .values import DOUBLE, EXACT, FLOAT, INTEGER, Fixed, Number, Term, Text, Truth, Value, compare, decimal, integer, let, number, number_of, string_of, term_of, text, text_value, truth_of
+from .values import DOUBLE, EXACT, FLOAT, Fixed, Number, Term, Text, Truth, Value, compare, decimal, integer, let, number, number_of, string_of, term_of, text, text_value, truth_of
 
 _MOMENT = r"^-?\d{4,}-\d\d-\d\d(?:T\d\d:\d\d:\d\d(?:\.\d+)?)?(Z|[+-]\d\d:\d\d)?$"
 

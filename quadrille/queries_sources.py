@@ -554,6 +554,25 @@ def doctor_prefixes(spark, sf_dir):
     return found.withColumn("namespaces", F.array_join("namespaces", " "))
 
 
+@register("SELECT * FROM (VALUES ('<urn:g0>', '<urn:o>', FALSE), ('<urn:g1>', '<urn:d>', FALSE), ('<urn:g2>', '<urn:g2>', FALSE), ('<urn:g3>', '_:b', TRUE)) v(graph, subject, refused)")
+def ontology_subjects(spark, sf_dir):
+    """A declared ontology, or what declares prefixes, or the graph's own name; a blank node is refused."""
+    rows = [("<urn:g0>", "<urn:o>", TYPE, ONTOLOGY), ("<urn:g0>", "<urn:a>", DECLARE, "_:x"), ("<urn:g1>", "<urn:d>", DECLARE, "_:x"), ("<urn:g2>", "<urn:x>", "<urn:p>", "<urn:o>"), ("<urn:g3>", "_:b", TYPE, ONTOLOGY)]
+    found = catalog.subjects(spark.createDataFrame(rows, "graph string, s string, p string, o string"))
+    bad = [g for g in ("<urn:g0>", "<urn:g1>", "<urn:g2>", "<urn:g3>") if refused(lambda g=g: catalog.check_subjects(found.where(F.col("graph") == g)), catalog.NoDeclaration)]
+    return found.select("graph", "subject", F.col("graph").isin(*bad).alias("refused"))
+
+
+@register(f"SELECT {_NAME} AS name FROM nation")
+def env_snapshot(spark, sf_dir):
+    """A copy in memory keeps what its original loses."""
+    env = nation_env(spark, sf_dir)
+    copy = env.temporary_snapshot()
+    env.rename_graph_iri("urn:nation/3", "urn:renamed")
+    found = copy.get_dataset().triples(p="<urn:p:n_name>").select("s")
+    return found.select(F.substring_index(F.substring("s", 2, 100), ">", 1).alias("name")).where(F.col("name").isin(*copy.get_ontology_names()))
+
+
 def versioned_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A graph for each supplier, which tells a version of its nation's ontology by when it was created, its label and what to see also."""
     s = table(spark, sf_dir, "supplier")
