@@ -84,9 +84,6 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
-    def doc_of_word(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self.first) - 1), self.counts)
-
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and n + 1 offsets of a string column; a null is an empty text."""

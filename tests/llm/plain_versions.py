@@ -183,3 +183,23 @@ def plain_lm(rows):
             score += math.log10(x[0] * train[1][a, b] / max(c, 1) + x[1] * train[0][b] / max(total, 1) + x[2] / (len(train[0]) + 1))
         out.append(score)
     return out
+
+
+def plain_clean(rows, min_docs=5, max_percent=8):
+    """(id, text) of the rows (id, text, host) that the quality rules keep, without the frequent lines of their host."""
+    normal = lambda line: re.sub("[ \\t\\x0b\\x0c\\r]+", "", line).lower()
+    docs, holders = collections.defaultdict(set), collections.defaultdict(set)
+    for i, text, host in rows:
+        docs[host].add(i)
+        for line in (text or "").split("\n"):
+            if normal(line):
+                holders[host, normal(line)].add(i)
+    frequent = {k for k, ids in holders.items() if len(ids) > min_docs and 100 * len(ids) > max_percent * len(docs[k[0]])}
+    out = []
+    for i, text, host in rows:
+        lines = (text or "").split("\n")
+        left = [x for x in lines if (host, normal(x)) not in frequent]
+        chars, kept = (sum(len(normal(x)) for x in y) for y in (lines, left))
+        if not plain_quality(text)[-1] and 100 * kept >= 20 * chars:
+            out.append((i, "\n".join(left)))
+    return out
