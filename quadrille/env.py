@@ -434,7 +434,8 @@ class Environment:
     def temporary_snapshot(self) -> Environment:
         """A copy in memory."""
         out = Environment(self.spark, config=Config(**asdict(self.config)), fetcher=self.fetcher)
-        out.records, out.aliases, out.failed = dict(self.records), dict(self.aliases), dict(self.failed)
+        out.records = {k: Record(**asdict(r)) for k, r in self.records.items()}
+        out.aliases, out.failed = dict(self.aliases), dict(self.failed)
         for name in self.graphs.graph_ids():
             out.graphs.add_graph(name, self.graphs.get_graph(name))
         return out
