@@ -89,21 +89,30 @@ def pack_ids(ids: list[int]) -> bytes:
 
 
 class _Table(dict):
-    """Values by pre-token; the rest is merged when it comes up, and forgotten when it has grown large.  Long pre-tokens are not kept."""
+    """Values by pre-token; the rest is merged when it comes up.
 
-    LIMIT, LONG = 400_000, 64
+    When LIMIT of them have come up they become the older generation, of which
+    those that come up again are kept, and the one before is forgotten.  Long
+    pre-tokens are not kept.
+    """
+
+    LIMIT, LONG = 200_000, 64
 
     def __init__(self, proven, merge):
         super().__init__(proven)
-        self.proven, self.merge = proven, merge
+        self.proven, self.merge, self.older = dict(proven), merge, {}
 
     def __missing__(self, token):
         if len(token) > self.LONG:
             return self.merge(token)
-        if len(self) > len(self.proven) + self.LIMIT:
+        value = self.older.get(token)
+        if value is None:
+            value = self.merge(token)
+        if len(self) >= len(self.proven) + self.LIMIT:
+            self.older = dict(self)
             self.clear()
             self.update(self.proven)
-        value = self[token] = self.merge(token)
+        self[token] = value
         return value
 
 

@@ -153,6 +153,16 @@ def test_texts_with_other_characters_are_cut_where_pretokens_end(file):
     assert [odd for odd, _ in library_only.pieces("plain words 日本 and more 日 x")] == [False, True, False, True]
 
 
+def test_table_keeps_what_comes_up_again():
+    merged = []
+    table = bpe._Table({"proven": 1}, lambda token: merged.append(token) or len(token))
+    table.LIMIT = 3
+    assert [table[t] for t in ("proven", "a", "bb", "ccc", "dddd", "a", "x" * 65, "x" * 65)] == [1, 1, 2, 3, 4, 1, 65, 65]
+    assert merged == ["a", "bb", "ccc", "dddd", "x" * 65, "x" * 65] and len(table) == 3
+    assert [table[t] for t in ("e", "f", "a", "g", "bb", "proven")] == [1, 1, 1, 1, 2, 1]
+    assert merged[6:] == ["e", "f", "g", "bb"]
+
+
 def test_packing(odd, small):
     library = Tokenizer.from_file(WORDS)
     for table, rows in both(odd, small):
