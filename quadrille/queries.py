@@ -560,7 +560,7 @@ _sparql("fn_time_zone", ("nation",), "SELECT ?n (SECONDS(?d) AS ?s) (MINUTES(?d)
         f"SELECT {_N} AS n, 6::BIGINT AS s, 5::BIGINT AS m, '\"+02:00\"' AS z, '\"PT2H\"^^<{XSD}dayTimeDuration>' AS o, 4::BIGINT AS h FROM nation", integers("s", "m", "h"))
 _sparql("fn_hash_lengths", ("nation",), "SELECT ?n (STRLEN(SHA1(?l)) AS ?a) (STRLEN(SHA384(?l)) AS ?b) (STRLEN(SHA512(?l)) AS ?c) { ?n p:n_name ?l }", f"SELECT {_N} AS n, 40::BIGINT AS a, 96::BIGINT AS b, 128::BIGINT AS c FROM nation", integers("a", "b", "c"))
 _sparql("fn_casts", ("part",), "SELECT ?p (xsd:string(?s) AS ?t) (xsd:double(STR(?s)) AS ?d) (xsd:decimal(?s) / 2 AS ?h) (xsd:boolean('true') AS ?b) (xsd:integer('x') AS ?bad) { ?p p:p_size ?s FILTER(?s - 1) }",
-        f"SELECT {_P} AS p, '\"' || CAST(p_size AS VARCHAR) || '\"' AS t, CAST(p_size AS DOUBLE) AS d, CAST(p_size AS DOUBLE) / 2 AS h, {_YES} AS b, NULL AS bad FROM part WHERE p_size <> 1", doubles("d", "h"))
+        f"SELECT {_P} AS p, '\"' || CAST(p_size AS VARCHAR) || '\"' AS t, CAST(p_size AS DOUBLE) AS d, CAST(p_size AS DOUBLE) / 2 AS h, {_YES} AS b, CAST(NULL AS VARCHAR) AS bad FROM part WHERE p_size <> 1", doubles("d", "h"))
 
 
 @register(f"WITH RECURSIVE {TREE}, r(x) AS (SELECT 100 UNION SELECT t.dst FROM r JOIN t ON t.src = r.x) SELECT count(*) > 0 AS up, FALSE AS down FROM r WHERE x = 3")
