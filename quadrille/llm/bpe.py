@@ -142,7 +142,9 @@ class Counter:
         self.table = _Table(dict.fromkeys(whole, 1), lambda token: len(self.library.ids(token)))
 
     def __call__(self, text: str) -> int:
-        return sum(len(self.library.ids(piece)) if odd else sum(map(self.table.__getitem__, self.cutter.findall(piece))) for odd, piece in self.library.pieces(text))
+        if self.library.plain(text):
+            return sum(map(self.table.__getitem__, self.cutter.findall(text)))
+        return sum(len(self.library.ids(piece)) if odd else self(piece) for odd, piece in self.library.pieces(text))
 
 
 class Encoder:
@@ -156,7 +158,9 @@ class Encoder:
         return pack_ids(self.library.ids(text))
 
     def __call__(self, text: str) -> bytes:
-        return b"".join(self._pack(piece) if odd else b"".join(map(self.table.__getitem__, self.cutter.findall(piece.lower()))) for odd, piece in self.library.pieces(text))
+        if self.library.plain(text):
+            return b"".join(map(self.table.__getitem__, self.cutter.findall(text.lower())))
+        return b"".join(self._pack(piece) if odd else self(piece) for odd, piece in self.library.pieces(text))
 
 
 @functools.lru_cache(maxsize=2)
