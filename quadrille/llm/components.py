@@ -1,12 +1,63 @@
-"""Connected components by alternating large and small stars."""
+"""Connected components: spanning forests of parts of the edges, then alternating large and small stars where they are many."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .session import drop_written, written
 
+#: Edges that a task joins at a time; where no more are left, one task ends the work.
+PART = 1 << 19
+
+
+def spanning_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each node that edges join to a smaller one, and the least of its component."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    parent, x, y = np.arange(len(nodes)), at[: len(a)], at[len(a) :]
+    while True:
+        x, y = parent[x], parent[y]
+        apart = x != y
+        if not apart.any():
+            break
+        x, y = x[apart], y[apart]
+        # each root goes below the least root that an edge joins it to
+        np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            above = parent[parent]
+            if (above == parent).all():
+                break
+            parent = above
+    below = parent != np.arange(len(nodes))
+    return nodes[below], nodes[parent[below]]
+
+
+def _forests(part: int):
+    """(u, v) of the forest of every ``part`` edges of a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def close() -> pa.RecordBatch:
+            u, v = spanning_forest(*(np.concatenate(side) for side in zip(*held, strict=True)))
+            return pa.record_batch({"u": u, "v": v})
+
+        for batch in batches:
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            size += batch.num_rows
+            if size >= part:
+                yield close()
+                held, size = [], 0
+        if held:
+            yield close()
+
+    return run
+
 
 def _round(edges: DataFrame) -> DataFrame:
     """One large star and one small star over (u, v) with u > v."""
@@ -28,16 +79,27 @@ def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
 def connect(edges: DataFrame) -> DataFrame:
     """``node, root`` of every node that an edge ``a, b`` joins to a smaller one; roots are the least of their component.
 
-    Nodes without edges, and roots, have no row.  Every round is written to the
-    shared folder; the number of rounds grows with the logarithm of the
-    longest path.
+    Nodes without edges, and roots, have no row.  Tasks first replace the
+    edges that they read by a spanning forest of them.  Where PART edges at
+    most are left, one task joins them all; else stars do, every round of
+    which is written to the shared folder, and the number of rounds grows with
+    the logarithm of the longest path.
     """
-    now, state = _written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    while state[0]:
-        after, new = _written(_round(now))
-        drop_written(now)
-        now = after
-        if new == state:
-            break
-        state = new
+    seen = Observation()
+    pairs = edges.select(F.col("a").cast("long"), F.col("b").cast("long"))
+    forests = written(pairs.mapInArrow(_forests(PART), "u long, v long").observe(seen, F.count(F.lit(1)).alias("n")), "edges")
+    if seen.get["n"] <= PART:
+        # one forest of all: a task that reads no more than PART edges yields once
+        now = written(forests.coalesce(1).mapInArrow(_forests(PART + 1), "u long, v long"), "edges")
+        drop_written(forests)
+    else:
+        now, state = _written(forests.distinct())
+        drop_written(forests)
+        while True:
+            after, new = _written(_round(now))
+            drop_written(now)
+            now = after
+            if new == state:
+                break
+            state = new
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

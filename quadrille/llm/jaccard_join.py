@@ -576,23 +576,27 @@ class Join:
 def _components(join: Join) -> DataFrame:
     """``fp, root`` of every class; the root is one of the classes that links reach."""
     lists = join.lists()
-    edges = join.links(join.star_pairs(lists))
-    near = connect(edges)
+    near = connect(join.links(join.star_pairs(lists)))
     best = join.passed(join.tree_pairs(lists, near, False), "best")
-    edges = edges.unionByName(join.links(best.select("a", "b").distinct()))
-    near = connect(edges)
+    near = _more(join, near, best)
     # where the best pair of two components is no link, any other may be one
     root = lambda x: near.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
     open_ = best.where("others > 0").join(root("a"), "a", "left").join(root("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
     rest = join.passed(lists.join(open_.select("list").distinct(), "list", "left_semi"), "rest")
     if not rest.isEmpty():
-        more = join.links(join.tree_pairs(rest, near, True).select("a", "b").distinct())
-        near = connect(edges.unionByName(more))
+        near = _more(join, near, join.tree_pairs(rest, near, True))
     drop_written(*join.passing)
     linked = near.withColumnRenamed("node", "fp")
     return join.classes.select("fp").join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
+def _more(join: Join, near: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The components ``node, root`` that the links among the pairs leave of the components so far."""
+    join.passing.append(near)
+    links = join.links(pairs.select("a", "b").distinct())
+    return connect(near.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
+
+
 def group(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row.
 

@@ -15,7 +15,7 @@ from plain_versions import alnum, plain_components, plain_contamination, plain_l
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quadrille.llm import bpe, chat_format, decontamination, jaccard_join, language_id, license_scan, licenses, lm_scoring, packing, quality_rules, queries, textkernel, token_counts, warc
+from quadrille.llm import bpe, chat_format, components, decontamination, jaccard_join, language_id, license_scan, licenses, lm_scoring, packing, quality_rules, queries, textkernel, token_counts, warc
 from quadrille.llm.components import connect
 
 SMALL = "/root/testdata/sf0.001"
@@ -321,6 +321,23 @@ def test_components_of_a_chain(spark):
     assert connect(edges.limit(0)).isEmpty()
 
 
+@pytest.mark.parametrize("part", [1 << 19, 60, 7])
+def test_components_of_forests_and_stars(spark, monkeypatch, part):
+    """All in one task, forests of parts that one task joins, and forests that stars join; the first take a few stages instead of some for each round."""
+    rng = np.random.default_rng(8)
+    a, b = (rng.integers(-100, 100, 150) * (1 << 40) for _ in range(2))
+    root = {int(x): int(x) for x in np.concatenate([a, b])}
+    for _ in range(200):
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            root[x] = root[y] = min(root[x], root[y])
+    monkeypatch.setattr(components, "PART", part)
+    rounds = []
+    monkeypatch.setattr(components, "_round", lambda edges, f=components._round: rounds.append(1) or f(edges))
+    edges = spark.createDataFrame(list(zip(a.tolist(), b.tolist(), strict=True)), "a long, b long").repartition(3)
+    assert found(connect(edges), "node", "root") == collections.Counter((x, r) for x, r in root.items() if x != r)
+    assert bool(rounds) == (part < 100)
+
+
 def test_jaccard_compares_large_sets_by_all_bits():
     """Shingles that agree in 40 bits only are not common in large sets, and those that repeat in a small one are not common with nothing."""
     rng = np.random.default_rng(3)
