@@ -153,6 +153,22 @@ def test_texts_with_other_characters_are_cut_where_pretokens_end(file):
     assert [odd for odd, _ in library_only.pieces("plain words 日本 and more 日 x")] == [False, True, False, True]
 
 
+def test_plain_texts_are_merged_by_the_model_alone(monkeypatch):
+    """Pre-tokens of plain texts, with any character, equal whole encodings and take none."""
+    plain = [chr(c) for a, b in bpe.PLAIN_LOWER_RANGES for c in range(a, b + 1)]
+    rng = np.random.default_rng(6)
+    texts = [*plain, *(f"Ab{c}{c}9 {c}'s" for c in plain), *("".join(rng.choice(plain, rng.integers(1, 90))) for _ in range(2000))]
+    texts += ["\x00\x01 \x7f\xad!\x1f", "'LL'll I'İ", "x" * 300, "é" * 70 + "_" * 70]
+    library = Tokenizer.from_file(WORDS)
+    wanted = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    with open(WORDS, encoding="utf-8") as file:
+        encoder = bpe.Encoder(file.read())
+    whole = []
+    monkeypatch.setattr(bpe._Library, "ids", lambda self, text: whole.append(text))
+    assert [np.frombuffer(encoder(t), "<u4").tolist() for t in texts] == wanted
+    assert not whole
+
+
 def test_table_keeps_what_comes_up_again():
     merged = []
     table = bpe._Table({"proven": 1}, lambda token: merged.append(token) or len(token))
