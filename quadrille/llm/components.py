@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .session import drop_written, written
+from .session import drop_written, saved, written
 
 #: Edges that a task joins at a time; where no more are left, one task ends the work.
 PART = 1 << 19
@@ -85,12 +85,11 @@ def connect(edges: DataFrame) -> DataFrame:
     which is written to the shared folder, and the number of rounds grows with
     the logarithm of the longest path.
     """
-    seen = Observation()
     pairs = edges.select(F.col("a").cast("long"), F.col("b").cast("long"))
-    forests = written(pairs.mapInArrow(_forests(PART), "u long, v long").observe(seen, F.count(F.lit(1)).alias("n")), "edges")
-    if seen.get["n"] <= PART:
+    forests, n = saved(pairs, "edges", _forests(PART), "u long, v long")
+    if n <= PART:
         # one forest of all: a task that reads no more than PART edges yields once
-        now = written(forests.coalesce(1).mapInArrow(_forests(PART + 1), "u long, v long"), "edges")
+        now, _ = saved(forests.coalesce(1), "edges", _forests(PART + 1), "u long, v long")
         drop_written(forests)
     else:
         now, state = _written(forests.distinct())

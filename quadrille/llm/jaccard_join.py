@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connect
-from .session import INTERNAL, drop_written, ship, written
+from .session import INTERNAL, drop_written, saved, ship
 from .textkernel import SPACE, chunks, cut, mix, tidy, windows
 
 U64 = np.uint64
@@ -490,7 +490,7 @@ class Join:
         self.texts = docs.select(F.xxhash64(id_column, text).alias("key"), text.alias("text"))
         rows = docs.select(F.col(id_column).alias("doc_id"), F.xxhash64(id_column, text).alias("key"), text.alias("text"))
         id_type = rows.schema["doc_id"].dataType.simpleString()
-        described = written(rows.mapInArrow(_describe, f"doc_id {id_type}, key long, fp long, n long, bitmap binary, token long, seen long"), "shingles")
+        described, _ = saved(rows, "shingles", _describe, f"doc_id {id_type}, key long, fp long, n long, bitmap binary, token long, seen long")
         self.docs = described.where(F.col("token").isNull()).select("doc_id", "key", "fp", "n", "bitmap")
         tokens = described.where(F.col("token").isNotNull())
         in_runs = tokens.where(F.col("seen").isNotNull()).select("token", "seen", F.lit(0).alias("classes"))
@@ -505,11 +505,11 @@ class Join:
         self.buckets = max(2 * int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-6 * size // BUCKET))
         # one row for each different set; the bitmap is a function of the set
         first = F.min(F.struct("key", "n", "bitmap")).alias("first")
-        self.classes = written(self.docs.where("n > 0").groupBy("fp").agg(first).select("fp", "first.*"), "classes")
+        self.classes, _ = saved(self.docs.where("n > 0").groupBy("fp").agg(first).select("fp", "first.*"), "classes")
 
-    def passed(self, df: DataFrame, what: str) -> DataFrame:
+    def passed(self, df: DataFrame, what: str, *run) -> DataFrame:
         """A written table that goes when the components are known."""
-        self.passing.append(written(df, what))
+        self.passing.append(saved(df, what, *run)[0])
         return self.passing[-1]
 
     def lists(self) -> DataFrame:
@@ -521,21 +521,21 @@ class Join:
         side = lambda x: self.classes.select(F.col("fp").alias(x), F.col("n").alias(f"n_{x}"), F.col("bitmap").alias(f"bits_{x}"))
         return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """Those of the distinct pairs of classes that are linked."""
-        pairs = written(pairs, "pairs")
+    def links(self, pairs: DataFrame, *run) -> DataFrame:
+        """Those of the distinct pairs of classes that are linked; ``run``: the function and schema by which workers choose the pairs."""
+        pairs, _ = saved(pairs, "pairs", *run)
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-        keys = written(self.classes.select("fp", "key").join(wanted, "fp").select("fp", "key", F.lit(1).alias("one")), "wanted")
+        keys, _ = saved(self.classes.select("fp", "key").join(wanted, "fp").select("fp", "key", F.lit(1).alias("one")), "wanted")
         with _bloom_filters(self.spark):
-            sets = written(self.texts.join(keys.where("one = 1"), "key").select("fp", "text").mapInArrow(_pack_sets, "class long, shingles binary"), "sets")
+            sets, _ = saved(self.texts.join(keys.where("one = 1"), "key").select("fp", "text"), "sets", _pack_sets, "class long, shingles binary")
         side = lambda x: sets.select(F.col("class").alias(x), F.col("shingles").alias(f"set_{x}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b")
-        out = self.passed(both.mapInArrow(_compare, "a long, b long"), "links")
+        out = self.passed(both, "links", _compare, "a long, b long")
         drop_written(pairs, keys, sets)
         return out
 
     def star_pairs(self, lists: DataFrame) -> DataFrame:
-        """Each class of a list with the list's leaders, and the first leaders of its parts with each other.
+        """Each class of a list with the list's leaders, and the first leaders of its parts with each other, for ``_bounded``.
 
         The first leader is the least class.  A large list has others, by
         hashes of the class, so that a near copy that has drifted too far from
@@ -549,10 +549,10 @@ class Join:
         top = leaders.groupBy("list").agg(F.min("leader").alias("a"), F.max("leader").alias("other")).where("a <> other").select("list", "a")
         across = leaders.join(top, "list").select("a", F.col("leader").alias("b"))
         pairs = stars.unionByName(across).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        return self.with_bitmaps(pairs).mapInArrow(_bounded, "a long, b long")
+        return self.with_bitmaps(pairs)
 
     def tree_pairs(self, lists: DataFrame, components: DataFrame, every: bool) -> DataFrame:
-        """``list, a, b, others``: pairs of classes of a list that lie in different components and may be linked."""
+        """``list, a, b, others``: pairs of classes of a list that lie in different components and may be linked, written."""
         member = lists.select("list", F.explode("members").alias("fp"))
         placed = member.join(components.withColumnRenamed("node", "fp"), "fp", "left").select("list", "fp", F.coalesce("root", "fp").alias("component"))
         placed = self.passed(placed, "placed")
@@ -570,14 +570,14 @@ class Join:
             "fp", "n", "bitmap", "component", "large",
         )
         sorted_blocks = dealt.repartition("list", "i", "j").sortWithinPartitions("list", "i", "j")
-        return sorted_blocks.mapInArrow(_tree_pairs(every), "list long, a long, b long, others long")
+        return self.passed(sorted_blocks, "best", _tree_pairs(every), "list long, a long, b long, others long")
 
 
 def _components(join: Join) -> DataFrame:
     """``fp, root`` of every class; the root is one of the classes that links reach."""
     lists = join.lists()
-    near = connect(join.links(join.star_pairs(lists)))
-    best = join.passed(join.tree_pairs(lists, near, False), "best")
+    near = connect(join.links(join.star_pairs(lists), _bounded, "a long, b long"))
+    best = join.tree_pairs(lists, near, False)
     near = _more(join, near, best)
     # where the best pair of two components is no link, any other may be one
     root = lambda x: near.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
@@ -626,6 +626,6 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     best = lambda: F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key"))
     of_class = join.docs.where("n > 0").groupBy("fp").agg(best().alias("best"))
     chosen = _components(join).join(of_class, "fp").groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.key").alias(ROW_KEY))
-    kept = written(chosen.unionByName(join.docs.where("n = 0").select(F.col("key").alias(ROW_KEY))).distinct(), "kept")
+    kept, _ = saved(chosen.unionByName(join.docs.where("n = 0").select(F.col("key").alias(ROW_KEY))).distinct(), "kept")
     rows = docs.withColumn(ROW_KEY, F.xxhash64(id_column, F.coalesce(F.col(text_column), F.lit(""))))
     return rows.join(kept, ROW_KEY, "left_semi").dropDuplicates([ROW_KEY]).select(*docs.columns)
