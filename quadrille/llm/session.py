@@ -14,6 +14,7 @@ from pyspark.sql.types import StructType
 
 from ..plans.lineage import file_system, new_folder, shared_folder
 from ..plans.workers import ship_code
+from .textkernel import tidy
 
 #: Beginning of the names of columns that operators add to rows of others and take away again.
 INTERNAL = "_quadrille_"
@@ -21,7 +22,9 @@ BATCH_ROWS, FEWER_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"
 #: Types of columns that workers write; a table with others is written by Spark.
 PLAIN = {"boolean", "int", "bigint", "double", "string", "binary", "array<bigint>"}
 #: Bytes of a row group that a worker writes.
-ROW_GROUP = 16 << 20
+ROW_GROUP = 4 << 20
+#: Most values are hashes and bitmaps, of which dictionaries would be larger.
+FORMAT = {"compression": "zstd", "compression_level": 3, "use_dictionary": False}
 
 
 def ship(spark: SparkSession) -> None:
@@ -58,14 +61,16 @@ def _saver(folder: str, run: Callable | None, schema: pa.Schema):
             held.append(pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(batch.columns, schema, strict=True)], schema=schema))
             size, rows = size + batch.nbytes, rows + batch.num_rows
             if size >= ROW_GROUP:
-                out = out or pq.ParquetWriter(f"{folder}/_{name}", schema, compression="zstd")
+                out = out or pq.ParquetWriter(f"{folder}/_{name}", schema, **FORMAT)
                 out.write_table(pa.Table.from_batches(held))
                 held, size = [], 0
         if held:
-            out = out or pq.ParquetWriter(f"{folder}/_{name}", schema, compression="zstd")
+            out = out or pq.ParquetWriter(f"{folder}/_{name}", schema, **FORMAT)
             out.write_table(pa.Table.from_batches(held))
         if out:
             out.close()
+            held = []
+            tidy()
             yield pa.record_batch({"name": [name], "rows": pa.array([rows], pa.int64())})
 
     return save
